@@ -90,8 +90,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         enc = word_encoder(tokenizer)
         for b in it:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(enc.encode(text), end_id).astype("<u4")
+            for i, words in enumerate(enc.encode_all(b.column(1).to_pylist())):
+                ids = np.append(words, end_id).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append(i)

@@ -1,7 +1,11 @@
 """Token ids of words and texts exactly as the tokenizers library gives them, with repeated words encoded once.
 
 Both encoders cut a text only where the library's own pre-tokenizer must cut too, keep the ids of each piece in a
-bounded cache, and give every piece that is not there to the library. Ids fit unsigned 16 bits (vocabularies below 65,536).
+bounded cache, and give every piece that is not there to the library, many to a call. Ids fit unsigned 16 bits
+(vocabularies below 65,536).
+
+In a plain text (letters of the Latin blocks, other ASCII characters but the apostrophe) the pre-tokenizers cut between
+letters and anything else. Other texts are cut at blanks only.
 """
 
 from __future__ import annotations
@@ -35,9 +39,22 @@ def tokenizer(name: str):
     return t
 
 
+#: Letters whose lower case is one letter and which no normal form changes.
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ž"
+NOT_PLAIN = re.compile(f"[^{LATIN} -&(-~\n]|<\\|")
+WORDS = re.compile(f"[{LATIN}]+|[^{LATIN} \n]+")
+PIECES = re.compile(f"[ \n]*(?:[{LATIN}]+|[^{LATIN} \n]+)|[ \n]+")
+#: White space beyond blank, tab and line feed; a text that has any is left whole to the library.
+ODD_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+CHUNK = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
+
+
 class PieceCache:
     """piece -> ids as bytes, in two generations of at most CACHE_WORDS entries each."""
 
+    #: Pieces that can stand in one text, and what goes between them.
+    ROW, BETWEEN = re.compile("(?!)"), ""
+
     def __init__(self, name: str):
         self.library = tokenizer(name)
         if self.library.get_vocab_size() > 65_536:
@@ -45,42 +62,81 @@ class PieceCache:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode_new(self, pieces: list[str]) -> list[bytes]:
+    def ends(self, ids: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each of the pieces end, in the ids of all in a row."""
+        raise NotImplementedError
+
+    def in_rows(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.asarray(self.library.encode_batch_fast([self.BETWEEN.join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ends = (2 * self.ends(ids, part)).tolist()
+            if len(ends) != len(part) or ends[-1] != 2 * len(ids):
+                raise AssertionError("pieces in a row were not cut as they stand")
+            data, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[start:end])
+                start = end
+        return out
+
+    def one_by_one(self, pieces: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u2").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def encode_new(self, pieces: list[str]) -> list[bytes]:
+        fits = [self.ROW.fullmatch(p) is not None for p in pieces]
+        some, others = iter(self.in_rows([p for p, ok in zip(pieces, fits, strict=True) if ok])), iter(self.one_by_one([p for p, ok in zip(pieces, fits, strict=True) if not ok]))
+        return [next(some if ok else others) for ok in fits]
+
     def join(self, pieces: list[str]) -> bytes:
         """Ids of the pieces, one after another, as little-endian unsigned 16-bit integers."""
+        self.learn([pieces])
+        return b"".join(map(self.new.__getitem__, pieces))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Takes what these texts' pieces need into the cache."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
         new = self.new
-        try:
-            return b"".join(map(new.__getitem__, pieces))
-        except KeyError:
-            pass
-        missing = [p for p in dict.fromkeys(pieces) if p not in new]
-        unseen = []
-        for p in missing:
-            if p in self.old:
-                new[p] = self.old[p]
-            else:
-                unseen.append(p)
+        missing = set().union(*texts).difference(new)
+        for p in missing & self.old.keys():
+            new[p] = self.old[p]
+        unseen = [p for p in missing if p not in new]
         new.update(zip(unseen, self.encode_new(unseen), strict=True))
-        out = b"".join(map(new.__getitem__, pieces))
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
-        return out
 
 
 class WordEncoder(PieceCache):
-    """For vocabularies whose pre-tokenizer drops white space: no token crosses a blank or a line feed, so these may cut."""
+    """For vocabularies that drop white space, lower case, and mark the end of each word."""
+
+    ROW, BETWEEN = re.compile(f"[{LATIN}]{{1,64}}"), " "
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.end = np.zeros(1 << 16, dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.end[i] = token.endswith("</w>")
+
+    def ends(self, ids: np.ndarray, pieces: list[str]) -> np.ndarray:
+        return np.flatnonzero(self.end[ids]) + 1
+
+    def pieces(self, text: str) -> list[str]:
+        if NOT_PLAIN.search(text):
+            return text.replace("\n", " ").split(" ")
+        return WORDS.findall(text.lower())
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.join(text.replace("\n", " ").split(" ")), dtype="<u2")
+        return np.frombuffer(self.join(self.pieces(text)), dtype="<u2")
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The texts of a batch; new words of all of them go to the library together."""
+        out, n = [], 64
+        for at in range(0, len(texts), n):
+            lists = [self.pieces(t) for t in texts[at : at + n]]
+            self.learn(lists)
+            out += [np.frombuffer(b"".join(map(self.new.__getitem__, x)), dtype="<u2") for x in lists]
+        return out
 
 
 @lru_cache(maxsize=4)
 def word_encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
-
-
-#: White space beyond blank, tab and line feed; a text that has any is left whole to the library.
-ODD_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
-CHUNK = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
