@@ -4,13 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import jaccard_join, langid, media, packing, token_files, toxicity, tree_bpe, winnowing
 from .common import read_documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_documents(spark, sf_dir))
+
+
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.encode(read_documents(spark, sf_dir), "byte_bpe_50k.json", digests=True)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), "word_bpe_49k.json", end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing,)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(read_documents(spark, sf_dir), "word_bpe_49k.json", end_id=2)
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(read_documents(spark, sf_dir))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(read_documents(spark, sf_dir))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_documents(spark, sf_dir), words=4, num=85, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
