@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, langid, media, packing, token_files, toxicity, tree_bpe, winnowing
+from . import jaccard_join, langid, line_dedup, media, packing, suffix_dedup, token_files, toxicity, tree_bpe, winnowing
 from .common import read_documents
 
 
@@ -12,6 +12,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_documents(spark, sf_dir))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.encode(read_documents(spark, sf_dir), "byte_bpe_50k.json", digests=True)
 
@@ -40,5 +48,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_documents(spark, sf_dir), words=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_line_dedup, op3_suffix_dedup, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join)
+}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
