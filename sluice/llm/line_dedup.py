@@ -128,8 +128,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines")
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
-    out = both.select("row.*", text, count, removed)
-    return out.select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    out = both.select("row", text, count, removed)
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, "n_lines", "n_removed")
 
 
 def keep_some(docs: DataFrame) -> DataFrame:
