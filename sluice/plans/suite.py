@@ -1,19 +1,6 @@
 """All queries of the suite and their oracles."""
 
-from __future__ import annotations
+from . import grouping, layouts, naming, pairing, planning, states  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of byte-identical texts, each with its sorted members; only groups of two or more."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
-    groups = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    return groups.where("n > 1")
-
-
-QUERIES = {"exact_duplicates": exact_duplicates}
-ORACLE_SQL = {
-    "exact_duplicates": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
