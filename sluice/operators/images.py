@@ -78,8 +78,8 @@ def boxes(mask: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int]]:
         new = label.copy()
         for a, b in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
             both = mask[a] & mask[b]
-            low = np.where(both, np.minimum(new[a], new[b]), 0)
-            new[a], new[b] = np.where(both, low, new[a]), np.where(both, low, new[b])
+            for side in (a, b):
+                new[side] = np.where(both, np.minimum(new[a], new[b]), new[side])
         flat = np.concatenate([[0], new.ravel()])
         new = np.where(mask, flat[new], 0)
         if (new == label).all():

@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.tables import save
 
-EVENTS = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def fold(events: DataFrame) -> DataFrame:
