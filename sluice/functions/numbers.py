@@ -52,9 +52,10 @@ def bucket(w: Column, h: Column, mode: str = "dimensions") -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """'', seconds, mm:ss or hh:mm:ss to seconds; null where it is none of them."""
+    """Seconds, mm:ss, hh:mm:ss and so on to seconds; null where it is blank or not finite."""
     parts = F.transform(F.split(F.trim(text), ":"), lambda p: p.try_cast("double"))
-    return F.when((F.trim(text) != "") & (F.size(parts) <= 3), F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x)
+    return F.when((F.trim(text) != "") & (F.abs(total) < float("inf")), total)
 
 
 def format_duration(seconds: Column) -> Column:

@@ -97,7 +97,7 @@ TIMES = [("",), ("90",), ("1:30",), ("01:02:03",), ("x",), ("1:xx",), ("2.5",),
 @query(
     f"""WITH t AS (SELECT text FROM {sql_values(TIMES, 'text')} UNION ALL SELECT (l_linenumber || ':' || CAST(l_quantity AS INTEGER)) FROM lineitem),
 p AS (SELECT text, list_transform(string_split(trim(text), ':'), lambda x: TRY_CAST(x AS DOUBLE)) AS v FROM t)
-SELECT text, CASE WHEN trim(text) = '' OR len(v) > 3 THEN NULL WHEN len(v) = 1 THEN v[1] WHEN len(v) = 2 THEN v[1] * 60 + v[2] ELSE (v[1] * 60 + v[2]) * 60 + v[3] END AS seconds FROM p"""
+SELECT text, CASE WHEN trim(text) = '' THEN NULL WHEN len(v) = 1 THEN v[1] WHEN len(v) = 2 THEN v[1] * 60 + v[2] ELSE (v[1] * 60 + v[2]) * 60 + v[3] END AS seconds FROM p"""
 )
 def parse_times(spark, sf_dir):
     made = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("text"))
