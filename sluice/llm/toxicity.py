@@ -21,6 +21,8 @@ BUCKETS = 1 << 18
 SAMPLE_PER_GRADE = 4_000
 #: Features in fewer documents of a million than this, or in fewer than three, say nothing of a class.
 LEAST_PER_MILLION, LEAST = 200, 3
+#: Nor do features in more than this share of all documents.
+MOST_SHARE = 0.2
 GRADES = 3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,7 +57,7 @@ class Model:
 def fit_sample(data: list[tuple[int, np.ndarray]], epochs: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by stochastic gradients of the cumulative-link likelihood; thresholds stay ordered as the
     first one and the logarithms of the gaps are what is learned."""
-    leader = FollowTheLeader(BUCKETS, 1, alpha=0.5, beta=1.0, l1=0.5, l2=0.05)
+    leader = FollowTheLeader(BUCKETS, 1, alpha=2.0, beta=1.0, l1=3.0, l2=0.05)
     first, gaps = 2.0, np.full(GRADES - 2, 0.5)
     n = np.ones(GRADES - 1)
     for _ in range(epochs):
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_GRADE) -> M
     df = batches(texts.select("text")).mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
     total = int(df.n[df.bucket == -1].sum())
     kept = np.zeros(BUCKETS, dtype=bool)
-    kept[df.bucket[(df.bucket >= 0) & (df.n >= max(LEAST, total * LEAST_PER_MILLION / 1e6))]] = True
+    kept[df.bucket[(df.bucket >= 0) & (df.n >= max(LEAST, total * LEAST_PER_MILLION / 1e6)) & (df.n <= max(LEAST, total * MOST_SHARE))]] = True
 
     share = F.lit(0.0)
     for g, n in sizes.items():
