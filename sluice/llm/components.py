@@ -31,3 +31,30 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("label")).unionAll(edges.select("v", "v")).distinct()
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(doc_id, label) from a forest (a, b) whose parents b are less than their children a: each child's root, and each
+    root itself. Every round halves the paths."""
+    now = save(parents.groupBy("a").agg(F.min("b").alias("b")), "parents")
+    while True:
+        above = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        new = save(now.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "roots")
+        now = new.select("a", "b")
+        if new.where("moved").isEmpty():
+            return now.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).unionAll(now.select("b", "b").distinct())
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the components that the links (a, b) connect made one; ends without a label are their own."""
+    named = links
+    for end in ("a", "b"):
+        to = labels.withColumnsRenamed({"doc_id": end, "label": f"{end}_label"})
+        named = named.join(to, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    between = save(named.where("a_label != b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    top = components(between)
+    moved = labels.join(top.select(F.col("doc_id").alias("label"), F.col("label").alias("top")), "label", "left")
+    moved = moved.select("doc_id", F.coalesce("top", "label").alias("label"))
+    return save(moved.unionAll(top.join(labels, "doc_id", "left_anti").select("doc_id", "label")), "labels")

@@ -5,14 +5,17 @@ shingles into m = H + 1 segments: at least one segment has equal subsets in both
 own H and segments; neighbouring bands meet in a space of their own. Documents with an equal subset are candidates.
 
 Cost. The empty subset is the one that unrelated documents share most, so it gets no key (allocation 0). Its share of
-the bound goes to one-deletion neighbourhoods (allocation 2): with one segment empty in both and none equal beside it, H
-segments hold H differences, hence every one of them exactly one, and the next segment's neighbourhood finds the pair.
-With e such segments all but e - 1 of the others hold exactly one; such documents index the neighbourhoods of all
-segments. Where too many are empty for that (texts of a few words), documents share one key for all of them.
-
-Groups. Candidates of a key are compared with its first document; components of the links found; then only pairs of
-different components are left. Keys with more than CROWD documents of several components are not paired: their
-documents are joined by their rarest shingles instead (any similar pair shares one among the first |x| - ceil(s|x|) + 1).
+the bound goes to one-deletion neighbourhoods (allocation 2). With e segments empty in both and none equal beside them,
+the other H + 1 - e hold at most H differences and at least one each, so all but e - 1 hold exactly one. A document with
+E empty segments indexes the neighbourhoods of the first 2E: with e <= E common ones, at least e of the first 2e are not
+empty in both, so one of these holds exactly one difference and its neighbourhoods meet. Where 2E exceeds the number of
+segments (sets of a few shingles, of odd hashes), documents share one key for all of them.
+
+Groups. Each document is compared with the first of all it shares a key with; links found make components; then only
+pairs of different components are left. The documents of a key are held against each other where they are, by sketches
+of counts that bound their difference from below, and only pairs that sketches leave open go on to be compared whole.
+Keys with more than CROWD documents of several components are not paired: their documents are joined by their rarest
+shingles instead (any similar pair shares one among the first |x| - ceil(s|x|) + 1).
 
 Shingles are 64-bit hashes; sets are compared whole, so results are exact but for hash collisions within a pair.
 """
@@ -20,19 +23,23 @@ Shingles are 64-bit hashes; sets are compared whole, so results are exact but fo
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, partitions, save
-from .components import components
+from .components import joined, roots
 from .winnowing import POWERS
 
-CROWD = 64
-TAG_EXACT, TAG_ALL, TAG_FEW, TAG_RARE = 1, 2, 3, 4
+CROWD = 1_000
+#: Cells of the sketch that pairs are held against each other by, and of its fold that travels with the keys.
+SKETCH, FOLD = 256, 64
+TAG_EXACT, TAG_NEAR, TAG_FEW = 1, 2, 3
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,11 +73,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def sketch(x: np.ndarray, cells: int) -> bytes:
+    """How many elements hash into each of the cells, up to 255, and the size. The sum of differences of the cells of two
+    sets is at most their symmetric difference."""
+    return np.minimum(np.bincount((x >> np.uint64(11)) % np.uint64(cells), minlength=cells), 255).astype(np.uint8).tobytes() + len(x).to_bytes(8, "little")
+
+
 class Similarity:
-    """At least num/den, with bands of sizes [2**b, 2**(b + 1))."""
+    """At least num/den. Bands of sizes grow by 1.4, or as far as the greatest partner of their least size."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.low = [1]
+        while self.low[-1] < 1 << 40:
+            self.low.append(max(self.low[-1] * den // num + 1, self.low[-1] * 7 // 5))
 
     def most(self, total: int) -> int:
         """A bound on the symmetric difference of two similar sets of at most `total` elements together."""
@@ -78,15 +94,20 @@ class Similarity:
 
     def spaces(self, n: int) -> list[tuple[int, int]]:
         """(space, segments) that a set of n elements is in: 2b for its band, odd ones for two neighbouring bands."""
-        b = n.bit_length() - 1
-        out = [(2 * b, self.most(2 * (2 ** (b + 1) - 1)) + 1)]
+        b = bisect_right(self.low, n) - 1
+        out = [(2 * b, self.most(2 * (self.low[b + 1] - 1)) + 1)]
         for low in (b - 1, b):  # the small side from band `low`, the large one from the next
-            top = 2 ** (low + 1) - 1
+            top = self.low[low + 1] - 1
             far = top * self.den // self.num  # the largest partner
             if low >= 0 and far > top and (n * self.den // self.num > top if low == b else n <= far):
                 out.append((2 * low + 1, self.most(top + far) + 1))
         return out
 
+    def possible(self, a: bytes, b: bytes) -> bool:
+        """Whether two sketches leave it open that their sets are similar."""
+        (p, m), (q, n) = ((np.frombuffer(s, np.uint8, SKETCH).astype(np.int16), int.from_bytes(s[SKETCH:], "little")) for s in (a, b))
+        return min(m, n) * self.den >= self.num * max(m, n) and int(np.abs(p - q).sum()) <= self.most(m + n)
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if min(len(a), len(b)) * self.den < self.num * max(len(a), len(b)):
             return False
@@ -94,60 +115,71 @@ class Similarity:
         return both * self.den >= self.num * (len(a) + len(b) - both)
 
 
-def one_deletion(space: int, tag: int, token: np.ndarray, seg: np.ndarray, sums: np.ndarray, size: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
-    """Keys of the subsets of the segments `which` and of those subsets without one element."""
-    part = lambda i, s, n: mix(mix(s + (i * 4 + 1).astype(np.uint64)) + (n * 1024 + space).astype(np.uint64) * np.uint64(8) + np.uint64(tag) * np.uint64(1 << 40))
-    take = np.isin(seg, which)
-    return [part(which, sums[which], size[which]), part(seg[take], sums[seg[take]] - token[take], size[seg[take]] - 1)]
-
-
 def keys(x: np.ndarray, similarity: Similarity) -> np.ndarray:
-    """Index keys of a set: any two similar, unequal sets share one."""
+    """Index keys of a set: any two similar, unequal sets share one. A subset's key is made from the sum of its hashes,
+    so that of the subset without an element takes one subtraction."""
     out = []
+    token = mix(x ^ np.uint64(0x5851F42D4C957F2D))
     for space, m in similarity.spaces(len(x)):
-        seg = (mix(x + np.uint64(space * 2 + 1)) % np.uint64(m)).astype(np.int64)
-        token = mix(x ^ np.uint64(0x5851F42D4C957F2D))
+        seg = ((x ^ (x >> np.uint64(29))) * np.uint64(2 * space + 0x9E3779B97F4A7C15) >> np.uint64(33)) * np.uint64(m) >> np.uint64(31)
+        seg = seg.astype(np.int64)
         size = np.bincount(seg, minlength=m)
         order = np.argsort(seg, kind="stable")
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token[order], dtype=np.uint64)])
         ends = np.cumsum(size)
         sums = running[ends] - running[ends - size]
+
+        def key(i, total, n, tag, space=space):
+            return mix(mix(total + (i * 4 + tag).astype(np.uint64)) + (n * 1024 + space).astype(np.uint64))
+
         full = np.flatnonzero(size)
-        out.append(mix(mix(sums[full] + (full * 4).astype(np.uint64)) + (size[full] * 1024 + space).astype(np.uint64) * np.uint64(8) + np.uint64(TAG_EXACT)))
-        empty = np.flatnonzero(size == 0)
-        for i in empty:
-            out += one_deletion(space, 16 + int(i), token, seg, sums, size, np.array([(i + 1) % m]))
-        if len(empty) >= 2:
-            out += one_deletion(space, TAG_ALL, token, seg, sums, size, np.arange(m))
-            if 2 * len(empty) > m:
+        out.append(key(full, sums[full], size[full], TAG_EXACT))
+        empty = m - len(full)
+        if empty:
+            near = np.arange(min(2 * empty, m))
+            mine = seg < len(near)
+            out += [key(near, sums[near], size[near], TAG_NEAR), key(seg[mine], sums[seg[mine]] - token[mine], size[seg[mine]] - 1, TAG_NEAR)]
+            if 2 * empty > m:
                 out.append(mix(np.array([space * 8 + TAG_FEW], dtype=np.uint64)))
     return np.unique(np.concatenate(out))
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of 64-bit numbers, byte by byte: all first bytes, all second bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    rows = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    full = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    full[:, :width] = rows.T
+    return full.view("<u8").ravel()
+
+
 def deal(df: DataFrame, found, n: int) -> DataFrame:
     """Keys of each row (doc_id, text) as found(text) gives them, brought together by key; rows (run, doc_id) for the keys
-    of two or more documents. Keys of one batch travel as one blob per receiver. Of several keys of one receiver with the
-    same documents one is enough."""
+    of two or more documents. Keys of one batch travel as one blob per receiver, 48 bits of each: a false candidate
+    costs a comparison. Of several keys of one receiver with the same documents one is enough."""
 
     def send(it):
         for b in it:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             lists = [found(t) for t in b.column(1).to_pylist()]
-            key = np.concatenate([*lists, np.zeros(0, np.uint64)])
+            key = np.concatenate([*lists, np.zeros(0, np.uint64)]) & np.uint64((1 << 48) - 1)
             doc = np.repeat(ids, [len(x) for x in lists])
             to = (key % np.uint64(n)).astype(np.int64)
             order = np.lexsort((key, to))
             key, doc, to = key[order], doc[order], to[order]
             cut = np.searchsorted(to, np.arange(n + 1))
             some = [i for i in range(n) if cut[i] < cut[i + 1]]
-            columns = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (key, doc.astype(np.int64))]
+            columns = [pa.array([planes(x[cut[i] : cut[i + 1]], width) for i in some], pa.binary()) for x, width in ((key, 6), (doc.astype(np.int64), 8))]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *columns], names=["to", "keys", "docs"])
 
     def meet(it):
         key, doc = [], []
         for b in it:
-            key += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            doc += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            key += [from_planes(x, 6) for x in b.column(1).to_pylist()]
+            doc += [from_planes(x, 8).view(np.int64) for x in b.column(2).to_pylist()]
         if key:
             key, doc = np.concatenate(key), np.concatenate(doc)
             order = np.lexsort((doc, key))
@@ -183,12 +215,13 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
         for b in it:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             marks = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), *(pa.array([sketch(x, cells) for x in sets], pa.binary()) for cells in (SKETCH, FOLD))], names=["doc_id", "n_shingles", "mark", "sketch", "fold"])
 
-    every = save(batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, mark binary"), "sets")
+    every = save(batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, mark binary, sketch binary, fold binary"), "sets")
     real = every.where("doc_id IS NOT NULL AND mark IS NOT NULL")
-    marks = real.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    marks = real.groupBy("mark").agg(F.min("doc_id").alias("node"))
     nodes = save(real.select("doc_id", "mark").distinct().join(marks, "mark").select("doc_id", "node"), "nodes")
+    sketches = real.groupBy("doc_id").agg(F.collect_list("sketch").alias("sketches"))  # one, but for repeated doc_ids
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def found(text):
@@ -196,57 +229,131 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
         return keys(x, similarity) if len(x) else x
 
     runs = save(deal(texts, found, n), "runs")
-    links = nodes.where("doc_id != node").selectExpr("doc_id AS a", "node AS b")
     members = save(runs.join(nodes, "doc_id").select("run", "node").distinct(), "members")
+    proof = Proof(texts, sketches, real.select("doc_id", "fold"), words, similarity)
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    links = nodes.where("doc_id != node").selectExpr("doc_id AS a", "node AS b")
+    # Each copy has its first document above it, each other document the first that it is linked with.
+    links = save(links.unionAll(first_links(members, proof).selectExpr("b AS a", "a AS b")), "links")
+    labels = joined(roots(links), links)
+    left = save(of_several(members, labels), "rest")
+    more = proof.links(across(left.where(F.col("n") <= crowd), proof))
+    crowded = left.where(F.col("n") > crowd).select(F.col("node").alias("doc_id")).distinct()
+    if not crowded.isEmpty():
+        more = more.unionAll(by_rarest(save(crowded, "crowded"), labels, proof))
+    labels = joined(labels, save(more, "links"))
+    return every.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
-    def as_set(it):
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
 
-    sets = save(batches(texts.join(wanted, "doc_id").select("doc_id", "text")).mapInArrow(as_set, "doc_id long, elements binary"), "elements")
+def first_links(members: DataFrame, proof: Proof) -> DataFrame:
+    """Each document against the first of those that it shares a key with and may be similar to."""
+    least = members.groupBy("run").agg(F.min("node").alias("a"))
+    pairs = proof.likely(members.join(least, "run").where("a < node").select("a", F.col("node").alias("b")).distinct())
+    return proof.links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), likely=True)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that are linked."""
 
-        def check(it):
+def of_several(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their components and the size of the run, of runs with several components."""
+    named = members.join(labels.withColumnsRenamed({"doc_id": "node"}), "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
+    several = named.groupBy("run").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least != most")
+    return named.join(several.select("run", "n"), "run")
+
+
+def across(members: DataFrame, proof: Proof) -> DataFrame:
+    """Pairs (a, b) of different components within a run that the folds of their sketches leave open."""
+    similarity = proof.similarity
+
+    def pairs(node, label, size, cells):
+        order = np.argsort(size, kind="stable")
+        node, label, size, cells = node[order], label[order], size[order], cells[order]
+        for i in range(0, len(node) - 1):
+            end = int(np.searchsorted(size, size[i] * similarity.den // similarity.num, side="right"))
+            far = np.abs(cells[i + 1 : end] - cells[i]).sum(axis=1, dtype=np.int64)
+            j = i + 1 + np.flatnonzero((far <= similarity.most(size[i] + size[i + 1 : end])) & (label[i + 1 : end] != label[i]))
+            yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
+
+    def run(it):
+        held, last = [], None
+
+        def flush():
+            node, label, fold = zip(*held, strict=True)
+            size = np.array([int.from_bytes(f[FOLD:], "little") for f in fold])
+            cells = np.frombuffer(b"".join(f[:FOLD] for f in fold), np.uint8).reshape(-1, FOLD).astype(np.int16)
+            return list(pairs(np.array(node), np.array(label), size, cells))
+
+        for b in it:
+            found = []
+            for r, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != last and held:
+                    found += flush()
+                    held = []
+                last = r
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
+        if held:
+            found = flush()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
+
+    full = members.join(proof.folds.withColumnRenamed("doc_id", "node"), "node").select("run", "node", "label", "fold")
+    return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run"), 5000).mapInArrow(run, "a long, b long").distinct()
+
+
+class Proof:
+    """Decides which pairs (a, b) are linked. Sketches rule most pairs out; sets are made of the texts of the rest only."""
+
+    def __init__(self, texts: DataFrame, sketches: DataFrame, folds: DataFrame, words: int, similarity: Similarity):
+        self.texts, self.sketches, self.words, self.similarity = texts, sketches, words, similarity
+        self.folds = folds
+        self.sets: DataFrame | None = None
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that their sketches do not rule out."""
+        similarity = self.similarity
+
+        def run(it):
             for b in it:
-                ok = [similarity.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                ok = [any(similarity.possible(p, q) for p in x for q in y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-        both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "elements": "y"}), "b")
-        close = both.where(F.least(F.length("x"), F.length("y")) * den >= num * F.greatest(F.length("x"), F.length("y")))
-        return batches(close.select("a", "b", "x", "y"), 256).mapInArrow(check, "a long, b long").distinct()
+        x, y = (self.sketches.withColumnsRenamed({"doc_id": i, "sketches": k}) for i, k in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return save(batches(both, 2000).mapInArrow(run, "a long, b long"), "likely")
 
-    def rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members with their components, of runs with several components."""
-        named = members.join(labels.withColumnsRenamed({"doc_id": "node"}), "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
-        several = named.groupBy("run").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least != most")
-        return named.join(several.select("run", "n"), "run")
+    def need(self, ids: DataFrame) -> DataFrame:
+        """The sets of at least these documents (doc_id)."""
+        words = self.words
 
-    def pair(left: DataFrame) -> DataFrame:
-        a, b = (left.selectExpr("run", f"node AS {x}", f"label AS {x}_label") for x in "ab")
-        return a.join(b, "run").where("a < b AND a_label != b_label").select("a", "b").distinct()
+        def run(it):
+            for b in it:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
 
-    def first_links(members: DataFrame) -> DataFrame:
-        least = members.groupBy("run").agg(F.min("node").alias("a"))
-        return verify(members.join(least, "run").where("a < node").select("a", F.col("node").alias("b")).distinct())
+        ids = ids.distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
+        ids = save(ids, "wanted")
+        if self.sets is None or not ids.isEmpty():
+            made = save(batches(self.texts.join(ids, "doc_id").select("doc_id", "text")).mapInArrow(run, "doc_id long, elements binary"), "elements")
+            self.sets = made if self.sets is None else self.sets.unionAll(made)
+        return self.sets
 
-    links = save(links.unionAll(first_links(members)), "links")
-    labels = components(links)
-    left = save(rest(members, labels), "rest")
-    more = verify(pair(left.where(F.col("n") <= crowd)))
-    crowded = left.where(F.col("n") > crowd).select(F.col("node").alias("doc_id")).distinct()
-    if not crowded.isEmpty():
-        more = more.unionAll(by_rarest(sets, save(crowded, "crowded"), labels, similarity, verify, rest, pair, first_links, n))
-    labels = components(save(links.unionAll(more), "links"))
-    return every.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    def links(self, pairs: DataFrame, likely: bool = False) -> DataFrame:
+        similarity = self.similarity
+
+        def run(it):
+            for b in it:
+                ok = [similarity.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+        pairs = save(pairs, "pairs") if likely else self.likely(pairs)
+        sets = self.need(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        x, y = (sets.withColumnsRenamed({"doc_id": i, "elements": k}) for i, k in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return save(batches(both, 256).mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def by_rarest(sets, crowded, labels, similarity, verify, rest, pair, first_links, n) -> DataFrame:
+def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:
     """Links between documents of crowded keys, by the shingles of theirs that fewest of them have."""
-    own = sets.join(crowded, "doc_id")
+    own = proof.need(crowded).join(crowded, "doc_id")
 
     def spread(it):
         for b in it:
@@ -257,8 +364,10 @@ def by_rarest(sets, crowded, labels, similarity, verify, rest, pair, first_links
     flat = save(batches(own.select("doc_id", "elements")).mapInArrow(spread, "doc_id long, size long, shingle long"), "flat")
     often = flat.groupBy("shingle").agg(F.count("*").alias("often"))
     ranked = flat.join(often, "shingle").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    similarity = proof.similarity
     prefix = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * similarity.num / similarity.den) + 1).cast("int"))
     runs = ranked.select(F.col("doc_id").alias("node"), F.explode(prefix).alias("s")).where("s.often > 1").select(F.col("s.shingle").alias("run"), "node")
     runs = save(runs, "rare")
-    links = save(first_links(runs), "links")
-    return links.unionAll(verify(pair(rest(runs, components(links.unionAll(labels.selectExpr("doc_id AS a", "label AS b").where("a != b")))))))
+    links = first_links(runs, proof)
+    known = joined(labels, links)
+    return links.unionAll(proof.links(across(of_several(runs, known), proof)))
