@@ -1,14 +1,16 @@
 """Removal of byte strings of LENGTH that an earlier document has, by suffix arrays over shards.
 
 1. Anchors. In each string of LENGTH bytes the least hash of its GRAM-byte grams (the rightmost of equal ones) is its
-   anchor: equal strings have equal anchors. Each document's anchors go to the receiver of their hash, as blobs.
-   Receivers return to each document those that another document has too; nothing else can be a repeat.
-2. Shards. The bytes about such an anchor, as far as a string with it can reach, go to the shard of its hash, so that
-   equal strings meet in one shard. There a suffix array is made by refinement of ranks (Larsson and Sadakane), common
-   prefixes follow by Kasai's rule, and neighbours with LENGTH common bytes form classes; each has its least doc_id.
-3. Across shards. Anchors of more than HOT documents would make one shard too large. Their strings are spread over all
+   anchor: equal strings have equal anchors. A string can only lie in its anchor's context, the bytes about the anchor
+   as far as a string with it can reach. Each document sends the hashes of its anchors and of their contexts to the
+   receiver of the anchor. Where an earlier document has the same context, the whole context goes.
+2. Shards. What is left to decide are anchors with several contexts; the first document of each context sends it to the
+   shard of the anchor, so that equal strings meet in one shard. There a suffix array is made by refinement of ranks
+   (Larsson and Sadakane), common prefixes follow by Kasai's rule, and neighbours with LENGTH common bytes form classes;
+   each has its least doc_id.
+3. Across shards. Anchors of more than HOT contexts would make one shard too large. Their strings are spread over all
    receivers instead, each string by its own hash, as sorted lists from every sender; a receiver merges the lists by
-   binary search. Equal strings about an anchor travel once a batch, with all places where they stand.
+   binary search.
 4. Spans of removed bytes go back to their documents by a join on the doc_id.
 """
 
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions
-from .jaccard_join import mix
+from .common import batches, partitions, save
+from .jaccard_join import from_planes, mix, planes
 from .winnowing import POWERS
 
-LENGTH, GRAM = 50, 16
+#: Grams this long seldom repeat by chance; longer ones would make more anchors.
+LENGTH, GRAM = 50, 20
 HOT = 1_000
 #: Bytes of distinct contexts that one suffix array takes at a time.
 SHARD_BYTES = 1 << 20
@@ -146,12 +149,20 @@ def spans(docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
     return docs[first], starts[first], starts[last] + length
 
 
-def blobs(to: np.ndarray, n: int, *columns: np.ndarray):
-    """(receiver, bytes of each column), for the receivers that get any."""
+def blobs(to: np.ndarray, n: int, *columns: tuple[np.ndarray, int]):
+    """(receiver, bytes of each column), for the receivers that get any; columns in so many byte planes, or as they are for 0."""
     order = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(n + 1))
-    columns = [c[order] for c in columns]
-    return [(i, *(c[cut[i] : cut[i + 1]].tobytes() for c in columns)) for i in range(n) if cut[i] < cut[i + 1]]
+    columns = [(c[order], width) for c, width in columns]
+    return [(i, *(planes(c[cut[i] : cut[i + 1]], width) if width else c[cut[i] : cut[i + 1]].tobytes() for c, width in columns)) for i in range(n) if cut[i] < cut[i + 1]]
+
+
+def context_hashes(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Hashes of the contexts of the anchors at these places, with how far they reach to either side."""
+    low, high = np.maximum(0, at - length + gram), np.minimum(len(data), at + length)
+    up, down = POWERS.get(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+    return mix((sums[high] - sums[low]) * down[low] + ((at - low) * 1024 + high - at).astype(np.uint64))
 
 
 def record_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -160,43 +171,62 @@ def record_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordB
 
 
 def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, spans): for each document that loses any, pairs of 64-bit (start, end), maximal and ascending."""
+    """(doc_id, spans, full): for each document that loses any, lists of pairs of 64-bit (start, end), and of 64-bit places
+    of anchors whose contexts go."""
     spark = texts.sparkSession
     n = partitions(spark)
     joined = lambda xs, kind: np.concatenate([np.frombuffer(x, kind) for x in xs] or [np.zeros(0, kind)])
 
     def send_anchors(it):
         for b in it:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            found = [np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length, gram)[0]) for t in b.column(1).to_pylist()]
-            key, doc = np.concatenate([*found, np.zeros(0, np.uint64)]), np.repeat(ids, list(map(len, found)))
-            yield record_batch(blobs((key % np.uint64(n)).astype(np.int64), n, key, doc), ["to", "keys", "docs"], [pa.int32(), pa.binary(), pa.binary()])
+            parts = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(t.encode(), np.uint8)
+                h, at = anchors(data, length, gram)
+                if len(h):
+                    parts.append((h, context_hashes(data, at, length, gram), np.full(len(h), d, np.int64), at))
+            if parts:
+                key, context, doc, at = map(np.concatenate, zip(*parts, strict=True))
+                rows = blobs((key % np.uint64(n)).astype(np.int64), n, (key // np.uint64(n), 5), (context, 6), (doc.astype(np.uint64), 8), (at.astype(np.uint64), 8))
+                yield record_batch(rows, ["to", "keys", "contexts", "docs", "places"], [pa.int32(), *[pa.binary()] * 4])
 
     def shared_anchors(it):
-        keys, docs = [], []
+        got = [[], [], [], []]
         for b in it:
-            keys += b.column(1).to_pylist()
-            docs += b.column(2).to_pylist()
-        key, doc = joined(keys, np.uint64), joined(docs, np.int64)
-        del keys, docs
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        if len(key):
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(start, len(key)))
-            least, most = doc[start], doc[start + size - 1]
-            many, keep = np.repeat(size > hot, size), np.repeat(least != most, size)
-            key, doc, many = key[keep], doc[keep], many[keep]
-            order = np.argsort(doc, kind="stable")
-            key, doc, many = key[order], doc[order], many[order]
+            for column, width, into in zip(b.columns[1:], (5, 6, 8, 8), got, strict=True):
+                into += [from_planes(x, width) for x in column.to_pylist()]
+        if not got[0]:
+            return
+        key, context, doc, at = map(np.concatenate, got)
+        del got
+        doc, at = doc.view(np.int64), at.view(np.int64)
+        order = np.lexsort((at, doc, context, key))
+        key, context, doc, at = key[order], context[order], doc[order], at[order]
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new_context = new_key | np.concatenate([[True], context[1:] != context[:-1]])
+        first = np.flatnonzero(new_context)  # the first document of each context
+        own = np.cumsum(new_context) - 1
+        full = doc > doc[first][own]
+        group = (np.cumsum(new_key) - 1)[first]
+        contexts = np.bincount(group)[group]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        many = np.minimum.reduceat(doc[first], start)[group] != np.maximum.reduceat(doc[first], start)[group]
+        kind = np.where(full, 1, 0).astype(np.int8)
+        kind[first] = np.where(many, np.where(contexts > hot, 3, 2), 0)
+        keep = kind > 0
+        key, doc, at, kind = key[keep], doc[keep], at[keep], kind[keep]
+        order = np.lexsort((at, doc))
+        doc, at, kind = doc[order], at[order], kind[order]
         cut = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else [], len(doc)).astype(np.int64)
-        for at in range(0, len(cut) - 1, 2000):
-            rows = [(int(doc[a]), key[a:z][~many[a:z]].tobytes(), key[a:z][many[a:z]].tobytes()) for a, z in zip(cut[at : at + 2000], cut[at + 1 : at + 2001])]  # noqa: B905
-            yield record_batch(rows, ["doc_id", "cold", "hot"], [pa.int64(), pa.binary(), pa.binary()])
+        for i in range(0, len(cut) - 1, 2000):
+            rows = [(int(doc[a]), *(at[a:z][kind[a:z] == k].tobytes() for k in (1, 2, 3))) for a, z in zip(cut[i : i + 2000], cut[i + 1 : i + 2001])]  # noqa: B905
+            yield record_batch(rows, ["doc_id", "full", "cold", "hot"], [pa.int64(), *[pa.binary()] * 3])
 
-    dealt = batches(texts).mapInArrow(send_anchors, "to int, keys binary, docs binary").repartitionById(n, F.col("to"))
-    shared = dealt.mapInArrow(shared_anchors, "doc_id long, cold binary, hot binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("cold").alias("cold"), F.collect_list("hot").alias("hot"))  # at most the anchors of a document
+    dealt = batches(texts).mapInArrow(send_anchors, "to int, keys binary, contexts binary, docs binary, places binary").repartitionById(n, F.col("to"))
+    shared = dealt.mapInArrow(shared_anchors, "doc_id long, full binary, cold binary, hot binary")
+    lists = [F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c) for c in ("full", "cold", "hot")]
+    shared = save(shared.groupBy("doc_id").agg(*lists), "anchors")  # at most the anchors of a document
+    open_ = shared.where((F.size("cold") > 0) | (F.size("hot") > 0)).select("doc_id", "cold", "hot")
 
     def send_strings(it):
         for b in it:
@@ -204,15 +234,14 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             far, key, late, start = [], [], [], []
             for d, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = t.encode()
-                h, at = anchors(np.frombuffer(data, np.uint8), length, gram)
-                mine = np.isin(h, joined(cold, np.uint64))
-                for k, p in zip(h[mine].tolist(), at[mine].tolist(), strict=True):
+                for p in joined(cold, np.int64).tolist():
+                    k = int(rolling(np.frombuffer(data[p : p + gram], np.uint8), gram)[0])
                     low = max(0, p - length + gram)
                     number, which, doc, base = shards.setdefault(k % n, ({}, [], [], []))
                     which.append(number.setdefault((k, data[low : p + length]), len(number)))
                     doc.append(d)
                     base.append(low)
-                p = at[np.isin(h, joined(warm, np.uint64))]
+                p = joined(warm, np.int64)
                 if len(p):
                     s = np.unique(np.concatenate([np.arange(max(0, x - length + gram), min(x, len(data) - length) + 1) for x in p]))
                     x = rolling(np.frombuffer(data, np.uint8), length)[s]
@@ -224,7 +253,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                 key, late, start = map(np.concatenate, (key, late, start))
                 order = np.lexsort((late, key))
                 key, late, start = key[order], late[order], start[order]
-                rows += [(i, None, k, None, d, s) for i, k, d, s in blobs((key % np.uint64(n)).astype(np.int64), n, key, late, start)]
+                rows += [(i, None, k, None, d, s) for i, k, d, s in blobs((key % np.uint64(n)).astype(np.int64), n, (key, 0), (late, 0), (start, 0))]
             yield record_batch(rows, ["to", "contexts", "keys", "which", "docs", "starts"], [pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 4])
 
     def in_shards(it):
@@ -273,29 +302,35 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         late = [d > least[np.searchsorted(key, k)] for k, d, _ in lists]
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
-    with_text = batches(texts.join(shared, "doc_id").select("doc_id", "text", "cold", "hot"))
+    with_text = batches(texts.join(open_, "doc_id").select("doc_id", "text", "cold", "hot"))
     strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary")
-    return strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, "doc_id long, spans binary")
+    found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, "doc_id long, spans binary")
+    found = found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))  # at most the spans of a document
+    return found.join(shared.where(F.size("full") > 0).select("doc_id", "full"), "doc_id", "full_outer")
 
 
 def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs as a column `row`, and the columns of `kind` that finish(text in UTF-8, spans) gives for each row.
+    """docs as a column `row` (all but the text) and `text`, and the columns of `kind` that finish(text in UTF-8, spans)
+    gives for each row.
 
     Strings are judged on the input, also in spans that go. Null text is empty. A row with a null doc_id neither loses
     anything nor makes others lose. Rows of one doc_id do not make each other lose; if their texts differ, each loses
     what any of them does, as far as its text goes. An empty table stays empty; other columns are kept as they are.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = removed(texts, length, gram, hot).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")).withColumnRenamed("doc_id", "k")  # at most the spans of a document
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = rows.join(gone, "k", "left").select("row", "text", "spans")
+    gone = removed(texts, length, gram, hot).withColumnRenamed("doc_id", "k")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
+    both = rows.join(gone, "k", "left").select("row", "text", "spans", "full")
 
     def run(it):
         for b in it:
             out = []
-            for t, lists in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = t.encode()
-                pairs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or []] or [np.zeros((0, 2), np.int64)])
+            for t, lists, full in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                data = (t or "").encode()
+                at = np.concatenate([np.frombuffer(x, np.int64) for x in full or []] or [np.zeros(0, np.int64)])
+                near = np.stack([np.maximum(0, at - length + gram), np.minimum(at + length, len(data))], axis=1)
+                pairs = np.concatenate([near[near[:, 1] - near[:, 0] >= length], *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or [])])
                 pairs = np.minimum(pairs[np.argsort(pairs[:, 0], kind="stable")], len(data))
                 merged: list[list[int]] = []
                 for a, z in pairs.tolist():
@@ -305,14 +340,14 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
                         merged.append([a, z])
                 out.append(finish(data, merged))
             added = record_batch(out, names, kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *added.columns], names=["row", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *added.columns], names=["row", "text", *names])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(kind))
     names, kinds = schema.names, schema.types
-    return batches(both).mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, {kind}")
+    return batches(both).mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, text string, {kind}")
 
 
 def left_over(data: bytes, gone: list[list[int]]) -> bytes:
@@ -354,5 +389,5 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
 
     done = cut(docs, finish, "left_text string, changed boolean", **settings)
     done = done.where(~F.col("changed") | F.col("left_text").rlike(r"\S"))
-    text = F.when(F.col("changed"), F.col("left_text")).otherwise(F.col("row.text")).alias("text")
+    text = F.when(F.col("changed"), F.col("left_text")).otherwise(F.col("text")).alias("text")
     return done.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
