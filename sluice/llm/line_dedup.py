@@ -1,6 +1,6 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is its words: lower case, white space squeezed. Two lines are the same if their words are; lines of at least
+A line is its words: lower case, ASCII white space squeezed. Two lines are the same if their words are; lines of at least
 LEAST_WORDS words are also the same if one word inserted, deleted or replaced makes one the other. A line goes if the
 same line, in either sense, first occurs earlier (by doc_id, then line number), even if that one goes itself.
 
@@ -27,21 +27,28 @@ FIRST_ID = -(2**63)
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda x: x != "")
+    """Lower-case words between blanks, tabs and the like (ASCII)."""
+    plain = F.translate(F.lower(line), "\t\x0b\f\r", "    ")
+    return F.filter(F.split(plain, " "), lambda x: x != "")
 
 
 def is_blank(line: Column) -> Column:
-    return ~line.rlike(r"\S")
+    return ~line.rlike(r"[^ \t\x0B\f\r\n]")
+
+
+def row_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(FIRST_ID))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(k, th, ln, line): the lines with any word; k and th tell rows of documents apart."""
-    rows = docs.where("text IS NOT NULL").select(row_id(F.col("doc_id")).alias("k"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return rows.where(~is_blank(F.col("line")))
+    """(k, ln, w): the lines with any word; docs has k and text."""
+    rows = docs.where("text IS NOT NULL").select("k", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return rows.select("k", "ln", words(F.col("line")).alias("w")).where(F.size("w") > 0)
 
 
-def row_id(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(FIRST_ID))
+def identity(w: Column) -> list[Column]:
+    """128 bits that tell lines apart."""
+    return [F.xxhash64(w).alias("id"), F.xxhash64(F.lit(1), w).alias("id2")]
 
 
 def halves(w: Column) -> Column:
@@ -54,56 +61,57 @@ def halves(w: Column) -> Column:
     return F.array_distinct(F.array(*out))
 
 
-def place(*names: str) -> Column:
-    return F.struct(*names)
-
-
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(k, th, ln) of all lines that go."""
-    listed = lines(docs).withColumn("w", words(F.col("line")))
+    """(k, ln) of all lines that go; docs has k and text.
+
+    A line is known by the place (k, ln) where it first occurs. Rows of variants hold nothing but that and their keys.
+    """
     n = F.size("w")
-    found = listed.select("k", "th", "ln", n.alias("n"), F.unhex(F.md5(F.array_join("w", " "))).alias("id"), F.when(n >= LEAST_WORDS, halves(F.col("w"))).alias("halves"))
+    found = lines(docs).select("k", "ln", n.alias("n"), *identity(F.col("w")), F.when(n >= LEAST_WORDS, halves(F.col("w"))).alias("halves"))
     found = save(found, "lines")
-    kinds = found.groupBy("id").agg(F.min(place("k", "th", "ln")).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    kinds = found.groupBy("id", "id2").agg(F.min(F.struct("k", "ln")).alias("first"), F.max("n").alias("n"))
     kinds = save(kinds, "kinds")
+    firsts = kinds.where(F.col("n") >= LEAST_WORDS).select("first.k", "first.ln", "id", "id2")
 
-    half = kinds.where("halves IS NOT NULL").select("id", F.explode("halves").alias("half"))
+    half = found.where("halves IS NOT NULL").join(firsts, ["k", "ln", "id", "id2"]).select("k", "ln", "id", "id2", F.explode("halves").alias("half"))
+    half = save(half, "halves")
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    alive = half.join(shared, "half", "left_semi").select("id").distinct()
-    alive = kinds.join(alive, "id", "left_semi").select("id", "n", "first.*")
-    own = lines(docs).join(alive, ["k", "th", "ln"]).select("id", "n", place("k", "th", "ln").alias("first"), words(F.col("line")).alias("w")).dropDuplicates(["id"])
+    alive = half.join(shared, "half", "left_semi").groupBy("k").agg(F.collect_set(F.struct("ln", "id", "id2")).alias("alive"))  # at most the lines of a document
+    own = docs.where("text IS NOT NULL").join(alive, "k").select("k", F.split("text", "\n").alias("all"), F.explode("alive").alias("a"))
+    own = own.select("k", "a.ln", "a.id", "a.id2", words(F.get("all", F.col("a.ln"))).alias("w"))
+    same = identity(F.col("w"))
+    own = own.where((F.col("id") == same[0]) & (F.col("id2") == same[1])).dropDuplicates(["k", "ln"]).select("k", "ln", "w")
     own = save(own, "alive")
 
-    each = own.select("id", "n", "first", F.posexplode("w").alias("i", "word"))
-    each = each.select("id", "n", "first", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("id")
-    past = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rest = line.orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
+    each = own.select("k", "ln", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    each = each.select("k", "ln", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    past = Window.partitionBy("k", "ln").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("k", "ln").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     xor = lambda a, b: a.bitwiseXOR(b)
-    before, behind = (F.coalesce(F.bit_xor(c).over(w), zero) for c, w in (("here", past), ("here", rest)))
-    after = F.coalesce(F.bit_xor("moved").over(rest), zero)
-    variants = save(each.select("id", "n", "first", "i", xor(before, behind).alias("replaced"), xor(before, after).alias("deleted"), xor(xor(before, F.col("here")), behind).alias("whole")), "variants")
-
-    swap = variants.select("id", "n", "first", "i", F.col("replaced").alias("key"))
-    least = swap.groupBy("n", "i", "key").agg(F.min(F.struct("first", "id")).alias("top"))
-    swapped = swap.join(least, ["n", "i", "key"]).where("first > top.first").select("id", F.col("top.id").alias("by"), F.lit(-1).alias("cut"))
-
-    whole = variants.where("i = 0").select(F.col("id").alias("a"), F.col("first").alias("a_first"), F.col("n").alias("m"), F.col("whole").alias("key"))
-    longer = variants.select("id", "first", "i", (F.col("n") - 1).alias("m"), F.col("deleted").alias("key"))
-    top = longer.groupBy("m", "key").agg(F.min(F.struct("first", "id", "i")).alias("top"))
-    shorter = whole.join(top, ["m", "key"]).where("top.first < a_first").select(F.col("a").alias("id"), F.col("top.id").alias("by"), F.col("top.i").alias("cut"), F.lit(False).alias("is_longer"))
-    grown = longer.join(whole, ["m", "key"]).where("a_first < first").select("id", F.col("a").alias("by"), F.col("i").alias("cut"), F.lit(True).alias("is_longer"))
-
-    text = own.select("id", "w")
-    with_words = lambda pairs: pairs.distinct().join(text, "id").join(text.selectExpr("id AS by", "w AS v"), "by")
-    same = F.size(F.filter(F.zip_with("w", "v", lambda a, b: ~a.eqNullSafe(b)), lambda x: x)) <= 1
-    near = with_words(swapped).where((F.size("w") == F.size("v")) & same).select("id")
+    run = each.select("*", F.bit_xor("here").over(past).alias("so_far"), F.bit_xor("moved").over(past).alias("moved_far"), F.bit_xor("here").over(whole).alias("whole"), F.bit_xor("moved").over(whole).alias("moved_all"))
+    variants = run.select("k", "ln", "n", "i", xor(F.col("whole"), F.col("here")).alias("replaced"), xor(xor(F.col("so_far"), F.col("here")), xor(F.col("moved_all"), F.col("moved_far"))).alias("deleted"), F.when(F.col("i") == 0, F.col("whole")).alias("whole"))
+    variants = save(variants, "variants")
+
+    # One row for each key: the replaced word's place is hashed in, a deletion and the line that it equals have one kind.
+    at = F.struct("k", "ln")
+    swap = variants.select(F.xxhash64(F.lit(1), "n", "i", "replaced").alias("key"), "k", "ln")
+    least = swap.groupBy("key").agg(F.min(at).alias("top"), F.count("*").alias("c")).where("c > 1").select("key", "top")
+    swapped = swap.join(least, "key").where(at > F.col("top")).select("k", "ln", "top", F.lit(-1).alias("cut"), F.lit(False).alias("is_longer"))
+
+    shorter = variants.where("whole IS NOT NULL").select(F.xxhash64("n", "whole").alias("key"), F.struct("k", "ln").alias("a"))
+    longer = variants.select(F.xxhash64(F.col("n") - 1, "deleted").alias("key"), "k", "ln", "i").join(shorter, "key")
+    top = longer.where(at < F.col("a")).groupBy("a").agg(F.min(F.struct("k", "ln", "i")).alias("t"))
+    shrunk = top.select("a.k", "a.ln", F.struct("t.k", "t.ln").alias("top"), F.col("t.i").alias("cut"), F.lit(False).alias("is_longer"))
+    grown = longer.where(F.col("a") < at).select("k", "ln", F.col("a").alias("top"), F.col("i").alias("cut"), F.lit(True).alias("is_longer"))
+
+    text = own.select(F.struct("k", "ln").alias("top"), F.col("w").alias("v"))
+    both = swapped.unionAll(shrunk).unionAll(grown).distinct().join(own, ["k", "ln"]).join(text, "top")
+    differ = F.size(F.filter(F.zip_with("w", "v", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
     long, short = F.when(F.col("is_longer"), F.col("w")).otherwise(F.col("v")), F.when(F.col("is_longer"), F.col("v")).otherwise(F.col("w"))
     fits = F.concat(F.slice(long, 1, F.col("cut")), F.slice(long, F.col("cut") + 2, F.size(long))) == short
-    near = near.unionAll(with_words(shorter.unionAll(grown)).where(fits).select("id")).distinct().withColumn("near", F.lit(True))
-    gone = kinds.select("id", "first").join(near, "id", "left")
-    return found.join(gone, "id").where((F.col("first") != place("k", "th", "ln")) | F.col("near")).select("k", "th", "ln")
+    near = both.where(F.when(F.col("cut") < 0, (F.size("w") == F.size("v")) & (differ <= 1)).otherwise(fits)).select(F.struct("k", "ln").alias("first")).distinct().withColumn("near", F.lit(True))
+    gone = kinds.join(near, "first", "left")
+    return found.select("k", "ln", "id", "id2").join(gone, ["id", "id2"]).where((F.col("first") != at) | F.col("near")).select("k", "ln")
 
 
 def flags(gone: Column, n: Column) -> Column:
@@ -115,14 +123,17 @@ def flags(gone: Column, n: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and in `text` only the lines that stay.
 
-    Null text stays null (0 lines); blank lines always stay and count as lines. Rows with equal doc_id and text are one
-    document: both keep what it keeps. Rows with null doc_id come before all others. An empty table stays empty.
+    Null text stays null (0 lines); blank lines always stay and count as lines. Rows of one doc_id count as one document
+    and lose the same line numbers. Rows with null doc_id come before all others. An empty table stays empty.
     Other columns are kept as they are, but for columns named n_lines or n_removed, which are replaced.
     """
-    gone = duplicates(docs).groupBy("k", "th").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
+    texts = docs.select(row_id(F.col("doc_id")).alias("k"), F.col("text").cast("string").alias("text"))
+    gone = duplicates(texts).groupBy("k").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text", row_id(F.col("doc_id")).alias("k"), F.xxhash64("text").alias("th"))
-    both = row.join(gone, ["k", "th"], "left").withColumn("all", F.split("text", "\n"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text", row_id(F.col("doc_id")).alias("k"))
+    both = row.join(gone, "k", "left").select("row", "text", F.split("text", "\n").alias("all"), "gone")
+    inside = F.filter("gone", lambda x: x < F.size("all"))
+    both = both.withColumn("gone", F.when(F.size(inside) > 0, inside))
     marked = F.zip_with("all", flags(F.col("gone"), F.size("all")), lambda x, out: F.struct(x.alias("x"), out.alias("out")))
     left = F.array_join(F.transform(F.filter(marked, lambda m: ~m["out"]), lambda m: m["x"]), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text")
@@ -141,7 +152,7 @@ def keep_some(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents),
-ws AS (SELECT doc_id, ln, line, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') AS w FROM rows),
+ws AS (SELECT doc_id, ln, line, list_filter(regexp_split_to_array(lower(line), '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM rows),
 occ AS (SELECT doc_id, ln, w, array_to_string(w, ' ') AS id, len(w) AS n FROM ws WHERE len(w) > 0),
 kinds AS (SELECT id, any_value(w) AS w, any_value(n) AS n, min(doc_id * 1000000 + ln) AS pos FROM occ GROUP BY id),
 each AS (SELECT id, n, pos, w, unnest(range(1, n + 1)) AS i FROM kinds WHERE n >= {LEAST_WORDS}),
