@@ -215,17 +215,44 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         kind[first] = np.where(many, np.where(contexts > hot, 3, 2), 0)
         keep = kind > 0
         key, doc, at, kind = key[keep], doc[keep], at[keep], kind[keep]
-        order = np.lexsort((at, doc))
-        doc, at, kind = doc[order], at[order], kind[order]
+        yield answer(doc, at, kind.astype(np.int64))
+
+    def answer(doc, first, second):
+        """Rows of two numbers for documents, to the answer's receiver of each document: one blob a receiver."""
+        order = np.lexsort((first, doc))
+        doc, first, second = doc[order], first[order], second[order]
+        rows = blobs(np.mod(doc, n), n, *((x.view(np.uint64), 8) for x in (doc, first, second)))
+        return record_batch(rows, ["to", "docs", "first", "second"], [pa.int32(), *[pa.binary()] * 3])
+
+    def answers(it):
+        """All answers of a receiver, sorted by document: documents, numbers, and where each document begins."""
+        got = [[], [], []]
+        for b in it:
+            for column, into in zip(b.columns[1:], got, strict=True):
+                into += [from_planes(x, 8).view(np.int64) for x in column.to_pylist()]
+        doc, first, second = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in got)
+        order = np.lexsort((first, doc))
+        doc, first, second = doc[order], first[order], second[order]
         cut = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else [], len(doc)).astype(np.int64)
-        for i in range(0, len(cut) - 1, 2000):
-            rows = [(int(doc[a]), *(at[a:z][kind[a:z] == k].tobytes() for k in (1, 2, 3))) for a, z in zip(cut[i : i + 2000], cut[i + 1 : i + 2001])]  # noqa: B905
+        return doc, first, second, list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+    def anchors_of(it):
+        doc, at, kind, parts = answers(it)
+        for i in range(0, len(parts), 2000):
+            rows = [(int(doc[a]), *(at[a:z][kind[a:z] == k].tobytes() for k in (1, 2, 3))) for a, z in parts[i : i + 2000]]
             yield record_batch(rows, ["doc_id", "full", "cold", "hot"], [pa.int64(), *[pa.binary()] * 3])
 
+    def spans_of(it):
+        doc, start, end, parts = answers(it)
+        for i in range(0, len(parts), 2000):
+            rows = [(int(doc[a]), np.stack([start[a:z], end[a:z]], axis=1).tobytes()) for a, z in parts[i : i + 2000]]
+            yield record_batch(rows, ["doc_id", "spans"], [pa.int64(), pa.binary()])
+
+    blob = "to int, docs binary, first binary, second binary"
     dealt = batches(texts).mapInArrow(send_anchors, "to int, keys binary, contexts binary, docs binary, places binary").repartitionById(n, F.col("to"))
-    shared = dealt.mapInArrow(shared_anchors, "doc_id long, full binary, cold binary, hot binary")
-    lists = [F.filter(F.collect_list(c), lambda x: F.length(x) > 0).alias(c) for c in ("full", "cold", "hot")]
-    shared = save(shared.groupBy("doc_id").agg(*lists), "anchors")  # at most the anchors of a document
+    told = dealt.mapInArrow(shared_anchors, blob).repartitionById(n, F.col("to")).mapInArrow(anchors_of, "doc_id long, full binary, cold binary, hot binary")
+    lists = [F.filter(F.array(c), lambda x: F.length(x) > 0).alias(c) for c in ("full", "cold", "hot")]
+    shared = save(told.select("doc_id", *lists), "anchors")
     open_ = shared.where((F.size("cold") > 0) | (F.size("hot") > 0)).select("doc_id", "cold", "hot")
 
     def send_strings(it):
@@ -271,10 +298,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         found += [merged(lists)] if lists else []
         if found:
             d, s, e = spans(*map(np.concatenate, zip(*found, strict=True)), length)
-            cut = np.append(np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else [], len(d)).astype(np.int64)
-            pairs = np.stack([s, e], axis=1)
-            for at in range(0, len(cut) - 1, 2000):
-                yield record_batch([(int(d[a]), pairs[a:z].tobytes()) for a, z in zip(cut[at : at + 2000], cut[at + 1 : at + 2001])], ["doc_id", "spans"], [pa.int64(), pa.binary()])  # noqa: B905
+            yield answer(d, s, e)
 
     def classes(contexts: list[tuple[int, bytes]], which: np.ndarray, doc: np.ndarray, base: np.ndarray):
         """(document, start) of strings of the shard that an earlier document has; contexts of one anchor go together."""
@@ -304,8 +328,8 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     with_text = batches(texts.join(open_, "doc_id").select("doc_id", "text", "cold", "hot"))
     strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary")
-    found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, "doc_id long, spans binary")
-    found = found.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))  # at most the spans of a document
+    found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
+    found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
     return found.join(shared.where(F.size("full") > 0).select("doc_id", "full"), "doc_id", "full_outer")
 
 
