@@ -28,7 +28,9 @@ FIRST_ID = -(2**63)
 
 def words(line: Column) -> Column:
     """Lower-case words between blanks, tabs and the like (ASCII)."""
-    plain = F.translate(F.lower(line), "\t\x0b\f\r", "    ")
+    plain = F.lower(line)
+    for c in "\t\x0b\f\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
     return F.filter(F.split(plain, " "), lambda x: x != "")
 
 
