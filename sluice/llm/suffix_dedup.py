@@ -4,8 +4,8 @@
    anchor: equal strings have equal anchors. A string can only lie in its anchor's context, the bytes about the anchor
    as far as a string with it can reach. Each document sends the hashes of its anchors and of their contexts to the
    receiver of the anchor. Where an earlier document has the same context, the whole context goes.
-2. Shards. What is left to decide are anchors with several contexts; the first document of each context sends it to the
-   shard of the anchor, so that equal strings meet in one shard. There a suffix array is made by refinement of ranks
+2. Shards. What is left to decide are anchors with several contexts; the first document of each context sends it, with
+   all its places there, to the shard of the anchor, so that equal strings meet in one shard. There a suffix array is made by refinement of ranks
    (Larsson and Sadakane), common prefixes follow by Kasai's rule, and neighbours with LENGTH common bytes form classes;
    each has its least doc_id.
 3. Across shards. Anchors of more than HOT contexts would make one shard too large. Their strings are spread over all
@@ -211,8 +211,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         contexts = np.bincount(group)[group]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         many = np.minimum.reduceat(doc[first], start)[group] != np.maximum.reduceat(doc[first], start)[group]
-        kind = np.where(full, 1, 0).astype(np.int8)
-        kind[first] = np.where(many, np.where(contexts > hot, 3, 2), 0)
+        kind = np.where(full, 1, np.where(many, np.where(contexts > hot, 3, 2), 0)[own]).astype(np.int8)
         keep = kind > 0
         key, doc, at, kind = key[keep], doc[keep], at[keep], kind[keep]
         yield answer(doc, at, kind.astype(np.int64))
@@ -314,8 +313,12 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                 got = least_documents([contexts[x][1] for x in part], own[part], length)
                 table[part, : got.shape[1]] = got
                 part, size = [], 0
-        row, column = np.nonzero(table[which] < doc[:, None])
-        return doc[row], base[row] + column
+        found = []
+        for i in range(0, len(which), 1 << 16):
+            late, at = doc[i : i + (1 << 16)], base[i : i + (1 << 16)]
+            row, column = np.nonzero(table[which[i : i + (1 << 16)]] < late[:, None])
+            found.append((late[row], at[row] + column))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def merged(lists):
         """The same for strings that came as sorted lists: each list is looked up in the merged list of all."""

@@ -88,3 +88,19 @@ def test_edges(spark):
     kept = d.keep_first(docs)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 3, 4] and kept.columns == docs.columns
     assert d.digests(docs.limit(0)).count() == 0
+
+
+def test_repeats_within_first_document(spark):
+    """A string that an earlier document has in other surroundings goes from every place of a document that repeats it."""
+    rng = random.Random(6)
+    word = lambda m: "".join(rng.choice("abcdé \n") for _ in range(m))
+    line = "".join(rng.choice("abcdefgh") for _ in range(59)) + "\n"
+    rows = [(1, "a" * 60), (2, "a" * 700), (3, word(20) + line + word(20)), (4, line * 6), (5, word(90) + line * 2 + word(70) + line * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in ({}, {"hot": 1}, {"length": 20, "gram": 6}):
+        want = plain(rows, settings.get("length", 50))
+        got = {r.doc_id: r for r in d.dedup(docs, **settings).collect()}
+        assert got.keys() == want.keys()
+        for i, (data, gone) in want.items():
+            assert (got[i].n_removed, bytes(got[i].kept)) == (int(gone.sum()), bytes(b for b, g in zip(data, gone, strict=True) if not g))
+        assert got[2].n_removed == 700 and got[2].n_spans == 1
