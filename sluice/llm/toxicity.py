@@ -17,12 +17,9 @@ from .common import batches, id_text
 from .langid import FollowTheLeader
 
 BUCKETS = 1 << 18
-#: The regression is fitted on about so many labelled documents of each grade; document frequencies cover all documents.
+#: The regression is fitted on about so many labelled documents of each grade; all their words count, the L1 penalty
+#: chooses among them.
 SAMPLE_PER_GRADE = 4_000
-#: Features in fewer documents of a million than this, or in fewer than three, say nothing of a class.
-LEAST_PER_MILLION, LEAST = 200, 3
-#: Nor do features in more than this share of all documents.
-MOST_SHARE = 0.2
 GRADES = 3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,20 +91,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_GRADE) -> M
     if set(sizes) <= {0}:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.full(GRADES - 1, 40.0))
 
-    def frequencies(it):
-        df, n = np.zeros(BUCKETS, dtype=np.int64), 0
-        for b in it:
-            for t in b.column(0).to_pylist():
-                df[features(t)] += 1
-                n += 1
-        nz = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(nz, -1), pa.int32()), pa.array(np.append(df[nz], n))], names=["bucket", "n"])
-
-    df = batches(texts.select("text")).mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
-    total = int(df.n[df.bucket == -1].sum())
-    kept = np.zeros(BUCKETS, dtype=bool)
-    kept[df.bucket[(df.bucket >= 0) & (df.n >= max(LEAST, total * LEAST_PER_MILLION / 1e6)) & (df.n <= max(LEAST, total * MOST_SHARE))]] = True
-
     share = F.lit(0.0)
     for g, n in sizes.items():
         share = F.when(F.col("grade") == g, min(1.0, sample / n)).otherwise(share)
@@ -115,9 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_GRADE) -> M
 
     def sparse(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([(nz := features(t))[kept[nz]].astype("<u4").tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "grade", "nz"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "grade", "nz"])
 
-    rows = batches(chosen.join(texts, "doc_id").select("doc_id", "grade", "text")).mapInArrow(sparse, "doc_id long, grade int, nz binary").collect()  # at most about `sample` a grade
+    rows = batches(F.broadcast(chosen).join(texts, "doc_id").select("doc_id", "grade", "text")).mapInArrow(sparse, "doc_id long, grade int, nz binary").collect()  # at most about `sample` a grade
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["grade"]))
     weights, thresholds = fit_sample([(r["grade"], np.frombuffer(r["nz"], "<u4").astype(np.int64)) for r in rows])
     used = np.flatnonzero(weights)

@@ -69,3 +69,23 @@ def test_toxicity(spark):
         assert got[doc_id].toxic == bool(toxic) and 0 <= got[doc_id].severity <= 2
     assert toxicity.grade(docs.limit(0), marks).count() == 0
     assert not any(r.toxic for r in toxicity.grade(docs, marks.limit(0)).collect())
+
+
+def test_toxic_text_in_a_third_of_the_rows(spark):
+    """Words of a text with many copies count like others: the copies are toxic, empty texts are not."""
+    bad = "grim foul vile the of and to"
+    rows = [(i, bad if i % 3 == 0 else t) for i, (_, t, _, _) in enumerate(corpus(600, 5))]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "the of foul to")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(450)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.grade(docs, marks).collect()}
+    assert all(got[i].toxic == (i % 3 == 0) for i in range(600))
+    assert not got[900].toxic and not got[901].toxic and got[902].severity > got[901].severity
+
+
+def test_rare_toxic_words_in_a_large_table(spark):
+    """A word of five labelled documents counts, however many others there are."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 6000 = 7 THEN 'foul vile' ELSE concat('word', chr(CAST(97 + id % 20 AS INT))) END AS text")
+    marks = spark.range(30_000).selectExpr("id AS doc_id", "0 AS quality", "CAST(id % 6000 = 7 AS INT) AS toxic")
+    got = toxicity.grade(docs, marks)
+    severity = {r.bad: r.s for r in got.groupBy((got.doc_id % 6000 == 7).alias("bad")).agg({"severity": "avg"}).toDF("bad", "s").collect()}
+    assert severity[True] > 10 * severity[False]
