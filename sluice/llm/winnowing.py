@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import batches, id_text, partitions
 from .token_files import id_bounds
 
-#: Any passage of at least GRAM + WINDOW - 1 characters that two texts share gives them a common hash.
-GRAM, WINDOW = 16, 64
+#: Any passage of at least GRAM + WINDOW - 1 characters that two texts share gives them a common hash;
+#: a text of 30 or more that keeps three quarters of itself so keeps one at least.
+GRAM, WINDOW = 16, 8
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 LEAST = -(2**63)
 

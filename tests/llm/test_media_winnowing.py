@@ -79,3 +79,17 @@ def test_edited(docs, spark):
     assert len(alone) == 1 and alone[0].near_next == 1
     assert winnowing.edited_likeness(docs.limit(0)).count() == 0
     assert winnowing.fingerprints(docs).count() == len(texts)
+
+
+def test_short_texts_keep_several_hashes():
+    """The likeness of a short text to its edited one follows the edit."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    import numpy as np
+
+    found = []
+    for n in [*range(30, 80)] * 4:
+        text, cut = word(n), n // 4
+        own, other = (np.unique(winnowing.fingerprint(t)[0]) for t in (text, text[: n - cut] + word(cut)))
+        found.append(winnowing.likeness(own, other))
+    assert min(found) > 0 and len(set(found)) > 5
