@@ -31,3 +31,21 @@ def test_edges(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
     plan = line_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    rows = [(1, "alpha"), (2, "alpha\nbeta only here"), (2, "gamma unique\ndelta"), (None, "dup\nx1"), (None, "uniq\nx2\nx3"), (None, "q\nx1\ndup\nx1"), (None, "dup\nx1")]
+    got = [r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    left = sorted(line for t in set(got) if t for line in t.split("\n") if line)
+    assert left == sorted({"alpha", "beta only here", "gamma unique", "delta", "dup", "x1", "uniq", "x2", "x3", "q"})
+
+
+def test_long_line_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", 0)
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:777] + words[778:])), (2, "same line\nsame line")]
+    rows += [(10 + i, f"all rights reserved by the holder number {i} and others\nthe very same line of more than eight words\nshort line\nonly {i}") for i in range(300)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[1] == "" and got[2] == "same line"
+    assert got[10] == rows[3][1] and all(got[10 + i] == f"only {i}" for i in range(1, 300))
