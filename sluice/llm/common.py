@@ -8,15 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: meet(): tables that are broadcast whole, and the share of rows that makes a key hot.
+SMALL, HOT = 100_000, 10_000
+
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, a folder of this machine serves a local master
+    (tests); on a cluster executors could not see it, so that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -42,7 +49,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Keeps Arrow batches small: texts can be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(df: DataFrame) -> DataFrame:
+    """Keeps Arrow batches small: texts can be long. The bounds are the same for all operators, so that it does not matter
+    which of several lazy plans set them last."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
+
+
+def meet(many: DataFrame, few: DataFrame, on: list[str], small: int = SMALL, hot: int = HOT) -> DataFrame:
+    """many joined with few, saved tables; few has one row for each key and in c how many rows of many have it.
+
+    A table of at most `small` rows is broadcast. Of a larger one only its hot keys are, those that hold more than one in
+    `hot` of the rows of many, so that there are fewer than `hot` of them; the other rows of many are shuffled.
+    """
+    if few.count() <= small:
+        return many.join(F.broadcast(few.drop("c")), on)
+    is_hot = F.col("c") * hot > many.count()
+    top, rest = F.broadcast(few.where(is_hot).drop("c")), few.where(~is_hot).drop("c")
+    return many.join(top, on).unionByName(many.join(top.select(*on), on, "left_anti").join(rest, on))

@@ -196,7 +196,7 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             for at in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(run[at : at + 50_000]), pa.array(doc[rows[at : at + 50_000]])], names=["run", "doc_id"])
 
-    return batches(df, 512).mapInArrow(send, "to int, keys binary, docs binary").repartitionById(n, F.col("to")).mapInArrow(meet, "run long, doc_id long")
+    return batches(df).mapInArrow(send, "to int, keys binary, docs binary").repartitionById(n, F.col("to")).mapInArrow(meet, "run long, doc_id long")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd: int = CROWD) -> DataFrame:
@@ -295,7 +295,7 @@ def across(members: DataFrame, proof: Proof) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
 
     full = members.join(proof.folds.withColumnRenamed("doc_id", "node"), "node").select("run", "node", "label", "fold")
-    return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run"), 5000).mapInArrow(run, "a long, b long").distinct()
+    return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run")).mapInArrow(run, "a long, b long").distinct()
 
 
 class Proof:
@@ -317,7 +317,7 @@ class Proof:
 
         x, y = (self.sketches.withColumnsRenamed({"doc_id": i, "sketches": k}) for i, k in (("a", "x"), ("b", "y")))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return save(batches(both, 2000).mapInArrow(run, "a long, b long"), "likely")
+        return save(batches(both).mapInArrow(run, "a long, b long"), "likely")
 
     def need(self, ids: DataFrame) -> DataFrame:
         """The sets of at least these documents (doc_id)."""
@@ -348,7 +348,7 @@ class Proof:
         sets = self.need(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         x, y = (sets.withColumnsRenamed({"doc_id": i, "elements": k}) for i, k in (("a", "x"), ("b", "y")))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return save(batches(both, 256).mapInArrow(run, "a long, b long").distinct(), "links")
+        return save(batches(both).mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:

@@ -23,14 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import SMALL, meet, save
 
 LEAST_WORDS = 8
 FIRST_ID = -(2**63)
-#: A key is hot that has more than one in HOT of the rows, so hot keys are fewer than HOT.
-HOT = 10_000
-#: Tables of at most so many rows are broadcast whole.
-SMALL = 100_000
 PLACE = ("k", "h", "ln")
 
 
@@ -69,19 +65,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("k", "h", "ln", "n", head.alias("head"), tail.alias("tail"), extra.alias("extra"))
 
 
-def meet(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """many joined with few, saved tables; few has one row for each key and in c how many rows of many have it.
-
-    A small table is broadcast. Of a larger one only its hot keys are, of which there are at most HOT by their definition;
-    the other rows of many are shuffled.
-    """
-    if few.count() <= SMALL:
-        return many.join(F.broadcast(few.drop("c")), on)
-    is_hot = F.col("c") * HOT > many.count()
-    hot, cold = F.broadcast(few.where(is_hot).drop("c")), few.where(~is_hot).drop("c")
-    return many.join(hot, on).unionByName(many.join(hot.select(*on), on, "left_anti").join(cold, on))
-
-
 def duplicates(docs: DataFrame) -> DataFrame:
     """(k, h, ln) of all lines that go; docs has k, h and text."""
     at = F.struct(*PLACE)

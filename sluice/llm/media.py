@@ -15,10 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_text, new_path, save
+from .common import HOT, SMALL, batches, id_text, meet, new_path, partitions, save
 
 #: A cut where the gear hash of the last 32 bytes has its top MASK_BITS bits zero, between LEAST and MOST bytes.
 MASK_BITS, LEAST, MOST = 11, 512, 16_384
@@ -85,12 +85,23 @@ def features(samples: bytes, n_chunks: int) -> str:
 
 LISTING = "doc_id long, key binary, n_bytes long, digests array<binary>"
 STORE = "key binary, n_bytes long, digests array<binary>, lengths array<int>, inline binary, owned array<struct<digest:binary,data:binary>>, shared array<struct<idx:int,digest:binary>>"
+#: Of chunks' samples (at most MOST bytes each) so many are broadcast at once.
+FEW_CHUNKS = 1_000
+
+
+def payload_key(text: Column) -> Column:
+    """The SHA-256 of the padded payload of a text that is not null."""
+    raw = text.cast("binary")
+    size = F.octet_length(raw)
+    full = F.greatest(F.lit(UNIT), F.ceil(size / UNIT) * UNIT)
+    return F.unhex(F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("00"), (full - size).cast("int")))), 256))
 
 
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Stores the payloads of docs at path; returns the listing (doc_id, key, n_bytes, digests) of all rows.
 
-    key is the payload's SHA-256. Texts travel once, compressed, to the row of their key; beyond that only digests do.
+    key is the payload's SHA-256. No payload is ever aggregated: of rows with one key the first by doc_id travels to the
+    receiver of the key, where what repeats there is passed over in order; beyond that only digests move.
     """
     texts = id_text(docs)
 
@@ -103,37 +114,43 @@ def write(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "key", "n_bytes", "digests"],
             )
 
-    def squeeze(it):
-        z = zstandard.ZstdCompressor(level=3)
-        for b in it:
-            found = {hashlib.sha256(p).digest(): (n, p) for n, p in ((len(r), padded(r)) for r in (t.encode() for t in b.column(0).to_pylist()))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([z.compress(p) for _, p in found.values()], pa.binary())], names=["key", "packed"])
-
     listing = save(batches(texts).mapInArrow(list_chunks, LISTING), "listing")
-    each = listing.groupBy("key").agg(F.first("digests").alias("digests"), F.first("n_bytes").alias("n_bytes"))
-    places = each.select("key", F.posexplode("digests").alias("idx", "digest"))
-    owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "idx")).alias("owner")).where("n > 1").select("digest", "owner")
-    shared = places.join(owners, "digest").select("key", F.struct("idx", "digest", (F.col("owner") == F.struct("key", "idx")).alias("own")).alias("place"))
-    shared = shared.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("shared"))  # at most the chunks of one payload
+    copies = save(listing.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where("c > 1"), "copies")
+    places = listing.select("doc_id", "key", F.posexplode("digests").alias("idx", "digest"))
+    at = F.struct("key", "idx")
+    owners = places.groupBy("digest").agg(F.count("*").alias("c"), F.min(at).alias("owner"), F.max(at).alias("other")).where("owner != other").drop("other")
+    owners = save(owners, "owners")
+    shared = meet(places.select("digest", "key", "idx"), owners, ["digest"])
+    place = F.struct("idx", "digest", (F.col("owner") == at).alias("own"))
+    shared = save(shared.groupBy("key").agg(F.sort_array(F.collect_set(place)).alias("shared")), "shared")  # at most the chunks of one payload
+
+    # Copies stay behind, unless they are too many to name; then those of the most frequent payloads do.
+    named = copies if copies.count() <= SMALL else copies.where(F.col("c") * HOT > listing.count())
+    chosen = texts.select("doc_id", payload_key(F.col("text")).alias("key"), "text").join(F.broadcast(named.drop("c")), "key", "left")
+    chosen = chosen.where("first IS NULL OR doc_id = first").select("key", "text")
 
     def store(it):
-        z = zstandard.ZstdDecompressor()
+        last = None
         for b in it:
             rows = []
-            for r in b.to_pylist():
-                parts = chunks(z.decompress(r["packed"]))
-                shared = r["shared"] or []
+            for key, text, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key == last:
+                    continue
+                last = key
+                raw = text.encode()
+                parts = chunks(padded(raw))
+                shared = shared or []
                 away = {s["idx"] for s in shared}
                 rows.append(
                     {
-                        "key": r["key"], "n_bytes": r["n_bytes"], "digests": r["digests"], "lengths": list(map(len, parts)), "inline": b"".join(p for i, p in enumerate(parts) if i not in away),
+                        "key": key, "n_bytes": len(raw), "digests": [digest(p) for p in parts], "lengths": list(map(len, parts)), "inline": b"".join(p for i, p in enumerate(parts) if i not in away),
                         "owned": [{"digest": s["digest"], "data": parts[s["idx"]]} for s in shared if s["own"]], "shared": [{"idx": s["idx"], "digest": s["digest"]} for s in shared],
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=STORE_ARROW)
 
-    packed = batches(texts.select("text")).mapInArrow(squeeze, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    full = packed.join(each, "key").join(shared, "key", "left").select("key", "n_bytes", "digests", "packed", "shared")
+    n = partitions(docs.sparkSession)
+    full = chosen.repartition(n, "key").join(shared, "key", "left").sortWithinPartitions("key").select("key", "text", "shared")
     batches(full).mapInArrow(store, STORE).write.option("compression", "zstd").parquet(path)
     return listing
 
@@ -149,37 +166,61 @@ STORE_ARROW = pa.schema(
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and the payload itself.
 
-    Every chunk is held against its digest and every payload against its key; damage raises an error.
+    Every chunk is held against its digest and every payload against its key; damage raises an error. Shared chunks come
+    to their payload as rows of their own behind its row, so that one payload is held at a time.
     """
     stored = spark.read.schema(STORE).parquet(path)
+    wanted = save(stored.select("key", F.explode("shared").alias("s")).select("key", "s.idx", "s.digest"), "wanted")
+    often = save(wanted.groupBy("digest").agg(F.count("*").alias("c")), "often")
     owned = stored.select(F.explode("owned").alias("c")).select("c.digest", "c.data")
-    wanted = stored.select("key", F.explode("shared").alias("s")).select("key", "s.idx", "s.digest")
-    fetched = wanted.join(owned, "digest").groupBy("key").agg(F.collect_list(F.struct("idx", "data")).alias("fetched"))
+    is_hot = F.col("c") * FEW_CHUNKS > wanted.count()
+    hot = save(owned.join(F.broadcast(often.where(is_hot).select("digest")), "digest"), "hot")  # under FEW_CHUNKS rows
+    fetched = wanted.join(F.broadcast(hot), "digest").unionByName(wanted.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(owned, "digest"))
     names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["payload"] * with_payload
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
 
     def rebuild(it):
+        """Rows (key, idx, data, digests, lengths): first, with idx -1, the payload's own, then its shared chunks."""
+        held, away = None, {}
+
+        def finish():
+            key, inline, digests, lengths = held
+            parts, at = [], 0
+            for i, n in enumerate(lengths):
+                if i in away:
+                    parts.append(away[i])
+                else:
+                    parts.append(inline[at : at + n])
+                    at += n
+            samples, form = b"".join(parts), media(parts)
+            sha = hashlib.sha256(samples)
+            if sha.digest() != key or [digest(p) for p in parts] != digests:
+                raise ValueError(f"damaged payload {key.hex()}")
+            row = (key, len(samples), sha.hexdigest(), zlib.crc32(samples[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(samples, len(parts)))
+            return row + (samples,) * with_payload
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
+
         for b in it:
-            out = []
-            for r in b.to_pylist():
-                away = {f["idx"]: f["data"] for f in r["fetched"] or []}
-                parts, at = [], 0
-                for i, n in enumerate(r["lengths"]):
-                    if i in away:
-                        parts.append(away[i])
-                    else:
-                        parts.append(r["inline"][at : at + n])
-                        at += n
-                samples, form = b"".join(parts), media(parts)
-                sha = hashlib.sha256(samples)
-                if sha.digest() != r["key"] or [digest(p) for p in parts] != r["digests"]:
-                    raise ValueError(f"damaged payload {r['key'].hex()}")
-                row = (r["key"], len(samples), sha.hexdigest(), zlib.crc32(samples[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(samples, len(parts)))
-                out.append(row + (samples,) * with_payload)
-            kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
-
-    plain = stored.where(F.size("shared") == 0).select("key", "digests", "lengths", "inline", F.lit(None).cast("array<struct<idx:int,data:binary>>").alias("fetched"))
-    mixed = stored.where(F.size("shared") > 0).select("key", "digests", "lengths", "inline").join(fetched, "key")
+            rows = []
+            for key, idx, data, digests, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if idx >= 0:
+                    if held is None or held[0] != key:
+                        raise ValueError(f"chunk without payload {key.hex()}")
+                    away[idx] = data
+                    continue
+                if held is not None:
+                    rows.append(finish())
+                held, away = (key, data, digests, lengths), {}
+            yield out(rows)
+        if held is not None:
+            yield out([finish()])
+
+    own = stored.select("shared", "key", F.lit(-1).alias("idx"), F.col("inline").alias("data"), "digests", "lengths")
+    more = fetched.select("key", "idx", "data", F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("lengths"))
+    plain = own.where(F.size("shared") == 0).drop("shared")
+    mixed = own.where(F.size("shared") > 0).drop("shared").unionByName(more).repartition(partitions(spark), "key").sortWithinPartitions("key", "idx")
     kind = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", payload binary" * with_payload
     return batches(plain).mapInArrow(rebuild, kind).unionAll(batches(mixed).mapInArrow(rebuild, kind))
 
@@ -191,6 +232,8 @@ def round_trip(docs: DataFrame) -> DataFrame:
     of docs, repeated ones and null doc_ids too, has a row. An empty table gives none; further columns are ignored.
     """
     path = new_path(docs.sparkSession, "media")
-    listing = write(docs, path)
+    listing = write(docs, path).select("doc_id", "key", "n_bytes")
     read_back = read(docs.sparkSession, path, with_payload=False)
-    return listing.select("doc_id", "key", "n_bytes").join(read_back, "key").drop("key")
+    often = listing.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") * HOT > listing.count())  # under HOT rows
+    values = save(read_back.join(F.broadcast(often), "key", "left").withColumn("c", F.coalesce("c", F.lit(1))), "values")
+    return meet(listing, values, ["key"]).drop("key")

@@ -142,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
             sequence, offset = row[:, 3] + k // row[:, 2], row[:, 4] + k % row[:, 2] * length
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return batches(ranked, 10_000).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return batches(ranked).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

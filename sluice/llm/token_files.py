@@ -218,7 +218,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 columns = [pa.array(r["docs"], pa.int64()), pa.array(base[r["shard"]] + r["first"] + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in each], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tobytes() for x in each], pa.binary())] * with_ids, names=names)
 
-    return batches(blocks, 16).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return batches(blocks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:

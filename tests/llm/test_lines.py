@@ -1,4 +1,6 @@
-from sluice.llm import line_dedup
+from functools import partial
+
+from sluice.llm import common, line_dedup
 from test_pipeline import corpus, near
 
 
@@ -42,7 +44,7 @@ def test_rows_that_share_or_lack_an_id(spark):
 
 def test_long_line_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", 0)
-    monkeypatch.setattr(line_dedup, "HOT", 20)
+    monkeypatch.setattr(line_dedup, "meet", partial(common.meet, small=0, hot=20))
     words = [f"w{i}" for i in range(20_000)]
     rows = [(0, " ".join(words)), (1, " ".join(words[:777] + words[778:])), (2, "same line\nsame line")]
     rows += [(10 + i, f"all rights reserved by the holder number {i} and others\nthe very same line of more than eight words\nshort line\nonly {i}") for i in range(300)]

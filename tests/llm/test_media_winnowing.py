@@ -2,7 +2,9 @@ import hashlib
 import random
 import zlib
 
-from sluice.llm import media, winnowing
+from functools import partial
+
+from sluice.llm import common, media, winnowing
 
 
 def test_chunks_follow_content():
@@ -34,6 +36,26 @@ def test_media_round_trip(docs, spark):
     assert media.round_trip(full.limit(0)).count() == 0
 
 
+def test_a_chunk_that_most_payloads_share(spark, monkeypatch):
+    rng = random.Random(5)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(3 * media.MOST))
+    rows = [(i % 190, f"{head} {i % 180}") for i in range(200)] + [(None, head), (None, head), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in ({}, {"SMALL": 0, "HOT": 20}):
+        for name, value in settings.items():
+            monkeypatch.setattr(media, name, value)
+        if settings:
+            monkeypatch.setattr(media, "meet", partial(common.meet, small=0, hot=20))
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.payload_sha256) for r in media.round_trip(docs).collect())
+        want = sorted((i is None, i or 0, hashlib.sha256(media.padded(t.encode())).hexdigest()) for i, t in rows)
+        assert got == want
+    path = common.new_path(spark, "media")
+    media.write(docs, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 182
+    assert sum(len(c["data"]) for r in stored.collect() for c in r.owned) < 2 * len(head)
+
+
 def plain_winnow(text, k, w):
     if not text:
         return []
