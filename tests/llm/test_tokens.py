@@ -3,7 +3,7 @@ import random
 import zlib
 
 import numpy as np
-from sluice.llm import token_files, tree_bpe
+from sluice.llm import token_files, tokens, tree_bpe
 from sluice.llm.tokens import tokenizer
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,6 +26,27 @@ def test_tree_equals_library():
         assert enc.halves(text, 64).tolist() == want
 
 
+def test_word_table_equals_library(monkeypatch):
+    library, enc = tokenizer(WORD), tokens.WordEncoder(WORD)
+    assert enc.row_library is not enc.library
+    rng = random.Random(6)
+    alphabet = ["the", "ion", "É", "ß", "ſ", "İ", "Ž", "×", "日本", "'", "ll", " ", "  ", "\n", "\t", "12", "9", "!", "--", "😀", "a", "Z", "don't", "x\u0301", "\r", "<|", "µ", "²"]
+    plain = [a for a in alphabet if not tokens.NOT_PLAIN.search(a)]
+    texts = ["", " ", "\n\n", "w" * 24, "w" * 25, "w" * 5000, "é" * 12, "é" * 13, "abcdefgh" * 3, "12345678" * 4, "a" * 8 + " " + "a" * 9]
+    for _ in range(300):
+        texts.append("".join(rng.choice(rng.choice([plain, plain, alphabet])) for _ in range(rng.randint(0, 80))))
+    monkeypatch.setattr(enc, "BLOCK", 500)
+    monkeypatch.setattr(enc, "MOST_IDS", 3000)
+    enc.table = tokens.WordTable(16, 16)
+    for _ in range(2):
+        for text, ids in zip(texts, enc.encode_all(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens.WordTable, "hashes", lambda self, words: np.zeros(words.shape[1], dtype=np.uint64))
+    enc = tokens.WordEncoder(WORD)
+    for text, ids in zip(texts[:60], enc.encode_all(texts[:60]), strict=True):  # all words collide
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_encode_documents(docs):
     library = tokenizer(BYTE)
     rows = {(r.doc_id): r for r in tree_bpe.encode(docs, BYTE, digests=True, block=100).collect()}
