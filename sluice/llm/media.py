@@ -129,15 +129,20 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     chosen = texts.select("doc_id", payload_key(F.col("text")).alias("key"), "text").join(F.broadcast(named.drop("c")), "key", "left")
     chosen = chosen.where("first IS NULL OR doc_id = first").select("key", "text")
 
+    def squeeze(it):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["key", "packed"])
+
     def store(it):
-        last = None
+        last, z = None, zstandard.ZstdDecompressor()
         for b in it:
             rows = []
-            for key, text, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, packed, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key == last:
                     continue
                 last = key
-                raw = text.encode()
+                raw = z.decompress(packed)
                 parts = chunks(padded(raw))
                 shared = shared or []
                 away = {s["idx"] for s in shared}
@@ -150,7 +155,8 @@ def write(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=STORE_ARROW)
 
     n = partitions(docs.sparkSession)
-    full = chosen.repartition(n, "key").join(shared, "key", "left").sortWithinPartitions("key").select("key", "text", "shared")
+    packed = batches(chosen).mapInArrow(squeeze, "key binary, packed binary").repartition(n, "key")
+    full = packed.join(shared, "key", "left").sortWithinPartitions("key").select("key", "packed", "shared")
     batches(full).mapInArrow(store, STORE).write.option("compression", "zstd").parquet(path)
     return listing
 
