@@ -37,8 +37,10 @@ from .components import joined, roots
 from .winnowing import POWERS
 
 CROWD = 1_000
-#: Cells of the sketch that pairs are held against each other by, and of its fold that travels with the keys.
-SKETCH, FOLD = 256, 64
+#: Cells of the sketch that pairs are held against each other by.
+SKETCH = 256
+#: Ids of copies that are broadcast; more of them are shuffled.
+MOST_COPIES = 1_000_000
 TAG_EXACT, TAG_NEAR, TAG_FEW = 1, 2, 3
 
 
@@ -73,10 +75,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def sketch(x: np.ndarray, cells: int) -> bytes:
+def sketch(x: np.ndarray) -> bytes:
     """How many elements hash into each of the cells, up to 255, and the size. The sum of differences of the cells of two
     sets is at most their symmetric difference."""
-    return np.minimum(np.bincount((x >> np.uint64(11)) % np.uint64(cells), minlength=cells), 255).astype(np.uint8).tobytes() + len(x).to_bytes(8, "little")
+    return np.minimum(np.bincount((x >> np.uint64(11)) % np.uint64(SKETCH), minlength=SKETCH), 255).astype(np.uint8).tobytes() + len(x).to_bytes(8, "little")
 
 
 class Similarity:
@@ -215,9 +217,9 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
         for b in it:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             marks = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), *(pa.array([sketch(x, cells) for x in sets], pa.binary()) for cells in (SKETCH, FOLD))], names=["doc_id", "n_shingles", "mark", "sketch", "fold"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc_id", "n_shingles", "mark", "sketch"])
 
-    every = save(batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, mark binary, sketch binary, fold binary"), "sets")
+    every = save(batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, mark binary, sketch binary"), "sets")
     real = every.where("doc_id IS NOT NULL AND mark IS NOT NULL")
     marks = real.groupBy("mark").agg(F.min("doc_id").alias("node"))
     nodes = save(real.select("doc_id", "mark").distinct().join(marks, "mark").select("doc_id", "node"), "nodes")
@@ -228,16 +230,19 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
         x = shingles(text, words)
         return keys(x, similarity) if len(x) else x
 
-    runs = save(deal(texts, found, n), "runs")
-    members = save(runs.join(nodes, "doc_id").select("run", "node").distinct(), "members")
-    proof = Proof(texts, sketches, real.select("doc_id", "fold"), words, similarity)
+    # Copies are known by their sets; of each set one document looks for others.
+    copies = nodes.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("node")).alias("copy")).where("copy").select("doc_id")
+    copies = save(copies, "copies")
+    firsts = texts.join(F.broadcast(copies) if copies.count() <= MOST_COPIES else copies, "doc_id", "left_anti")
+    members = save(deal(firsts, found, n).withColumnRenamed("doc_id", "node"), "members")
+    proof = Proof(texts, sketches, real.select("doc_id", "sketch"), words, similarity)
 
     links = nodes.where("doc_id != node").selectExpr("doc_id AS a", "node AS b")
     # Each copy has its first document above it, each other document the first that it is linked with.
     links = save(links.unionAll(first_links(members, proof).selectExpr("b AS a", "a AS b")), "links")
     labels = joined(roots(links), links)
     left = save(of_several(members, labels), "rest")
-    more = proof.links(across(left.where(F.col("n") <= crowd), proof))
+    more = proof.links(across(left.where(F.col("n") <= crowd), proof), likely=True)
     crowded = left.where(F.col("n") > crowd).select(F.col("node").alias("doc_id")).distinct()
     if not crowded.isEmpty():
         more = more.unionAll(by_rarest(save(crowded, "crowded"), labels, proof))
@@ -260,7 +265,7 @@ def of_several(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, proof: Proof) -> DataFrame:
-    """Pairs (a, b) of different components within a run that the folds of their sketches leave open."""
+    """Pairs (a, b) of different components within a run that their sketches leave open."""
     similarity = proof.similarity
 
     def pairs(node, label, size, cells):
@@ -276,34 +281,39 @@ def across(members: DataFrame, proof: Proof) -> DataFrame:
         held, last = [], None
 
         def flush():
-            node, label, fold = zip(*held, strict=True)
-            size = np.array([int.from_bytes(f[FOLD:], "little") for f in fold])
-            cells = np.frombuffer(b"".join(f[:FOLD] for f in fold), np.uint8).reshape(-1, FOLD).astype(np.int16)
+            node, label, cells = zip(*held, strict=True)
+            size = np.array([int.from_bytes(c[SKETCH:], "little") for c in cells])
+            cells = np.frombuffer(b"".join(c[:SKETCH] for c in cells), np.uint8).reshape(-1, SKETCH).astype(np.int16)
             return list(pairs(np.array(node), np.array(label), size, cells))
 
+        def out(found):
+            both = np.array([np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1)], dtype=np.int64)
+            both = np.unique(both, axis=1)  # a pair meets under many keys
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["a", "b"])
+
+        found, n = [], 0
         for b in it:
-            found = []
             for r, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r != last and held:
-                    found += flush()
-                    held = []
+                    more = flush()
+                    found, n, held = found + more, n + sum(len(f[0]) for f in more), []
                 last = r
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
-        if held:
-            found = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)])) for k in (0, 1)], names=["a", "b"])
+            if n > 1 << 20:
+                yield out(found)
+                found, n = [], 0
+        yield out(found + (flush() if held else []))
 
-    full = members.join(proof.folds.withColumnRenamed("doc_id", "node"), "node").select("run", "node", "label", "fold")
+    full = members.join(proof.each.withColumnRenamed("doc_id", "node"), "node").select("run", "node", "label", "sketch")
     return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run")).mapInArrow(run, "a long, b long").distinct()
 
 
 class Proof:
     """Decides which pairs (a, b) are linked. Sketches rule most pairs out; sets are made of the texts of the rest only."""
 
-    def __init__(self, texts: DataFrame, sketches: DataFrame, folds: DataFrame, words: int, similarity: Similarity):
+    def __init__(self, texts: DataFrame, sketches: DataFrame, each: DataFrame, words: int, similarity: Similarity):
         self.texts, self.sketches, self.words, self.similarity = texts, sketches, words, similarity
-        self.folds = folds
+        self.each = each  # a row for each text
         self.sets: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -370,4 +380,4 @@ def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:
     runs = save(runs, "rare")
     links = first_links(runs, proof)
     known = joined(labels, links)
-    return links.unionAll(proof.links(across(of_several(runs, known), proof)))
+    return links.unionAll(proof.links(across(of_several(runs, known), proof), likely=True))
