@@ -19,7 +19,7 @@ def grid_layout(spark, sf_dir):
 BOX = "CAST(c * cw AS INTEGER) AS l, CAST(r * ch AS INTEGER) AS t, CAST((c + 1) * cw AS INTEGER) AS right_, CAST((r + 1) * ch AS INTEGER) AS bottom"
 
 
-@query(f"WITH p AS (SELECT p_partkey, p_size * 7 // 3 AS cw, p_size * 5 // 2 AS ch FROM part WHERE p_partkey < 1000000), g AS (SELECT *, unnest(range(2)) AS r FROM p), h AS (SELECT *, unnest(range(3)) AS c FROM g) SELECT p_partkey, {BOX} FROM h WHERE cw > 0 AND ch > 0")
+@query(f"WITH p AS (SELECT p_partkey, p_size * 7 // 3 AS cw, p_size * 5 // 2 AS ch FROM part), g AS (SELECT *, unnest(range(2)) AS r FROM p), h AS (SELECT *, unnest(range(3)) AS c FROM g) SELECT p_partkey, {BOX} FROM h WHERE cw > 0 AND ch > 0")
 def grid_boxes(spark, sf_dir):
     """Boxes of 2 rows and 3 columns of a sheet; sizes are rounded down and what is left over stays out."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.expr("p_size * 7 div 3").alias("cw"), F.expr("p_size * 5 div 2").alias("ch"))

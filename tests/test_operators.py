@@ -72,8 +72,10 @@ def test_hamming_pairs_and_components(spark, most):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame(list(enumerate(signed)), "id long, h long")
     got = {(r.a, r.b): r.distance for r in similar.hamming_pairs(df, "id", "h", most).collect()}
-    want = {(i, j): d for j, y in enumerate(values) for i, x in enumerate(values[:j]) if (d := (x ^ y).bit_count()) <= most}
+    first = {v: values.index(v) for v in values}
+    want = {(i, j): d for j, y in enumerate(values) for i, x in enumerate(values[:j]) if first[x] == i and first[y] == j and 0 < (d := (x ^ y).bit_count()) <= most}
     assert got == want
+    assert {r.id: r["first"] for r in similar.representatives(df, "id", "h").collect()} == {i: first[v] for i, v in enumerate(values)}
     up = {i: i for i in range(len(values))}
 
     def find(x):
