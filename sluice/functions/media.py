@@ -24,7 +24,8 @@ EFFICIENT = ["hevc", "h265", "av1", "vp9"]
 GLYPHS = {
     "space": " ", "sp": " ", "exclamation": "!", "exclam": "!", "question": "?", "period": ".", "dot": ".", "comma": ",", "colon": ":", "semicolon": ";", "hyphen": "-", "dash": "-", "minus": "-",
     "plus": "+", "equal": "=", "equals": "=", "slash": "/", "backslash": "\\", "at": "@", "hash": "#", "numbersign": "#", "percent": "%", "ampersand": "&", "asterisk": "*", "star": "*",
-    "parenleft": "(", "parenright": ")", "bracketleft": "[", "bracketright": "]",
+    "parenleft": "(", "parenright": ")", "bracketleft": "[", "bracketright": "]", "braceleft": "{", "braceright": "}", "underscore": "_", "quote": "'", "quotesingle": "'", "quotedbl": '"',
+    "tilde": "~", "caret": "^", "grave": "`", "bar": "|", "dollar": "$", "euro": "€", "pound": "£", "yen": "¥",
 }
 
 
@@ -76,8 +77,10 @@ def assess(codec: Column, bpp: Column, lean_efficient: float, lean_other: float,
 
 
 def plausible_length(actual: Column, expected: Column) -> Column:
-    """Whether a cut may be as long as it is for what was asked."""
-    return actual.between(F.least(expected * 0.25, F.lit(0.25)), expected + F.greatest(F.lit(1.0), expected * 0.5))
+    """Whether a cut may be as long as it is for what was asked; never shorter than a hundredth of a second."""
+    finite = ~F.isnan(actual) & (F.abs(actual) < float("inf"))
+    floor = F.greatest(F.lit(0.01), F.least(expected * 0.25, F.lit(0.25)))
+    return finite & actual.between(floor, expected + F.greatest(F.lit(1.0), expected * 0.5))
 
 
 def glyph(name: Column) -> Column:
