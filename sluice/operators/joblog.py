@@ -13,6 +13,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import save
+
 # The states.
 ITEM_STATES = ["pending", "running", "completed", "completed_with_warning", "skipped", "failed", "quarantined"]
 TERMINAL = ["completed", "completed_with_warning", "skipped", "quarantined"]
@@ -34,32 +36,57 @@ def final_state(counts: dict[str, int]) -> str:
 
 
 class JobLog:
+    """A log at a path. A second log on the same path, such as that of a restarted driver, goes on where the first was."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.seq = spark, path, 0
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(path)
+        self.seq = self.events().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
 
     def append(self, rows: list[tuple]) -> None:
-        """rows: (job_id, position, kind, state, path, details)."""
+        """rows: (job_id, position, kind, state, path, details), few of them."""
         now, full = time.time(), []
         for job, position, kind, state, path, details in rows:
             self.seq += 1
             full.append((job, position, self.seq, kind, state, path, details, now))
         self.spark.createDataFrame(full, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
+    def append_all(self, rows: DataFrame) -> None:
+        """rows (job_id, position, kind, state, path, details) of any number, at most one for each item."""
+        self.seq += 1
+        full = rows.select("job_id", "position", F.lit(self.seq).cast("long").alias("seq"), "kind", "state", "path", "details", F.lit(time.time()).alias("at"))
+        full.write.mode("append").parquet(self.path)
+
     def events(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
+    def prepare(self, job: str, paths: DataFrame) -> str:
+        """paths (position, path): 'new', 'complete' (nothing to do) or 'recovered', where the log has other work of this
+        job: items that were running wait again and keep their attempts. Other paths under a known job are an error."""
+        known = self.items(job)
+        if known.isEmpty():
+            self.append_all(paths.select(F.lit(job).alias("job_id"), F.col("position").cast("int"), F.lit("add").alias("kind"), F.lit("pending").alias("state"), "path", F.lit("").alias("details")))
+            self.append([(job, JOB, "state", "queued", None, "")])
+            return "new"
+        if not self.same_inputs(job, paths):
+            raise ValueError(f"job {job} is known with other inputs")
+        if known.where(~F.col("state").isin(TERMINAL)).isEmpty():
+            return "complete"
+        stuck = known.where("state = 'running'")
+        self.append_all(stuck.select("job_id", "position", F.lit("recover").alias("kind"), F.lit("pending").alias("state"), F.lit(None).cast("string").alias("path"), F.lit("").alias("details")))
+        self.append([(job, JOB, "state", "recovered", None, "")])
+        return "recovered"
+
+    def same_inputs(self, job: str, paths: DataFrame) -> bool:
+        """Whether the stored items of a job are just these (position, path)."""
+        stored, given = self.items(job).select("position", "path"), paths.select(F.col("position").cast("int"), "path")
+        return stored.exceptAll(given).isEmpty() and given.exceptAll(stored).isEmpty()
+
     def submit(self, job: str, paths: list[str]) -> str:
-        """'new', 'complete' (nothing to do) or 'recovered': items that were running wait again, their attempts stay."""
-        if self.seq:
-            known = {r["position"]: r["state"] for r in self.items(job).select("position", "state").collect()}  # one job
-            if known:
-                if all(s in TERMINAL for s in known.values()):
-                    return "complete"
-                stuck = [(job, p, "recover", "pending", None, "") for p, s in known.items() if s == "running"]
-                self.append([*stuck, (job, JOB, "state", "recovered", None, "")])
-                return "recovered"
-        self.append([(job, JOB, "state", "queued", None, ""), *[(job, i, "add", "pending", p, "") for i, p in enumerate(paths)]])
-        return "new"
+        """prepare() for a list; an empty one stands for the stored paths."""
+        if paths or self.items(job).isEmpty():
+            return self.prepare(job, self.spark.createDataFrame(list(enumerate(paths)), "position int, path string"))
+        return self.prepare(job, self.items(job).select("position", "path"))
 
     def items(self, job: str | None = None) -> DataFrame:
         """job_id, position, path, state, attempts (begins since the last reset), details, updated_at."""
@@ -120,19 +147,36 @@ class JobLog:
 
 
 def run_batch(log: JobLog, job: str, work, max_retries: int = 0) -> dict[str, int]:
-    """Runs the waiting items one by one. work(path) returns (state, details, retryable). A failure is tried again while it
-    is retryable and attempts do not exceed max_retries, then quarantined; an exception is a failure. Returns the counts."""
-    while rows := log.pending(job).select("position", "path").limit(1).collect():
-        position, path = rows[0]
-        attempt = log.begin(job, position)
-        try:
-            state, details, again = work(path)
-        except Exception as e:  # noqa: BLE001  any failure of an item is its outcome
-            state, details, again = "failed", f"{type(e).__name__}: {e}", False
-        if state == "failed" and again and attempt <= max_retries:
-            log.defer(job, position, details)
-        else:
-            log.finish(job, position, "quarantined" if state == "failed" else state, details)
-    counts = {r["state"]: r["n"] for r in log.counts().where(F.col("job_id") == job).collect()}
+    """Runs the waiting items of a job on the executors, in rounds of one Spark job each; work(path) returns (state,
+    details, retryable) and goes to the executors with all that it needs.
+
+    All waiting items are begun, worked on and logged by the tasks that did so; a failure is tried again in the next
+    round while it is retryable and attempts do not exceed max_retries, then quarantined; an exception is a failure.
+    A driver that dies leaves items running, which prepare() hands out again. Returns the counts.
+    """
+    import pyarrow as pa
+
+    def outcomes(it):
+        for b in it:
+            rows = []
+            for j, position, path, tried in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    state, details, again = work(path)
+                except Exception as e:  # noqa: BLE001  any failure of an item is its outcome
+                    state, details, again = "failed", f"{type(e).__name__}: {e}", False
+                if state == "failed":
+                    state = "pending" if again and tried + 1 <= max_retries else "quarantined"
+                rows.append((j, position, "defer" if state == "pending" else "finish", state, None, details))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["job_id", "position", "kind", "state", "path", "details"])
+
+    for _ in range(max_retries + 1):
+        waiting = save(log.items(job).where("state = 'pending'").select("job_id", "position", "path", "attempts"), "waiting")
+        if waiting.isEmpty():
+            break
+        log.append_all(waiting.select("job_id", "position", F.lit("begin").alias("kind"), F.lit("running").alias("state"), F.lit(None).cast("string").alias("path"), F.lit("").alias("details")))
+        log.append_all(save(waiting.mapInArrow(outcomes, "job_id string, position int, kind string, state string, path string, details string"), "outcomes"))
+    counts = {r["state"]: r["n"] for r in log.counts().where(F.col("job_id") == job).collect()}  # a row a state
     log.set_state(job, final_state(counts))
     return counts

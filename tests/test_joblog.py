@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from sluice.operators.joblog import JobLog, final_state, job_id, run_batch
 
@@ -11,30 +13,87 @@ def test_identity():
 
 
 def test_batch_with_retries(spark, tmp_path):
-    log = JobLog(spark, str(tmp_path / "log"))
-    tries = []
+    log, marks = JobLog(spark, str(tmp_path / "log")), tmp_path / "tries"
+    marks.mkdir()
 
     def work(path):
-        tries.append(path)
+        import os
+        import uuid
+
+        open(f"{marks}/{path}-{uuid.uuid4().hex}", "w").close()
         if path == "bad":
             raise OSError("broken")
-        if path == "flaky" and tries.count("flaky") < 3:
+        if path == "flaky" and sum(n.startswith("flaky") for n in os.listdir(marks)) < 3:
             return "failed", "later", True
         return "completed", "", False
 
     assert log.submit("j", ["a", "bad", "flaky"]) == "new"
     counts = run_batch(log, "j", work, max_retries=2)
-    assert (counts["completed"], counts["quarantined"], counts["pending"]) == (2, 1, 0) and tries.count("flaky") == 3
+    assert (counts["completed"], counts["quarantined"], counts["pending"]) == (2, 1, 0)
+    assert sorted(p.name.split("-")[0] for p in marks.iterdir()) == ["a", "bad", "flaky", "flaky", "flaky"]
     report = log.reports().collect()
     assert report[0].state == "completed_with_warnings" and [i.attempts for i in report[0]["items"]] == [1, 1, 3]
     assert log.submit("j", ["a", "bad", "flaky"]) == "complete" and log.reports(0).count() == 0
     log.reset("j", [1])
     assert log.one("j", 1)["attempts"] == 0 and [r.position for r in log.pending("j").collect()] == [1]
     log.begin("j", 1)
-    assert log.submit("j", []) == "recovered" and log.one("j", 1) | {"updated_at": 0, "details": ""} == {"job_id": "j", "position": 1, "path": "bad", "state": "pending", "attempts": 1, "details": "", "updated_at": 0}
-    for wrong in (lambda: log.finish("j", 1, "completed"), lambda: log.begin("j", 0), lambda: log.one("j", 9), lambda: log.defer("j", 0)):
+    again = JobLog(spark, log.path)  # a restarted driver
+    assert again.seq == log.seq and again.submit("j", []) == "recovered"
+    assert again.one("j", 1) | {"updated_at": 0, "details": ""} == {"job_id": "j", "position": 1, "path": "bad", "state": "pending", "attempts": 1, "details": "", "updated_at": 0}
+    for wrong in (lambda: again.finish("j", 1, "completed"), lambda: again.begin("j", 0), lambda: again.one("j", 9), lambda: again.defer("j", 0)):
         with pytest.raises(KeyError):
             wrong()
+    with pytest.raises(ValueError):
+        again.submit("j", ["a", "bad"])
+
+
+def test_queue():
+    from sluice.operators.queue import CancellationToken, JobQueue, Registry, Submission, Tool, err, ok
+
+    ran, seen = [], []
+    gate = threading.Event()
+
+    def job(name, fails=False):
+        def run(token, progress):
+            if name == "first":
+                gate.wait(10)
+            progress(1, 1, name)
+            ran.append(name)
+            if fails:
+                raise RuntimeError("no")
+            return "completed"
+
+        return run
+
+    queue = JobQueue()
+    stop = queue.subscribe(lambda s: seen.append((s["job_id"], s["state"])))
+    queue.subscribe(lambda s: 1 / 0)
+    queue.submit(Submission("first", "t", job("first"), 1))
+    queue.submit(Submission("low", "t", job("low"), 1))
+    queue.submit(Submission("high", "t", job("high", fails=True), 1, priority=5))
+    queue.submit(Submission("gone", "t", job("gone"), 1))
+    with pytest.raises(ValueError):
+        queue.submit(Submission("low", "t", job("low"), 1))
+    assert queue.cancel("gone") and queue.pause("low") and not queue.pause("low") and queue.resume("low") and not queue.resume("low")
+    gate.set()
+    assert queue.wait(10)
+    states = {s["job_id"]: s["state"] for s in queue.history()}
+    assert ran == ["first", "high", "low"] and states == {"first": "completed", "high": "failed", "low": "completed", "gone": "cancelled"}
+    assert ("first", "running") in seen and queue.errors and not queue.cancel("first")
+    stop()
+    assert queue.clear_finished() == 4 and queue.history() == []
+
+    token = CancellationToken()
+    token.pause()
+    threading.Timer(0.1, token.cancel).start()
+    assert token.wait_if_paused() is False and token.is_cancelled
+
+    tools = Registry(["image"])
+    tools.register(Tool("a", "A", "image", lambda df: df))
+    with pytest.raises(ValueError):
+        tools.register(Tool("a", "A", "image", lambda df: df))
+    assert tools.unplaced() == [] and tools.get("a").title == "A" and tools.get("b") is None
+    assert ok(1)["data"] == 1 and err("x", "y")["error_type"] == "x"
 
 
 def test_final_state():
