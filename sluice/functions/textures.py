@@ -84,18 +84,12 @@ def split_resolution(stem: Column) -> tuple[Column, Column]:
 
 
 def base_split(stem: Column) -> Column:
-    """The set's name where the stem ends in a base token: '' for the token alone, null where it does not."""
+    """The set's name where the stem ends in a base token behind a separator, or in one that may be glued on: '' for the
+    token alone, null where it does not."""
     clean = split_resolution(stem)[0]
-    out = F.lit(None).cast("string")
-    for token in reversed(BASE_TOKENS):
-        before = F.substring(clean, F.lit(1), F.length(clean) - len(token))
-        fits = (before == "") | before.rlike(r"[_\- .]$")
-        name = F.when(fits, F.regexp_replace(before, r"[_\- .]+$", ""))
-        if token in GLUED:
-            name = F.coalesce(name, F.when(before.rlike(r"[\p{L}\p{N}]$"), before))
-        ends = F.lower(clean).endswith(token)
-        out = F.when(ends & name.isNotNull(), name).otherwise(out)
-    return out
+    apart = rf"(?i)^(?:(.*?)[_\- .]+)?{one_of(BASE_TOKENS)}$"
+    glued = rf"(?i)^(.*[\p{{L}}\p{{N}}]){one_of(GLUED)}$"
+    return F.when(clean.rlike(apart), F.regexp_extract(clean, apart, 1)).when(clean.rlike(glued), F.regexp_extract(clean, glued, 1))
 
 
 def is_secondary(stem: Column) -> Column:
