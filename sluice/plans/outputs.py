@@ -303,3 +303,25 @@ def catalog_problems(spark, sf_dir):
     """Tools whose id is taken or whose category is unknown."""
     entries = inline(spark, ENTRIES, "id string, category string").groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("category").isin("image", "video"), F.lit(False))).alias("placed"))
     return entries.select("id", F.when(F.col("n") > 1, "repeated").when(~F.col("placed"), "unknown category").alias("problem")).where("problem IS NOT NULL")
+
+
+PACKED = "SELECT 'a' || (page_id % 23) || CASE page_id % 23 % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar.gz' ELSE '.unitypackage' END AS archive, page_id, html FROM pages"
+
+
+@query(
+    f"""WITH p AS ({PACKED}), n AS (SELECT archive, page_id, html, CASE WHEN page_id % 17 = 0 THEN '../up/' || page_id ELSE 'docs/p' || page_id || '.html' END AS name FROM p)
+SELECT archive, name, CASE WHEN page_id % 17 = 0 THEN 'rejected' ELSE 'written' END AS status, CASE WHEN page_id % 17 > 0 THEN CAST(octet_length(encode(html)) AS BIGINT) END AS bytes, CASE WHEN page_id % 17 > 0 THEN sha256(html) END AS sha256 FROM n"""
+)
+def archive_round_trip(spark, sf_dir):
+    """Pages packed into archives of three kinds and taken out again: names, sizes and digests; unsafe names are refused."""
+    from ..sources import archives
+
+    pages = table(spark, sf_dir, "pages")
+    suffix = F.element_at(F.array(*map(F.lit, [".zip", ".tar.gz", ".unitypackage"])), (F.col("page_id") % 23 % 3 + 1).cast("int"))
+    name = F.when(F.col("page_id") % 17 == 0, F.concat(F.lit("../up/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("docs/p"), F.col("page_id").cast("string"), F.lit(".html")))
+    rows = pages.select(F.concat(F.lit("a"), (F.col("page_id") % 23).cast("string"), suffix).alias("archive"), name.alias("name"), F.md5(F.col("page_id").cast("string").cast("binary")).alias("guid"), F.col("html").cast("binary").alias("data"))
+    plain = rows.where(~F.col("archive").endswith(".unitypackage")).select("archive", "name", "data")
+    unity = rows.where(F.col("archive").endswith(".unitypackage"))
+    members = unity.select("archive", F.explode(F.array(F.struct(F.concat("guid", F.lit("/pathname")).alias("name"), F.col("name").cast("binary").alias("data")), F.struct(F.concat("guid", F.lit("/asset")).alias("name"), F.col("data")))).alias("m")).select("archive", "m.name", "m.data")
+    found = archives.extract(archives.build(plain.unionByName(members)))
+    return found.select("archive", "name", "status", "bytes", "sha256")
