@@ -23,6 +23,7 @@ Shingles are 64-bit hashes; sets are compared whole, so results are exact but fo
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -36,9 +37,12 @@ from .common import batches, partitions, save
 from .components import joined, roots
 from .winnowing import POWERS
 
-CROWD = 1_000
-#: Cells of the sketch that pairs are held against each other by.
-SKETCH = 256
+#: Documents of one key that are held against each other where they are: about a second of work for so many.
+CROWD = 8_000
+#: Cells of the sketch that pairs are held against each other by, and of its coarse form.
+SKETCH, COARSE = 256, 32
+#: Bytes of sets that a block of documents has at most, on average.
+BLOCK_BYTES = 16 << 20
 #: Ids of copies that are broadcast; more of them are shuffled.
 MOST_COPIES = 1_000_000
 TAG_EXACT, TAG_NEAR, TAG_FEW = 1, 2, 3
@@ -269,12 +273,16 @@ def across(members: DataFrame, proof: Proof) -> DataFrame:
     similarity = proof.similarity
 
     def pairs(node, label, size, cells):
+        """By size, each with those that are not too large for it: coarse sketches first, whole ones of what these leave."""
         order = np.argsort(size, kind="stable")
         node, label, size, cells = node[order], label[order], size[order], cells[order]
+        coarse = cells.reshape(len(cells), COARSE, -1).sum(axis=2, dtype=np.int16)
+        ends = np.searchsorted(size, size * similarity.den // similarity.num, side="right")
         for i in range(0, len(node) - 1):
-            end = int(np.searchsorted(size, size[i] * similarity.den // similarity.num, side="right"))
-            far = np.abs(cells[i + 1 : end] - cells[i]).sum(axis=1, dtype=np.int64)
-            j = i + 1 + np.flatnonzero((far <= similarity.most(size[i] + size[i + 1 : end])) & (label[i + 1 : end] != label[i]))
+            most = similarity.most(size[i] + size[i + 1 : ends[i]])
+            j = np.flatnonzero(np.abs(coarse[i + 1 : ends[i]] - coarse[i]).sum(axis=1, dtype=np.int64) <= most)
+            j, most = j + i + 1, most[j]
+            j = j[(np.abs(cells[j] - cells[i]).sum(axis=1, dtype=np.int64) <= most) & (label[j] != label[i])]
             yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
 
     def run(it):
@@ -335,30 +343,63 @@ class Proof:
 
         def run(it):
             for b in it:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "elements"])
+                found = [shingles(t, words).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "bytes", "elements"])
 
         ids = ids.distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
         ids = save(ids, "wanted")
         if self.sets is None or not ids.isEmpty():
-            made = save(batches(self.texts.join(ids, "doc_id").select("doc_id", "text")).mapInArrow(run, "doc_id long, elements binary"), "elements")
+            made = save(batches(self.texts.join(ids, "doc_id").select("doc_id", "text")).mapInArrow(run, "doc_id long, bytes long, elements binary"), "elements")
             self.sets = made if self.sets is None else self.sets.unionAll(made)
         return self.sets
 
     def links(self, pairs: DataFrame, likely: bool = False) -> DataFrame:
+        """The pairs that are linked. Documents are dealt into blocks, and a pair of blocks is one group: it gets each set
+        that any of its pairs needs once, so that many pairs of few long documents do not each bring their sets."""
         similarity = self.similarity
-
-        def run(it):
-            for b in it:
-                ok = [similarity.linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
-
         pairs = save(pairs, "pairs") if likely else self.likely(pairs)
         sets = self.need(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        x, y = (sets.withColumnsRenamed({"doc_id": i, "elements": k}) for i, k in (("a", "x"), ("b", "y")))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return save(batches(both).mapInArrow(run, "a long, b long").distinct(), "links")
+        n = partitions(pairs.sparkSession)
+        total = sets.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        blocks = max(math.ceil(math.sqrt(n)), -(-total // BLOCK_BYTES))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+        dealt = pairs.select((block("a") * blocks + block("b")).alias("group"), "a", "b")
+        needed = dealt.select("group", F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets.select("doc_id", "elements"), "doc_id")
+        needed = needed.select("group", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+        rows = needed.unionByName(dealt.select("group", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("elements")))
+
+        def run(it):
+            group, held, cells = None, {}, {}
+
+            def counts(d, i, size):
+                """How many elements hash into each of so many cells."""
+                if (d, i, size) not in cells:
+                    cells[d, i, size] = np.bincount((held[d][i] >> np.uint64(11)).astype(np.int64) & (size - 1), minlength=size).astype(np.int32)
+                return cells[d, i, size]
+
+            def linked(a, b):
+                for i, x in enumerate(held[a]):
+                    for j, y in enumerate(held[b]):
+                        size = 1 << max(len(x), len(y), 1).bit_length()
+                        if np.abs(counts(a, i, size) - counts(b, j, size)).sum() <= similarity.most(len(x) + len(y)) and similarity.linked(x, y):
+                            return True
+                return False
+
+            for batch in it:
+                found = []
+                for g, kind, a, b, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if g != group:
+                        group, held, cells = g, {}, {}
+                    if kind == 0:
+                        held.setdefault(a, []).append(np.frombuffer(elements, np.uint64))
+                    elif linked(a, b):
+                        found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        sorted_ = rows.repartition(n, "group").sortWithinPartitions("group", "kind", "a")
+        return save(batches(sorted_).mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:
