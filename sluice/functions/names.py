@@ -65,10 +65,12 @@ def extensions(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.when(p.startswith("."), p).otherwise(F.concat(F.lit("."), p)))))
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
-    """A string that sorts as the name with its numbers compared by value: each number is padded to `digits`."""
+def natural_key(name: Column) -> Column:
+    """A string that sorts as the name with its numbers compared by value, however long: before the digits of each number
+    stands how many they are."""
     runs = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), digits, "0")).otherwise(r)), "")
+    digits = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 10, "0"), digits(r))).otherwise(r)), "")
 
 
 def planned_output(path: Column, root: Column, out: Column, kind: str, ending: Column) -> Column:

@@ -107,11 +107,17 @@ def coverage(alpha: np.ndarray) -> float:
     return float((alpha / 255 > 0.5).mean())
 
 
-def nearest_colour(rgb: np.ndarray, palette: np.ndarray) -> np.ndarray:
-    """Index of the nearest palette colour, the first of equal ones; in blocks of rows, so that memory stays bounded."""
+#: What the eye makes of red, green and blue.
+EYE = np.array([0.299, 0.587, 0.114])
+
+
+def nearest_colour(rgb: np.ndarray, palette: np.ndarray, eye: bool = False) -> np.ndarray:
+    """Index of the nearest palette colour, the first of equal ones, by plain distance or by what the eye makes of it; in
+    blocks of rows, so that memory stays bounded."""
+    weight = EYE if eye else np.ones(3)
     out = np.empty(rgb.shape[:2], dtype=np.int64)
     for y in range(len(rgb)):
-        out[y] = ((rgb[y, :, None, :3].astype(np.float64) - palette[None]) ** 2).sum(-1).argmin(-1)
+        out[y] = (((rgb[y, :, None, :3].astype(np.float64) - palette[None]) * weight) ** 2).sum(-1).argmin(-1)
     return out
 
 
@@ -122,10 +128,10 @@ def bayer(order: int) -> np.ndarray:
     return (m + 0.5) / m.size - 0.5
 
 
-def ordered_dither(rgb: np.ndarray, palette: np.ndarray, order: int = 4, spread: float = 48.0) -> np.ndarray:
+def ordered_dither(rgb: np.ndarray, palette: np.ndarray, order: int = 4, spread: float = 48.0, eye: bool = False) -> np.ndarray:
     m = bayer(order)
     tiled = np.tile(m, (-(-rgb.shape[0] // order), -(-rgb.shape[1] // order)))[: rgb.shape[0], : rgb.shape[1]]
-    return palette[nearest_colour(np.clip(rgb[..., :3] + spread * tiled[..., None], 0, 255), palette)].astype(np.uint8)
+    return palette[nearest_colour(np.clip(rgb[..., :3] + spread * tiled[..., None], 0, 255), palette, eye)].astype(np.uint8)
 
 
 # Where the error of a pixel goes, as (down, right, share).
@@ -135,17 +141,20 @@ SPREADS = {
 }
 
 
-def error_diffusion(rgb: np.ndarray, palette: np.ndarray, method: str = "floyd_steinberg") -> np.ndarray:
+def error_diffusion(rgb: np.ndarray, palette: np.ndarray, method: str = "floyd_steinberg", eye: bool = False) -> np.ndarray:
+    """Each pixel gets its nearest palette colour and hands its error on. No error goes against x + 2 y, so that all pixels
+    of one such sum are done at once."""
     h, w = rgb.shape[:2]
     work = np.pad(rgb[..., :3].astype(np.float64), ((0, 2), (2, 2), (0, 0)))
     out = np.empty((h, w, 3), dtype=np.uint8)
-    for y in range(h):
-        for x in range(w):
-            old = np.clip(work[y, x + 2], 0, 255)
-            new = palette[((old - palette) ** 2).sum(-1).argmin()]
-            out[y, x] = new
-            for dy, dx, share in SPREADS[method]:
-                work[y + dy, x + 2 + dx] += (old - new) * share
+    for t in range(w + 2 * (h - 1)):
+        y = np.arange(max(0, -(-(t - w + 1) // 2)), min(h, t // 2 + 1))
+        x = t - 2 * y
+        old = np.clip(work[y, x + 2], 0, 255)
+        new = palette[nearest_colour(old[None], palette, eye)[0]]
+        out[y, x] = new
+        for dy, dx, share in SPREADS[method]:
+            work[y + dy, x + 2 + dx] += (old - new) * share
     return out
 
 

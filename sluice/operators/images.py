@@ -56,19 +56,11 @@ def noise_sigma(image: np.ndarray) -> float:
 
 
 def diffuse(image: np.ndarray, levels: int = 2) -> np.ndarray:
-    """Error diffusion to so many grey levels; the error goes 7, 3, 5 and 1 sixteenths ahead and below."""
-    work = np.pad(grey(image).astype(np.float64), ((0, 1), (1, 1)))
-    h, w = work.shape[0] - 1, work.shape[1] - 2
-    step = 255 / (levels - 1)
-    for y in range(h):
-        for x in range(1, w + 1):
-            old = work[y, x]
-            new = np.clip(np.round(old / step) * step, 0, 255)
-            work[y, x] = new
-            e = (old - new) / 16
-            work[y, x + 1] += 7 * e
-            work[y + 1, x - 1 : x + 2] += (3 * e, 5 * e, e)
-    return work[:h, 1 : w + 1].astype(np.uint8)
+    """Error diffusion to so many grey levels."""
+    from .filters import error_diffusion
+
+    steps = np.repeat(np.linspace(0, 255, levels)[:, None], 3, 1)
+    return error_diffusion(np.repeat(grey(image)[..., None], 3, -1), steps)[..., 0]
 
 
 def boxes(mask: np.ndarray, least: int = 1) -> list[tuple[int, int, int, int]]:

@@ -49,7 +49,7 @@ def compact_passes(spark, sf_dir):
     return runs.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.min("event_type").alias("op"), F.count("*").alias("passes"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("amount"))
 
 
-@query()
+@query("SELECT user_id, arg_max(event_type, event_id) AS last_type, count(*) FILTER (event_type = 'error') AS errors, count(*) AS events FROM events GROUP BY 1")
 def job_stream(spark, sf_dir):
     """The same fold as a stream: events are read incrementally and each user's last state and tries are kept as state."""
     from ..streaming.jobs import fold_events
