@@ -44,9 +44,9 @@ LATIN = "A-Za-zÀ-ÖØ-öø-įı-ž"
 NOT_PLAIN = re.compile(f"[^{LATIN} -&(-~\n]|<\\|")
 WORDS = re.compile(f"[{LATIN}]+|[^{LATIN} \n]+")
 PIECES = re.compile(f"[ \n]*(?:[{LATIN}]+|[^{LATIN} \n]+)|[ \n]+")
-#: White space beyond blank, tab and line feed; a text that has any is left whole to the library.
-ODD_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
-CHUNK = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
+#: White space as pre-tokenizers know it: Unicode's White_Space.
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class PieceCache:

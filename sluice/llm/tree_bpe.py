@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_text, partitions
-from .tokens import CHUNK, LATIN, NOT_PLAIN, ODD_SPACE, PIECES, PieceCache
+from .tokens import CHUNK, LATIN, NOT_PLAIN, PIECES, PieceCache
 
 #: Characters of a part that is encoded whole, of a piece without white space that is, and of a block that is a row of its own.
 LEAF, RUN_LEAF, BLOCK = 4_096, 256, 16_384
@@ -55,16 +55,14 @@ class TreeEncoder(PieceCache):
         super().__init__(name)
         chars, vocab = byte_of_char(), self.library.get_vocab()
         special = {i: t.content.encode() for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = [t.decode() for t in special.values()]
+        strings = sorted((t.decode() for t in special.values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, strings)) or "(?!)")
+        self.special_ids = {t.decode(): i for i, t in special.items()}
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = special[i] if i in special else bytes(chars[c] for c in token)
         self.size = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
-    def whole(self, text: str) -> bool:
-        """Texts with a special token's string or with rare white space are left to the library in one piece."""
-        return any(s in text for s in self.special) or ODD_SPACE.search(text) is not None
-
     def encode_new(self, pieces: list[str]) -> list[bytes]:
         """Long pieces without white space go down the tree, the others to the library at once."""
         short = iter(super().encode_new([p for p in pieces if len(p) <= RUN_LEAF]))
@@ -90,9 +88,18 @@ class TreeEncoder(PieceCache):
         return self.concatenate(self.halves(text[:middle], leaf), self.halves(text[middle:], leaf))
 
     def encode(self, text: str) -> np.ndarray:
-        if self.whole(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        return self.halves(text, LEAF)
+        """The tree between special tokens' strings, which the library takes out before anything else."""
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [self.halves(text[at : m.start()], LEAF), np.array([self.special_ids[m.group()]], dtype="<u2")]
+            at = m.end()
+        return np.concatenate([*out, self.halves(text[at:], LEAF)]) if out else self.halves(text, LEAF)
+
+    def blocks(self, text: str, size: int) -> list[str]:
+        """The text in blocks of so many characters; a special token's string is not cut but moves to the next block."""
+        inside = {k: m.start() for m in self.special.finditer(text) for k in range(m.start() // size + 1, -(-m.end() // size))}
+        cuts = [inside.get(k, k * size) for k in range(math.ceil(len(text) / size))] + [len(text)]
+        return [text[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 
     def text_of(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -174,12 +181,11 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", digests: bool
         for b in it:
             uid, doc, part, text = [], [], [], []
             for u, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                whole = tree_encoder(tokenizer).whole(t)
-                for k in range(1 if whole else math.ceil(len(t) / block)):
+                for k, piece in enumerate(tree_encoder(tokenizer).blocks(t, block)):
                     uid.append(u)
                     doc.append(d)
                     part.append(k)
-                    text.append(t if whole else t[k * block : (k + 1) * block])
+                    text.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(text, pa.string())], names=["uid", "doc_id", "part", "text"])
 
     def parts(it):

@@ -26,6 +26,20 @@ def test_tree_equals_library():
         assert enc.halves(text, 64).tolist() == want
 
 
+def test_tree_with_rare_white_space_and_special_tokens(spark):
+    library, enc = tokenizer(BYTE), tree_bpe.tree_encoder(BYTE)
+    rng = random.Random(9)
+    alphabet = ["the", "ion", "é", "日本", "'ll", " ", "\r\n", "\r", "\xa0", "\u3000", "\u2028", "\x85", "\x1c", "\x0b", "\u200b", "<|endoftext|>", "<|endof", "text|>", "12", "!", "\n", "\t"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in [4, 40, 400, 3000] * 40]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text).tolist() == want
+        assert "".join(enc.blocks(text, 9)) == text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tree_bpe.encode(docs, BYTE, block=150).collect()}
+    assert all(got[i] == library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
 def test_word_table_equals_library(monkeypatch):
     library, enc = tokenizer(WORD), tokens.WordEncoder(WORD)
     assert enc.row_library is not enc.library
