@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, id_text, partitions, save
+from .common import batches, id_text, save
 from .tokens import word_encoder
 
 
+#: Parts that the pieces of one length are dealt into; sizes of all parts are at most capacity * SALTS rows.
+SALTS = 128
+
+
 class CapacityTree:
     """Segment tree over remaining capacities 0..top; a leaf says whether an open bin has just that much room left."""
 
@@ -117,10 +121,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
     Null and empty texts are one piece of the end id. Repeated rows are packed once each; ties of equal length go by
     doc_id within a salt. An empty table gives no rows. Further columns are ignored. A doc_id may be null.
     """
-    spark = docs.sparkSession
     pieces = save(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
-    salts = partitions(spark)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     sizes = save(sizes.select("length", "salt", "n", before.alias("before")), "sizes")
