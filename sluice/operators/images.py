@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, with pixel centres aligned; float64."""
-    a = image.astype(np.float64)
+    """Bilinear, with pixel centres aligned; in single precision for pictures of bytes, else in double."""
+    kind = np.float32 if image.dtype == np.uint8 else np.float64
+    a = image
     for axis, n in ((0, height), (1, width)):
         at = np.clip((np.arange(n) + 0.5) * a.shape[axis] / n - 0.5, 0, a.shape[axis] - 1)
         low = np.floor(at).astype(int)
         high = np.minimum(low + 1, a.shape[axis] - 1)
-        part = (at - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
-        a = np.take(a, low, axis) * (1 - part) + np.take(a, high, axis) * part
+        part = (at - low).astype(kind).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+        near, far = np.take(a, low, axis).astype(kind), np.take(a, high, axis).astype(kind)
+        a = near + (far - near) * part
     return a
 
 

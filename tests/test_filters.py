@@ -66,3 +66,14 @@ def test_denoise_and_maps():
     assert (f.despeckle(speck) == FLAT).all() and f.dehaze(PICTURE).shape == PICTURE.shape
     assert len(np.unique(f.mosaic(PICTURE, [(0, 0, 8, 8)])[:8, :8].reshape(-1, 3), axis=0)) == 1
     assert f.checkerboard(32, 32)[0, 0] != f.checkerboard(32, 32)[0, 16]
+
+
+def test_wide_blur_equals_weights_one_by_one():
+    from sluice.operators import filters
+
+    image = np.random.default_rng(4).integers(0, 255, (40, 31, 3)).astype(float)
+    for sigma in (5.0, 20.0):
+        reach = int(3 * sigma + 0.5)
+        w = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
+        assert np.allclose(filters.gaussian_blur(image, sigma), filters.along(image, w / w.sum()))
+    assert np.allclose(filters.gaussian_blur(image[..., 0], 7.0), filters.gaussian_blur(image, 7.0)[..., 0])
