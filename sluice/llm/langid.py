@@ -148,7 +148,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, epochs: int = 3) ->
             columns = [c.take(pa.array(keep, pa.int64())) for c in b.columns[:3]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([found[i][0].astype("<u2").tobytes() for i in keep], pa.binary()), pa.array([found[i][1].astype("<u4").tobytes() for i in keep], pa.binary())], names=["lang", "fold", "doc_id", "nz", "n"])
 
-    rows = batches(chosen).mapInArrow(features, "lang string, fold long, doc_id long, nz binary, n binary").collect()  # at most about `sample` of each language
+    found = batches(chosen).mapInArrow(features, "lang string, fold long, doc_id long, nz binary, n binary")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "nz").limit(2 * sample * len(languages)).collect()  # a bound for repeated ids too
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["lang"]))
     at = {name: i for i, name in enumerate(languages)}
     data = [(at[r["lang"]], r["fold"], np.frombuffer(r["nz"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")) for r in rows]

@@ -51,6 +51,21 @@ class Model:
         return sigmoid(score - self.thresholds)
 
 
+def likelihood(s: float, y: int, first: float, gaps: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """P(grade = y) at score s, and the slopes of its negative logarithm by the score and by (first, gaps): the thresholds are
+    first, first + e^gaps[0] and so on."""
+    edges = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    up = np.concatenate([[1.0], sigmoid(s - edges), [0.0]])  # P(grade >= j)
+    slope = up * (1 - up)
+    p = max(up[y] - up[y + 1], 1e-9)
+    by_edge = np.zeros(GRADES - 1)
+    if y > 0:
+        by_edge[y - 1] += slope[y] / p
+    if y < GRADES - 1:
+        by_edge[y] -= slope[y + 1] / p
+    return p, -(slope[y] - slope[y + 1]) / p, np.concatenate([[by_edge.sum()], [by_edge[j + 1 :].sum() * np.exp(gaps[j]) for j in range(GRADES - 2)]])
+
+
 def fit_sample(data: list[tuple[int, np.ndarray]], epochs: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by stochastic gradients of the cumulative-link likelihood; thresholds stay ordered as the
     first one and the logarithms of the gaps are what is learned."""
@@ -60,21 +75,9 @@ def fit_sample(data: list[tuple[int, np.ndarray]], epochs: int = 5) -> tuple[np.
     for _ in range(epochs):
         for y, nz in data:
             w = leader.weights(nz)
-            s = float(w.sum())
-            edges = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-            up = np.concatenate([[1.0], sigmoid(s - edges), [0.0]])  # P(grade >= j)
-            slope = up * (1 - up)
-            p = max(up[y] - up[y + 1], 1e-9)
-            g = -(slope[y] - slope[y + 1]) / p
-            g = float(np.clip(g, -4, 4))
-            leader.step(nz, w, np.full((len(nz), 1), g))
-            by_edge = np.zeros(GRADES - 1)
-            if y > 0:
-                by_edge[y - 1] += slope[y] / p
-            if y < GRADES - 1:
-                by_edge[y] -= slope[y + 1] / p
-            by_edge = np.clip(by_edge, -4, 4)
-            grad = np.concatenate([[by_edge.sum()], [by_edge[j + 1 :].sum() * np.exp(gaps[j]) for j in range(GRADES - 2)]])
+            _, g, grad = likelihood(float(w.sum()), y, first, gaps)
+            leader.step(nz, w, np.full((len(nz), 1), np.clip(g, -4, 4)))
+            grad = np.clip(grad, -4, 4)
             n += grad * grad
             move = 0.2 * grad / np.sqrt(n)
             first, gaps = first - move[0], np.clip(gaps - move[1:], -4, 4)
@@ -94,13 +97,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_GRADE) -> M
     share = F.lit(0.0)
     for g, n in sizes.items():
         share = F.when(F.col("grade") == g, min(1.0, sample / n)).otherwise(share)
-    chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    most = 2 * sample * GRADES  # a bound for repeated ids too
+    chosen = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
 
     def sparse(it):
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "grade", "nz"])
 
-    rows = batches(F.broadcast(chosen).join(texts, "doc_id").select("doc_id", "grade", "text")).mapInArrow(sparse, "doc_id long, grade int, nz binary").collect()  # at most about `sample` a grade
+    found = batches(F.broadcast(chosen).join(texts, "doc_id").select("doc_id", "grade", "text")).mapInArrow(sparse, "doc_id long, grade int, nz binary")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "nz").limit(most).collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], r["grade"]))
     weights, thresholds = fit_sample([(r["grade"], np.frombuffer(r["nz"], "<u4").astype(np.int64)) for r in rows])
     used = np.flatnonzero(weights)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -89,3 +90,69 @@ def test_rare_toxic_words_in_a_large_table(spark):
     got = toxicity.grade(docs, marks)
     severity = {r.bad: r.s for r in got.groupBy((got.doc_id % 6000 == 7).alias("bad")).agg({"severity": "avg"}).toDF("bad", "s").collect()}
     assert severity[True] > 10 * severity[False]
+
+
+def test_likelihood_against_differences():
+    """The slopes of the cumulative-link likelihood are those that differences show, and grades' chances add up to 1."""
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        s, first, gaps = rng.normal(0, 2), rng.normal(1, 1), rng.normal(0, 1, toxicity.GRADES - 2)
+        loss = lambda s, first, gaps, y: -np.log(toxicity.likelihood(s, y, first, gaps)[0])
+        chances = [toxicity.likelihood(s, y, first, gaps)[0] for y in range(toxicity.GRADES)]
+        assert abs(sum(chances) - 1) < 1e-9
+        for y in range(toxicity.GRADES):
+            _, by_score, by_edges = toxicity.likelihood(s, y, first, gaps)
+            h = 1e-5
+            assert abs((loss(s + h, first, gaps, y) - loss(s - h, first, gaps, y)) / (2 * h) - by_score) < 1e-4
+            assert abs((loss(s, first + h, gaps, y) - loss(s, first - h, gaps, y)) / (2 * h) - by_edges[0]) < 1e-4
+            for j in range(len(gaps)):
+                step = np.eye(len(gaps))[j] * h
+                assert abs((loss(s, first, gaps + step, y) - loss(s, first, gaps - step, y)) / (2 * h) - by_edges[1 + j]) < 1e-4
+
+
+def test_leader_against_one_weight_at_a_time():
+    rng = np.random.default_rng(3)
+    leader = langid.FollowTheLeader(6, 1, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
+    z, n = [0.0] * 6, [0.0] * 6
+
+    def weight(i):
+        if abs(z[i]) <= 0.1:
+            return 0.0
+        return -(z[i] - (0.1 if z[i] > 0 else -0.1)) / ((1 + n[i] ** 0.5) / 0.5 + 0.2)
+
+    for _ in range(200):
+        rows, g = np.unique(rng.integers(0, 6, 3)), float(rng.normal())
+        w = leader.weights(rows)
+        assert np.allclose(w[:, 0], [weight(i) for i in rows])
+        for i in rows:
+            new = n[i] + g * g
+            z[i] += g - (new**0.5 - n[i] ** 0.5) / 0.5 * weight(i)
+            n[i] = new
+        leader.step(rows, w, np.full((len(rows), 1), g))
+
+
+def test_grams_weights_and_temperature():
+    text = "Der Fuß, 12 där! der"
+    plain = "".join(c if c.isalpha() else " " for c in text.lower())
+    plain = " " + " ".join(plain.split()) + " "
+    want = [plain[i : i + k] for k in (1, 2, 3) for i in range(len(plain) - k + 1) if not (k == 1 and plain[i] == " ")]
+    nz, n = langid.counts(text)
+    assert n.sum() == len(want) and sorted(n.tolist()) == sorted(Counter(want).values())
+    idf = np.linspace(1, 2, langid.BUCKETS)
+    x = langid.weigh((nz, n), idf)
+    assert abs(x @ x - 1) < 1e-12 and np.allclose(x / x[0], (1 + np.log(n)) * idf[nz] / ((1 + np.log(n[0])) * idf[nz[0]]))
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 400)
+    logits = rng.normal(0, 1, (400, 3)) + 1.5 * np.eye(3)[y]
+    found = langid.temperature(10 * logits, y)
+    loss = lambda t: -np.log(langid.softmax(10 * logits / t)[np.arange(400), y]).mean()
+    assert loss(found) <= min(loss(t) for t in np.linspace(1, 20, 100)) + 1e-3 and 3 < found < 20
+
+
+def test_ties_repeats_and_clashing_names(spark):
+    rows = [(i % 50, t, lang, 1, "x") for i, t, lang, _ in corpus(200, 2)] + [(7, "the of and to in that", None, 1, "x")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, grade string")
+    got = langid.predict(docs).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id == 7}) < 40
+    marks = spark.createDataFrame([(i % 50, 1, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    assert toxicity.grade(docs, marks).count() == len(rows)
