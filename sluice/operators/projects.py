@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import textures
+from .tables import rank_within
 
 #: Fixed value: the identifier in a side file.
 GUID = r"(?m)^guid:\s*([0-9a-fA-F]{32})\s*$"
@@ -113,16 +114,18 @@ def free_names(wanted: DataFrame, taken: DataFrame, before: str = "_", after: st
     """(id, name): for each wanted (id, stem, suffix) its name where no taken one (name) equals it, else the first free one of
     stem + before + n + after + suffix, n from `first` on.
 
-    Taken names are cut into stem, number and suffix and joined by equality; the first gap in the numbers is free.
+    Taken names are cut into stem, number and suffix and joined by equality; the first gap in the numbers is free. A stem may
+    have any number of taken names.
     """
     escape = lambda x: "".join("\\" + c if not c.isalnum() and c != " " else c for c in x)
     pattern = rf"^(.*?){escape(before)}([1-9][0-9]{{0,8}}){escape(after)}((?:\.[^.]*)?)$"
     numbers = taken.select(F.regexp_extract("name", pattern, 1).alias("stem"), F.regexp_extract("name", pattern, 3).alias("suffix"), F.regexp_extract("name", pattern, 2).alias("n")).where("n != ''")
-    numbers = numbers.groupBy("stem", "suffix").agg(F.array_sort(F.collect_set(F.col("n").cast("int"))).alias("used"))
+    numbers = numbers.select("stem", "suffix", F.col("n").cast("long").alias("n")).where(F.col("n") >= first).distinct()
+    ranked = rank_within(numbers, ["stem", "suffix"], ["n"])
+    gap = F.when(F.col("n") != F.col("rank") + first, F.col("rank") + first)  # before the first of these a number is free
+    used = ranked.groupBy("stem", "suffix").agg(F.coalesce(F.min(gap), F.max("size") + first).alias("free"))
     plain = taken.select(F.col("name").alias("plain")).distinct()
-    both = wanted.join(plain, F.concat("stem", "suffix") == F.col("plain"), "left").join(numbers, ["stem", "suffix"], "left")
-    used = F.filter(F.coalesce("used", F.array().cast("array<int>")), lambda n: n >= first)
-    gap = F.filter(F.transform(used, lambda n, i: F.when(n != i + first, i + first)), lambda n: n.isNotNull())
-    number = F.coalesce(F.get(gap, F.lit(0)), F.size(used) + first)
+    both = wanted.join(plain, F.concat("stem", "suffix") == F.col("plain"), "left").join(used, ["stem", "suffix"], "left")
+    number = F.coalesce("free", F.lit(first))
     name = F.when(F.col("plain").isNull(), F.concat("stem", "suffix")).otherwise(F.concat(F.col("stem"), F.lit(before), number.cast("string"), F.lit(after), F.col("suffix")))
     return both.select("id", name.alias("name"))

@@ -15,6 +15,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/sluice-{label}-{uuid.uuid4().hex}"
@@ -23,10 +25,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: Column, member: Column) -> DataFrame:
-    """digest, members (sorted), n for keys with two or more members; null keys make no group."""
-    keyed = df.select(key.alias("digest"), member.alias("m")).where("digest IS NOT NULL")
-    groups = keyed.groupBy("digest").agg(F.sort_array(F.collect_list("m")).alias("members"), F.count("*").alias("n"))
-    return groups.where("n > 1")
+    """(digest, member, first, n): a row for each member of keys with two or more, with the least member and how many there
+    are; null keys make no group. No group is ever held in one row."""
+    keyed = df.select(key.alias("digest"), member.alias("member")).where("digest IS NOT NULL")
+    groups = keyed.groupBy("digest").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(groups, "digest").select("digest", "member", "first", "n")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -44,24 +47,37 @@ def pair(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: st
 
 
 def collisions(df: DataFrame, out: Column, source: Column) -> DataFrame:
-    """Outputs that two or more sources would write: out, n, sources (sorted)."""
-    groups = df.select(out.alias("out"), source.alias("s")).groupBy("out").agg(F.count_distinct("s").alias("n"), F.sort_array(F.collect_set("s")).alias("sources"))
-    return groups.where("n > 1")
+    """(out, source, n): the sources of outputs that two or more of them would write, each once."""
+    each = df.select(out.alias("out"), source.alias("source")).distinct()
+    shared = each.groupBy("out").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(shared, "out").select("out", "source", "n")
 
 
-def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """Row numbers from 0 in this order without one task holding all rows: ranges are ranked side by side, and each adds
-    the number of rows before it. Ties are ranked by all columns."""
+def global_before(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """df with the sum of the amounts of all rows before each in this order, without one task holding all rows: ranges are
+    summed side by side, and each adds what lies before it. Ties are ordered, and dealt, by all columns."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    ranged = save(ranged, "ranges")
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row a range
     full = [*order, *[c for c in df.columns if c not in order]]
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*full)) - 1
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *full).withColumn("_part", F.spark_partition_id())
+    ranged = save(ranged.withColumn("_amount", amount.cast("long")), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    before = sizes.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row a range
+    local = F.sum("_amount").over(Window.partitionBy("_part").orderBy(*full).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_amount")
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_local") + F.col("_before")).alias(name))
 
 
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Row numbers from 0 in this order; see global_before()."""
+    return global_before(df, order, F.lit(1), name)
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Row numbers from 0 in this order within each group, and the group's size in `size`; a group may be of any size."""
+    ranked = save(global_rank(df, [*by, *order], "_rank"), "ranked")
+    first = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"), F.count("*").alias("size"))
+    return ranked.join(first, by).select(*df.columns, (F.col("_rank") - F.col("_first")).alias(name), "size")
+
+
 def split_bounds(n: Column, ratios: tuple[float, float, float]) -> tuple[Column, Column]:
     """Upper ranks of train and validation: cumulated shares of n, rounded half to even."""
     return F.bround(n * ratios[0]), F.least(n, F.bround(n * ratios[0]) + F.bround(n * ratios[1]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers
+from ..operators import tables
 from .registry import inline, query, sql_values, table
 
 TITLE = r"<title>(.*?)</title>"
@@ -72,13 +73,11 @@ def caption_replace_regex(spark, sf_dir):
 
 @query("SELECT doc_id, source, CAST(regexp_extract(source, '[0-9]+$') AS INTEGER) AS number, rank() OVER (ORDER BY CAST(regexp_extract(source, '[0-9]+$') AS INTEGER)) AS natural_rank FROM documents")
 def natural_sort_rank(spark, sf_dir):
-    """src2 before src10: sources are ranked by their natural key, then documents get their source's rank."""
-    from pyspark.sql.window import Window
-
+    """src2 before src10: keys are ranked by how many documents lie before them, then documents get their source's rank."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     sources = docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("key", names.natural_key(F.col("source")))
-    before = F.sum("n").over(Window.orderBy("key")) - F.col("n") + 1  # a row a source
-    ranked = sources.select("source", before.alias("natural_rank"))
+    keys = tables.global_before(sources.groupBy("key").agg(F.sum("n").alias("n")), ["key"], F.col("n"), "before")
+    ranked = sources.join(keys.select("key", "before"), "key").select("source", (F.col("before") + 1).alias("natural_rank"))
     number = F.regexp_extract("source", "[0-9]+$", 0).cast("int").alias("number")
     return docs.join(ranked, "source").select("doc_id", "source", number, "natural_rank")
 

@@ -205,7 +205,7 @@ def dataset_plan(spark, sf_dir):
     bucket = F.when(F.col("n_chars") == 0, "unknown").otherwise(F.concat((F.col("n_chars") % 640).cast("string"), F.lit("x"), (F.col("n_chars") % 480).cast("string")))
     rows = docs.join(split, "doc_id").join(captions, "doc_id", "left").select("doc_id", F.coalesce("has_caption", F.lit(False)).alias("has_caption"), "split", bucket.alias("bucket"), F.concat(F.lit("out/"), "split", F.lit("/"), name).alias("stem"))
     rows = rows.withColumn("image_output", F.concat("stem", F.lit(".png")))
-    shared = tables.collisions(rows, F.col("image_output"), F.col("doc_id")).select(F.col("out").alias("image_output"), F.lit(True).alias("collides"))
+    shared = tables.collisions(rows, F.col("image_output"), F.col("doc_id")).select(F.col("out").alias("image_output"), F.lit(True).alias("collides")).distinct()
     both = rows.join(shared, "image_output", "left")
     return both.select("doc_id", "has_caption", "split", "bucket", "image_output", F.when(F.col("has_caption"), F.concat("stem", F.lit(".txt"))).alias("caption_output"), F.coalesce("collides", F.lit(False)).alias("collides"))
 

@@ -94,22 +94,20 @@ def base_token_rank(spark, sf_dir):
 OUT_SQL = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$')"
 
 
-@query(f"SELECT {OUT_SQL} AS out, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS sources FROM pages GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT out, page_id, n FROM (SELECT {OUT_SQL} AS out, page_id, count(*) OVER (PARTITION BY {OUT_SQL}) AS n FROM pages) WHERE n > 1")
 def output_collisions(spark, sf_dir):
+    """Pages that would be written under a name that others have too."""
     out = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", 0)
-    found = tables.collisions(table(spark, sf_dir, "pages"), out, F.col("page_id"))
-    return found.select("out", "n", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+    return tables.collisions(table(spark, sf_dir, "pages"), out, F.col("page_id")).select("out", F.col("source").alias("page_id"), "n")
 
 
 @query("SELECT page_id, CASE WHEN k = 0 THEN s || '.html' ELSE printf('%s_%03d.html', s, CAST(k AS INTEGER)) END AS out FROM (SELECT page_id, s, row_number() OVER (PARTITION BY s ORDER BY page_id) - 1 AS k FROM (SELECT page_id, " + OUT_SQL + " AS s FROM pages))")
 def rename_collisions(spark, sf_dir):
     """Equal planned names are numbered in order of the page."""
-    from pyspark.sql.window import Window
-
     from ..functions.names import numbered
 
     stems = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", 0).alias("s"))
-    ranked = stems.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("page_id")) - 1)
+    ranked = tables.rank_within(stems, ["s"], ["page_id"], "k")
     return ranked.select("page_id", numbered(F.col("s"), F.col("k"), F.lit(".html")).alias("out"))
 
 
