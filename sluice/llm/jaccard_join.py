@@ -227,7 +227,6 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
     real = every.where("doc_id IS NOT NULL AND mark IS NOT NULL")
     marks = real.groupBy("mark").agg(F.min("doc_id").alias("node"))
     nodes = save(real.select("doc_id", "mark").distinct().join(marks, "mark").select("doc_id", "node"), "nodes")
-    sketches = real.groupBy("doc_id").agg(F.collect_list("sketch").alias("sketches"))  # one, but for repeated doc_ids
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def found(text):
@@ -239,14 +238,14 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
     copies = save(copies, "copies")
     firsts = texts.join(F.broadcast(copies) if copies.count() <= MOST_COPIES else copies, "doc_id", "left_anti")
     members = save(deal(firsts, found, n).withColumnRenamed("doc_id", "node"), "members")
-    proof = Proof(texts, sketches, real.select("doc_id", "sketch"), words, similarity)
+    proof = Proof(texts, real.select("doc_id", "sketch"), words, similarity)
 
     links = nodes.where("doc_id != node").selectExpr("doc_id AS a", "node AS b")
     # Each copy has its first document above it, each other document the first that it is linked with.
     links = save(links.unionAll(first_links(members, proof).selectExpr("b AS a", "a AS b")), "links")
     labels = joined(roots(links), links)
     left = save(of_several(members, labels), "rest")
-    more = proof.links(across(left.where(F.col("n") <= crowd), proof), likely=True)
+    more = proof.links(across(left.where(F.col("n") <= crowd), proof))
     crowded = left.where(F.col("n") > crowd).select(F.col("node").alias("doc_id")).distinct()
     if not crowded.isEmpty():
         more = more.unionAll(by_rarest(save(crowded, "crowded"), labels, proof))
@@ -254,11 +253,32 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
     return every.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def with_sketches(members: DataFrame, proof: Proof, *columns: str) -> DataFrame:
+    """Members with their sketches, those of one run in one task and in order of node."""
+    full = members.join(proof.each.withColumnRenamed("doc_id", "node"), "node").select("run", "node", *columns, "sketch")
+    return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run", "node"))
+
+
 def first_links(members: DataFrame, proof: Proof) -> DataFrame:
-    """Each document against the first of those that it shares a key with and may be similar to."""
-    least = members.groupBy("run").agg(F.min("node").alias("a"))
-    pairs = proof.likely(members.join(least, "run").where("a < node").select("a", F.col("node").alias("b")).distinct())
-    return proof.links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), likely=True)
+    """Each document against the first of those that it shares a key with and may be similar to. Runs are gone through in
+    order; no more than the first document of one is held."""
+    similarity = proof.similarity
+
+    def run(it):
+        now, first, held = None, None, []
+        for b in it:
+            found = []
+            for r, node, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != now:
+                    now, first, held = r, node, []
+                if node == first:
+                    held.append(sketch)
+                elif any(similarity.possible(x, sketch) for x in held):
+                    found.append((first, node))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    pairs = with_sketches(members, proof).mapInArrow(run, "a long, b long")
+    return proof.links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
 
 
 def of_several(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,31 +332,17 @@ def across(members: DataFrame, proof: Proof) -> DataFrame:
                 found, n = [], 0
         yield out(found + (flush() if held else []))
 
-    full = members.join(proof.each.withColumnRenamed("doc_id", "node"), "node").select("run", "node", "label", "sketch")
-    return batches(full.repartition(partitions(full.sparkSession), "run").sortWithinPartitions("run")).mapInArrow(run, "a long, b long").distinct()
+    return with_sketches(members, proof, "label").mapInArrow(run, "a long, b long").distinct()
 
 
 class Proof:
-    """Decides which pairs (a, b) are linked. Sketches rule most pairs out; sets are made of the texts of the rest only."""
+    """Decides which pairs (a, b) are linked; sets are made of the texts of these only."""
 
-    def __init__(self, texts: DataFrame, sketches: DataFrame, each: DataFrame, words: int, similarity: Similarity):
-        self.texts, self.sketches, self.words, self.similarity = texts, sketches, words, similarity
+    def __init__(self, texts: DataFrame, each: DataFrame, words: int, similarity: Similarity):
+        self.texts, self.words, self.similarity = texts, words, similarity
         self.each = each  # a row for each text
         self.sets: DataFrame | None = None
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that their sketches do not rule out."""
-        similarity = self.similarity
-
-        def run(it):
-            for b in it:
-                ok = [any(similarity.possible(p, q) for p in x for q in y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
-
-        x, y = (self.sketches.withColumnsRenamed({"doc_id": i, "sketches": k}) for i, k in (("a", "x"), ("b", "y")))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return save(batches(both).mapInArrow(run, "a long, b long"), "likely")
-
     def need(self, ids: DataFrame) -> DataFrame:
         """The sets of at least these documents (doc_id)."""
         words = self.words
@@ -355,11 +361,11 @@ class Proof:
             self.sets = made if self.sets is None else self.sets.unionAll(made)
         return self.sets
 
-    def links(self, pairs: DataFrame, likely: bool = False) -> DataFrame:
+    def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked. Documents are dealt into blocks, and a pair of blocks is one group: it gets each set
         that any of its pairs needs once, so that many pairs of few long documents do not each bring their sets."""
         similarity = self.similarity
-        pairs = save(pairs, "pairs") if likely else self.likely(pairs)
+        pairs = save(pairs, "pairs")
         sets = self.need(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
         n = partitions(pairs.sparkSession)
         total = sets.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -421,4 +427,4 @@ def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:
     runs = save(runs, "rare")
     links = first_links(runs, proof)
     known = joined(labels, links)
-    return links.unionAll(proof.links(across(of_several(runs, known), proof), likely=True))
+    return links.unionAll(proof.links(across(of_several(runs, known), proof)))
