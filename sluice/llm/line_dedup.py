@@ -65,6 +65,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("k", "h", "ln", "n", head.alias("head"), tail.alias("tail"), extra.alias("extra"))
 
 
+def flags(gone: Column, n: Column) -> Column:
+    """From ascending line numbers, whether each of the n lines is among them; in linear time."""
+    runs = F.transform(gone, lambda x, j: F.concat(F.array_repeat(F.lit(False), (x - F.when(j > 0, gone[j - 1]).otherwise(-1) - 1).cast("int")), F.array(F.lit(True))))
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), (n - gone[F.size(gone) - 1] - 1).cast("int")))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """(k, h, ln) of all lines that go; docs has k, h and text."""
     at = F.struct(*PLACE)
@@ -80,8 +86,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     alive = save(alive, "alive")
     texts = docs.where("text IS NOT NULL")
     own = texts.join(F.broadcast(alive), ["k", "h"]) if alive.count() <= SMALL else texts.join(alive, ["k", "h"])
-    own = own.select("k", "h", F.split(normal(F.col("text")), "\n").alias("all"), F.explode("alive").alias("ln"))
-    own = own.select(*PLACE, F.split(F.trim(F.get("all", F.col("ln"))), " ").alias("w"))
+    own = own.select("k", "h", F.split("text", "\n").alias("all"), F.array_sort("alive").alias("alive"))
+    marked = F.zip_with("all", flags(F.col("alive"), F.size("all")), lambda x, it: F.when(it, x))
+    own = own.select("k", "h", F.explode(F.arrays_zip(F.col("alive").alias("ln"), F.array_compact(marked).alias("s"))).alias("a"))
+    own = own.select("k", "h", F.col("a.ln").alias("ln"), F.split(F.trim(normal(F.col("a.s"))), " ").alias("w"))
     own = save(own.dropDuplicates([*PLACE]), "own")
 
     xor = lambda a, b: a.bitwiseXOR(b)
@@ -123,12 +131,6 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return meet(found.select(*PLACE, *line), gone, line).where(F.col("first").isNull() | (F.col("first") != at)).select(*PLACE)
 
 
-def flags(gone: Column, n: Column) -> Column:
-    """From ascending line numbers, whether each of the n lines is among them; in linear time."""
-    runs = F.transform(gone, lambda x, j: F.concat(F.array_repeat(F.lit(False), (x - F.when(j > 0, gone[j - 1]).otherwise(-1) - 1).cast("int")), F.array(F.lit(True))))
-    return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), (n - gone[F.size(gone) - 1] - 1).cast("int")))
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and in `text` only the lines that stay.
 
