@@ -31,9 +31,9 @@ PLACE = ("k", "h", "ln")
 
 
 def normal(text: Column) -> Column:
-    """Lower case, with one blank for every run of white space within a line."""
-    low = F.lower(text)
-    return F.when(low.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(low, r"[ \t\x0B\f\r]+", " ")).otherwise(low)
+    """Lower case, with one blank for every run of white space within a line; most texts need only the first."""
+    uneven = F.contains(text, F.lit("  ")) | text.rlike(r"[\t\x0B\f\r]")
+    return F.lower(F.when(uneven, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text))
 
 
 def is_blank(line: Column) -> Column:
