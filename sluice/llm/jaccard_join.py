@@ -162,6 +162,13 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
+def repeated(key: np.ndarray) -> np.ndarray:
+    """Where the values that occur more than once stand."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    return order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(key) else order
+
+
 def deal(df: DataFrame, found, n: int) -> DataFrame:
     """Keys of each row (doc_id, text) as found(text) gives them, brought together by key; rows (run, doc_id) for the keys
     of two or more documents. Keys of one batch travel as one blob per receiver, 48 bits of each: a false candidate
@@ -174,7 +181,7 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             key = np.concatenate([*lists, np.zeros(0, np.uint64)]) & np.uint64((1 << 48) - 1)
             doc = np.repeat(ids, [len(x) for x in lists])
             to = (key % np.uint64(n)).astype(np.int64)
-            order = np.lexsort((key, to))
+            order = np.argsort(to << 48 | key.astype(np.int64)) if n < 1 << 15 else np.lexsort((key, to))
             key, doc, to = key[order], doc[order], to[order]
             cut = np.searchsorted(to, np.arange(n + 1))
             some = [i for i in range(n) if cut[i] < cut[i + 1]]
@@ -188,6 +195,10 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             doc += [from_planes(x, 8).view(np.int64) for x in b.column(2).to_pylist()]
         if key:
             key, doc = np.concatenate(key), np.concatenate(doc)
+            several = repeated(key)
+            key, doc = key[several], doc[several]
+            if not len(key):
+                return
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
@@ -197,7 +208,8 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             sign = np.add.reduceat(mix(doc.astype(np.uint64) + np.uint64(77)), start) + size.astype(np.uint64)
             _, first = np.unique(np.where(size > 1, sign, 0), return_index=True)
             first = first[size[first] > 1]
-            rows = np.concatenate([np.arange(start[i], start[i] + size[i]) for i in first] or [np.zeros(0, np.int64)])
+            ends = np.cumsum(size[first])
+            rows = np.repeat(start[first] - ends + size[first], size[first]) + np.arange(ends[-1] if len(ends) else 0)
             run = np.repeat(key[start[first]].astype(np.int64), size[first])
             for at in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(run[at : at + 50_000]), pa.array(doc[rows[at : at + 50_000]])], names=["run", "doc_id"])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, partitions, save
-from .jaccard_join import from_planes, mix, planes
+from .jaccard_join import from_planes, mix, planes, repeated
 from .winnowing import POWERS
 
 #: Grams this long seldom repeat by chance; longer ones would make more anchors.
@@ -67,7 +67,7 @@ def suffix_ranks(rows: np.ndarray, depth: int) -> np.ndarray:
     packed = np.zeros((n, width), dtype=np.int64)
     for j in range(7):
         packed[:, : width - j] += rows[:, j:].astype(np.int64) << (9 * (6 - j))
-    order = np.argsort(packed, axis=None, kind="stable")
+    order = np.argsort(packed, axis=None)  # equal ones in any order, here and below
     flat = packed.ravel()[order]
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
     rank = np.empty(n * width, dtype=np.int64)
@@ -80,7 +80,7 @@ def suffix_ranks(rows: np.ndarray, depth: int) -> np.ndarray:
         behind = np.zeros((n, width), dtype=np.int64)
         behind[:, : width - h] = np.where(rows[:, h:] > 0, rank.reshape(n, width)[:, h:] + 1, 0)
         first, second = rank[shared], behind.ravel()[shared]
-        by = np.lexsort((second, first))
+        by = np.argsort(first * (n * width + 1) + second)
         shared, first, second = shared[by], first[by], second[by]
         group = np.concatenate([[True], first[1:] != first[:-1]])
         part = group | np.concatenate([[True], second[1:] != second[:-1]])
@@ -126,7 +126,7 @@ def least_documents(contexts: list[bytes], docs: np.ndarray, length: int) -> np.
     filled = np.arange(width) < sizes[:, None]
     rows = np.zeros((len(contexts), width), dtype=np.uint16)
     rows[filled] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.uint16) + 1
-    order = np.argsort(suffix_ranks(rows, width), axis=None, kind="stable")
+    order = np.argsort(suffix_ranks(rows, width).ravel() * rows.size + np.arange(rows.size))
     new = common_prefixes(rows, sizes, order, length) < length
     new[0] = True
     least = np.minimum.reduceat(docs[order // width], np.flatnonzero(new))
@@ -151,7 +151,7 @@ def spans(docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray
 
 def blobs(to: np.ndarray, n: int, *columns: tuple[np.ndarray, int]):
     """(receiver, bytes of each column), for the receivers that get any; columns in so many byte planes, or as they are for 0."""
-    order = np.argsort(to, kind="stable")
+    order = np.argsort(to.astype(np.uint16) if n <= 1 << 16 else to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(n + 1))
     columns = [(c[order], width) for c, width in columns]
     return [(i, *(planes(c[cut[i] : cut[i + 1]], width) if width else c[cut[i] : cut[i + 1]].tobytes() for c, width in columns)) for i in range(n) if cut[i] < cut[i + 1]]
@@ -200,6 +200,10 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         key, context, doc, at = map(np.concatenate, got)
         del got
         doc, at = doc.view(np.int64), at.view(np.int64)
+        several = repeated(key)  # an anchor that occurs once decides nothing
+        key, context, doc, at = key[several], context[several], doc[several], at[several]
+        if not len(key):
+            return
         order = np.lexsort((at, doc, context, key))
         key, context, doc, at = key[order], context[order], doc[order], at[order]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -260,8 +264,9 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             far, key, late, start = [], [], [], []
             for d, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = t.encode()
-                for p in joined(cold, np.int64).tolist():
-                    k = int(rolling(np.frombuffer(data[p : p + gram], np.uint8), gram)[0])
+                places = joined(cold, np.int64)
+                hashes = rolling(np.frombuffer(data, np.uint8), gram)[places] if len(places) else places
+                for p, k in zip(places.tolist(), hashes.tolist(), strict=True):
                     low = max(0, p - length + gram)
                     number, which, doc, base = shards.setdefault(k % n, ({}, [], [], []))
                     which.append(number.setdefault((k, data[low : p + length]), len(number)))
