@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import batches, partitions, save
 from .jaccard_join import from_planes, mix, planes, repeated
@@ -170,6 +171,23 @@ def record_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def with_base(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) with `base`: places of unlike texts of one doc_id count on from each other, so that a
+    place belongs to one text. It is 0 wherever a doc_id has one text only."""
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), (F.octet_length("text") + 1).cast("long").alias("n")).distinct()
+    several = save(own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return docs.withColumn("base", F.lit(0).cast("long"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    bases = save(own.join(several, "doc_id").select("doc_id", "h", before.alias("base")), "bases")
+    return docs.withColumn("h", F.xxhash64("text")).join(bases, ["doc_id", "h"], "left").drop("h").withColumn("base", F.coalesce("base", F.lit(0).cast("long")))
+
+
+def own_places(places: np.ndarray, base: int, data: bytes) -> np.ndarray:
+    """Those places that are a text's own, counted from its beginning."""
+    return places[(places >= base) & (places < base + len(data))] - base
+
+
 def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, spans, full): for each document that loses any, lists of pairs of 64-bit (start, end), and of 64-bit places
     of anchors whose contexts go."""
@@ -180,11 +198,11 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     def send_anchors(it):
         for b in it:
             parts = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d, base, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = np.frombuffer(t.encode(), np.uint8)
                 h, at = anchors(data, length, gram)
                 if len(h):
-                    parts.append((h, context_hashes(data, at, length, gram), np.full(len(h), d, np.int64), at))
+                    parts.append((h, context_hashes(data, at, length, gram), np.full(len(h), d, np.int64), at + base))
             if parts:
                 key, context, doc, at = map(np.concatenate, zip(*parts, strict=True))
                 rows = blobs((key % np.uint64(n)).astype(np.int64), n, (key // np.uint64(n), 5), (context, 6), (doc.astype(np.uint64), 8), (at.astype(np.uint64), 8))
@@ -262,23 +280,23 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         for b in it:
             shards: dict[int, tuple[dict, list, list, list]] = {}
             far, key, late, start = [], [], [], []
-            for d, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, zero, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = t.encode()
-                places = joined(cold, np.int64)
+                places = own_places(joined(cold, np.int64), zero, data)
                 hashes = rolling(np.frombuffer(data, np.uint8), gram)[places] if len(places) else places
                 for p, k in zip(places.tolist(), hashes.tolist(), strict=True):
                     low = max(0, p - length + gram)
                     number, which, doc, base = shards.setdefault(k % n, ({}, [], [], []))
                     which.append(number.setdefault((k, data[low : p + length]), len(number)))
                     doc.append(d)
-                    base.append(low)
-                p = joined(warm, np.int64)
+                    base.append(low + zero)
+                p = own_places(joined(warm, np.int64), zero, data)
                 if len(p):
                     s = np.unique(np.concatenate([np.arange(max(0, x - length + gram), min(x, len(data) - length) + 1) for x in p]))
                     x = rolling(np.frombuffer(data, np.uint8), length)[s]
                     key.append(x)
                     late.append(np.full(len(x), d, dtype=np.int64))
-                    start.append(s)
+                    start.append(s + zero)
             rows = [(i, [c for _, c in number], np.array([k for k, _ in number], dtype=np.uint64).tobytes(), np.array(which, dtype=np.int32).tobytes(), *(np.array(x, dtype=np.int64).tobytes() for x in rest)) for i, (number, which, *rest) in shards.items()]
             if key:
                 key, late, start = map(np.concatenate, (key, late, start))
@@ -334,7 +352,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         late = [d > least[np.searchsorted(key, k)] for k, d, _ in lists]
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
-    with_text = batches(texts.join(open_, "doc_id").select("doc_id", "text", "cold", "hot"))
+    with_text = batches(texts.join(open_, "doc_id").select("doc_id", "base", "text", "cold", "hot"))
     strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary")
     found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
     found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
@@ -346,24 +364,26 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
     gives for each row.
 
     Strings are judged on the input, also in spans that go. Null text is empty. A row with a null doc_id neither loses
-    anything nor makes others lose. Rows of one doc_id do not make each other lose; if their texts differ, each loses
-    what any of them does, as far as its text goes. An empty table stays empty; other columns are kept as they are.
+    anything nor makes others lose. Rows of one doc_id do not make each other lose, and each loses what its own text
+    shares with smaller doc_ids. An empty table stays empty; other columns are kept as they are.
     """
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = removed(texts, length, gram, hot).withColumnRenamed("doc_id", "k")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
-    both = rows.join(gone, "k", "left").select("row", "text", "spans", "full")
+    rows = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*others).alias("row"), F.col("text").cast("string").alias("text")))
+    texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "base", "text")
+    gone = removed(texts, length, gram, hot)
+    both = rows.join(gone, "doc_id", "left").select("row", "text", "base", "spans", "full")
 
     def run(it):
         for b in it:
             out = []
-            for t, lists, full in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for t, base, lists, full in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 data = (t or "").encode()
-                at = np.concatenate([np.frombuffer(x, np.int64) for x in full or []] or [np.zeros(0, np.int64)])
+                at = own_places(np.concatenate([np.frombuffer(x, np.int64) for x in full or []] or [np.zeros(0, np.int64)]), base, data)
                 near = np.stack([np.maximum(0, at - length + gram), np.minimum(at + length, len(data))], axis=1)
-                pairs = np.concatenate([near[near[:, 1] - near[:, 0] >= length], *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or [])])
-                pairs = np.minimum(pairs[np.argsort(pairs[:, 0], kind="stable")], len(data))
+                found = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or [])])
+                found = found[(found[:, 0] >= base) & (found[:, 0] < base + len(data))] - base
+                pairs = np.concatenate([near[near[:, 1] - near[:, 0] >= length], found])
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 merged: list[list[int]] = []
                 for a, z in pairs.tolist():
                     if merged and a <= merged[-1][1]:
