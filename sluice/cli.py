@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from pyspark.sql.pandas.functions import arrow_udf
 
     reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", a.recursive)
-    names = reader.load(a.source).select(F.col("image.origin").alias("path")).where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
+    names = reader.load(a.source).select(pictures.local_path("image.origin").alias("path")).where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in SUFFIXES) + ")$"))
     chosen = names.orderBy("path").limit(a.limit) if a.limit is not None else names
     found = pictures.read(spark, a.source) if not a.recursive else pictures.read(spark, a.source.rstrip("/") + "/**")
     done = pictures.deliver(found.join(chosen, "path"), [(a.kernel, a.params)])

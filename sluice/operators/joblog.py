@@ -146,6 +146,24 @@ class JobLog:
         return top.join(items, "job_id", "left").orderBy(F.desc("last"))
 
 
+class VolatileJobLog(JobLog):
+    """The same log for one session, kept by the driver: nothing is written, and reports end with it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seq, self.rows = spark, 0, []
+
+    def append(self, rows: list[tuple]) -> None:
+        for job, position, kind, state, path, details in rows:
+            self.seq += 1
+            self.rows.append((job, position, self.seq, kind, state, path, details, time.time()))
+
+    def append_all(self, rows: DataFrame) -> None:
+        self.append([tuple(r) for r in rows.select("job_id", "position", "kind", "state", "path", "details").collect()])  # a session's items
+
+    def events(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, SCHEMA)
+
+
 def run_batch(log: JobLog, job: str, work, max_retries: int = 0) -> dict[str, int]:
     """Runs the waiting items of a job on the executors, in rounds of one Spark job each; work(path) returns (state,
     details, retryable) and goes to the executors with all that it needs.

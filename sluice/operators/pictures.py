@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import inspect
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import filters, images, passes
@@ -46,6 +47,7 @@ KERNELS = {
     "anime": passes.anime, "red_eye": passes.red_eye, "vibrance": passes.vibrance, "shift": passes.shift, "temperature": passes.temperature, "tint": passes.tint, "frame": passes.frame, "fit": lambda a, height, width: passes.fit(a, height, width),
     "bokeh": lambda a, radius=22.0: passes.bokeh(a, passes.opaque(a)[..., 3], radius), "privacy_blur": lambda a, radius=28.0, block=0: filters.as_bytes(filters.gaussian_blur(a[..., :3], max(1.0, radius))) if block < 2 else filters.mosaic(a[..., :3], [(0, 0, a.shape[1], a.shape[0])], block),
     "checkerboard": lambda a, cell=16: np.repeat(filters.checkerboard(*a.shape[:2], cell)[..., None], 3, -1), "gradient": lambda a, top=(0, 0, 0), bottom=(255, 255, 255): filters.gradient(*a.shape[:2], tuple(top), tuple(bottom)),
+    "shrink": lambda a, longest: a if max(a.shape[:2]) <= longest else filters.as_bytes(images.resize(a, max(1, round(a.shape[0] * longest / max(a.shape[:2]))), max(1, round(a.shape[1] * longest / max(a.shape[:2]))))),
     "weighted": lambda a: filters.as_bytes(passes.weighted(a[..., :3])),
 }
 #: What is measured of a picture: name to (function, SQL type, Arrow type).
@@ -59,6 +61,8 @@ MEASURES = {
     "screen": (lambda a: passes.screen_colour(filters.border_colour(a[..., :3])), "string", pa.string()),
     "boxes": (lambda a: [",".join(map(str, b)) for b in images.boxes(passes.opaque(a)[..., 3] > 0)], "array<string>", pa.list_(pa.string())),
     "profile": (lambda a: json.dumps(passes.profile(a), sort_keys=True), "string", pa.string()),
+    "brightness": (lambda a: float(images.resize(images.grey(a), 128, 128).mean() / 255), "double", pa.float64()),
+    "contrast": (lambda a: float(images.resize(images.grey(a), 128, 128).std() / 255), "double", pa.float64()),
     "checksum": (lambda a: int((np.arange(1, a.size + 1, dtype=np.int64) * a.ravel()).sum()), "long", pa.int64()),
 }
 
@@ -76,6 +80,11 @@ def struct_of(a: np.ndarray | None) -> dict | None:
     return {"height": a.shape[0], "width": a.shape[1], "channels": a.shape[2], "data": a.astype(np.uint8).tobytes()}
 
 
+def local_path(origin) -> Column:
+    """The path as other file sources write it."""
+    return F.regexp_replace(origin, "^file:/+", "file:/")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(path, picture) of the picture files at path, by Spark's own decoder; files that it cannot decode have null."""
     from pyspark.sql.pandas.functions import arrow_udf
@@ -90,7 +99,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             out.append(None if a is None else struct_of(a[..., [2, 1, 0, 3][: a.shape[2]]] if a.shape[2] > 1 else np.repeat(a, 3, -1)))
         return pa.array(out, ARROW)
 
-    return df.select(F.col("image.origin").alias("path"), rgb("image").alias("picture"))
+    return df.select(local_path("image.origin").alias("path"), rgb("image").alias("picture"))
 
 
 def transform(df: DataFrame, kernel: str, column: str = "picture", **params) -> DataFrame:
@@ -171,10 +180,57 @@ def deliver(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
     return df.select(*rest, "picture").mapInArrow(run, schema)
 
 
-#: What is done to a picture on its way out, by name of the preset.
-PRESETS = {
-    "web": [("fit", {"height": 1600, "width": 1600})],
-    "thumbnail": [("fit", {"height": 256, "width": 256})],
-    "icon": [("trim_square", {"size": 256})],
-    "cutout": [("cut_out", {"method": "solid"})],
-}
+@dataclass(frozen=True)
+class Preset:
+    """What is done to pictures on their way out; scrubbing is what writing them anew does."""
+
+    longest: int | None
+    cut: bool
+
+    def steps(self) -> list[tuple[str, dict]]:
+        return [("shrink", {"longest": self.longest})] * (self.longest is not None) + [("cut_out", {"method": "solid"})] * self.cut
+
+
+#: Presets of the delivery.
+PRESETS = {"web_delivery": Preset(1200, True), "transparent_cutout": Preset(None, True), "clean_rescale": Preset(1920, False), "privacy_only": Preset(None, False)}
+
+
+def preview(files: DataFrame, preset: str, source: str, out: str) -> tuple[list[str], DataFrame, bool]:
+    """(stages, (path, output) for each file, whether nothing would be written over its source)."""
+    p = PRESETS[preset]
+    stages = [name for name, on in (("rescale", p.longest), ("cut out", p.cut), ("scrub", True)) if on]
+    suffix = F.lit(".png") if p.cut else F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    stem = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    return stages, files.select("path", F.concat(F.lit(out.rstrip("/") + "/"), stem, suffix).alias("output")), source.rstrip("/") != out.rstrip("/")
+
+
+def convert_sets(df: DataFrame, **how) -> DataFrame:
+    """(base, role, picture) of texture sets, changed as passes.convert_set does; a set's maps, one a role, go to one task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        maps = {r: a for r, p in zip(t["role"].to_pylist(), t["picture"].to_pylist(), strict=True) if (a := pixels(p)) is not None}
+        out = passes.convert_set({r: a[..., 0] if a.shape[2] == 1 else a for r, a in maps.items()}, **how)
+        rows = [(t["base"][0].as_py(), r, struct_of(a)) for r, a in sorted(out.items())]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.string(), pa.string(), ARROW), strict=True)], names=["base", "role", "picture"])
+
+    first = df.dropDuplicates(["base", "role"]).select("base", "role", "picture")
+    return first.groupBy("base").applyInArrow(run, f"base string, role string, picture {PICTURE}")
+
+
+def audit(spark: SparkSession, path: str, oversized: int = 50 << 20, least_side: int = 16) -> DataFrame:
+    """One wide record for each file at path: size, digest, format by its first bytes and by its suffix, whether it can be
+    decoded, sides, alpha, light and contrast, hash and flags. Files of 0 bytes are only in listings."""
+    from ..functions.names import is_unsafe_name
+    from ..functions.textures import expected_format, picture_format
+
+    files = spark.read.format("binaryFile").load(path)
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    facts = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), picture_format(F.col("content")).alias("format"), expected_format(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("expected"), is_unsafe_name(name).alias("unsafe_name"))
+    seen = read(spark, path)
+    size = seen.select("path", F.col("picture.height").alias("height"), F.col("picture.width").alias("width"), (F.col("picture.channels") == 4).alias("has_alpha"))
+    both = facts.join(size, "path", "left").join(measure(seen, ["brightness", "contrast", "difference_hash"]), "path", "left")
+    light = F.when(F.col("brightness") <= 0.12, "very_dark").when(F.col("brightness") >= 0.88, "very_bright")
+    flags = F.array_compact(F.array(light, F.when(F.col("contrast") <= 0.06, "low_contrast")))
+    small = F.coalesce(F.least("height", "width") < least_side, F.lit(False))
+    checks = [(F.col("bytes") > oversized).alias("oversized"), F.col("height").isNull().alias("corrupt"), F.coalesce(F.col("format") != F.col("expected"), F.lit(False)).alias("mismatch"), small.alias("tiny"), flags.alias("flags")]
+    return both.select(*both.columns, *checks)

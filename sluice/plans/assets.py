@@ -36,6 +36,19 @@ def map_roles(spark, sf_dir):
     return stems(spark, sf_dir).select("p_partkey", base.alias("base"), role.alias("role"))
 
 
+@query(
+    f"""WITH r AS (SELECT p_partkey, stem, word, list_extract(map_extract(MAP {{{WORD_LISTS}}}, word), 1) AS role FROM {STEMS}), s AS (SELECT p_partkey, lower(left({NO_END}, length({NO_END}) - length(word) - 1)) AS base, role FROM r WHERE role IS NOT NULL),
+f AS (SELECT base, role, min(p_partkey) AS k FROM s GROUP BY 1, 2) SELECT base, string_agg(role || '=' || k, ',' ORDER BY role) AS maps, count(*) AS n FROM f GROUP BY base"""
+)
+def texture_sets(spark, sf_dir):
+    """The maps of each base name: the first file of each role."""
+    base, role = textures.split_role(F.col("stem"))
+    files = stems(spark, sf_dir).select(F.lower(base).alias("base"), role.alias("role"), "p_partkey").where("role != 'unknown'")
+    first = files.groupBy("base", "role").agg(F.min("p_partkey").alias("k"))
+    maps = F.transform(F.array_sort(F.collect_list(F.struct("role", "k"))), lambda m: F.concat_ws("=", m["role"], m["k"].cast("string")))  # eight roles at most
+    return first.groupBy("base").agg(F.array_join(maps, ",").alias("maps"), F.count("*").alias("n"))
+
+
 @query(f"SELECT p_partkey, array_to_string(regexp_extract_all(regexp_replace(stem, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z0-9]+'), ' ') AS tokens FROM (SELECT p_partkey, replace(stem, 'DX', 'dx') AS stem FROM {STEMS})")
 def map_tokens(spark, sf_dir):
     spans = textures.token_spans(F.replace("stem", F.lit("DX"), F.lit("dx")))
@@ -217,3 +230,24 @@ def option_problems(spark, sf_dir):
         part = spark.sql(rows.replace("AS VARCHAR", "AS STRING")).select(F.lit(tool).alias("tool"), "k", options.problem(tool).alias("problem"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+PLACES = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/in/a/b/p' WHEN 1 THEN '/in/p' ELSE '/other/p' END || page_id || '.jpeg' AS path FROM pages"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, path, regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM ({PLACES}))
+SELECT page_id, CASE WHEN starts_with(path, '/in/') THEN '/out' || substring(folder, 4) || '/' || stem || '.png' ELSE '/out/' || stem || '.png' END AS mirror, '/out/' || stem || '.png' AS flat, folder || '/done/' || stem || '.png' AS beside,
+CASE WHEN starts_with(path, '/in/') THEN '/out' || substring(folder, 4) || '/' || stem ELSE '/out/' || stem END AS clips FROM p"""
+)
+def planned_outputs(spark, sf_dir):
+    """Where results go, by each of the ways to place them, and the folder of a file's clips."""
+    from ..functions.names import planned_output
+
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    rows = spark.sql(PLACES.replace("|| page_id ||", "|| CAST(page_id AS STRING) ||"))
+    path, png = F.col("path"), F.lit(".png")
+    return rows.select(
+        "page_id", planned_output(path, F.lit("/in"), F.lit("/out"), "mirror", png).alias("mirror"), planned_output(path, F.lit("/in"), F.lit("/out"), "flat", png).alias("flat"),
+        planned_output(path, F.lit("/in"), F.lit("done"), "sibling", png).alias("beside"), planned_output(path, F.lit("/in"), F.lit("/out"), "mirror", F.lit("")).alias("clips"),
+    )

@@ -36,37 +36,6 @@ def sidecar_semi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(wanted, "o_custkey", "left_semi")
 
 
-# The words that mark a role here, by word of the part's name.
-ROLES = {"red": "base", "blue": "base", "green": "base", "small": "height", "large": "height", "ring": "normal", "widget": "roughness", "gear": "metallic", "bolt": "ao"}
-ROLE_SQL = "CASE " + " ".join(f"WHEN list_contains(w, '{k}') THEN '{v}'" for k, v in reversed(ROLES.items())) + " ELSE 'unknown' END"
-
-
-def role_of(name):
-    """The role of the last marking word in ROLES' order; unknown without one."""
-    words = F.split(F.lower(name), " ")
-    out = F.lit("unknown")
-    for k, v in ROLES.items():
-        out = F.when(F.array_contains(words, k), v).otherwise(out)
-    return out
-
-
-@query(f"SELECT p_partkey, {ROLE_SQL} AS role FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part)")
-def texture_roles(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", role_of(F.col("p_name")).alias("role"))
-
-
-@query(
-    f"""WITH r AS (SELECT lower(p_type) AS base, {ROLE_SQL} AS role, min(p_partkey) AS k FROM (SELECT p_type, p_partkey, string_split(lower(p_name), ' ') AS w FROM part) GROUP BY 1, 2)
-SELECT base, string_agg(role || '=' || k, ',' ORDER BY role) AS maps, count(*) AS n FROM r WHERE role <> 'unknown' GROUP BY base"""
-)
-def texture_sets(spark, sf_dir):
-    """Maps of each base: the first part of each role."""
-    roles = table(spark, sf_dir, "part").select(F.lower("p_type").alias("base"), role_of(F.col("p_name")).alias("role"), "p_partkey")
-    first = roles.where("role != 'unknown'").groupBy("base", "role").agg(F.min("p_partkey").alias("k"))
-    maps = F.transform(F.array_sort(F.collect_list(F.struct("role", "k"))), lambda m: F.concat_ws("=", m["role"], m["k"].cast("string")))
-    return first.groupBy("base").agg(F.array_join(maps, ",").alias("maps"), F.count("*").alias("n"))
-
-
 @query(
     """WITH names AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS stem FROM part), sets AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part)
 SELECT stem, arg_max(name, length(name)) AS set_name, count(*) AS candidates FROM names JOIN sets ON stem = name OR starts_with(stem, name || ' ') GROUP BY stem"""

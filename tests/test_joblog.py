@@ -1,7 +1,7 @@
 import threading
 
 import pytest
-from sluice.operators.joblog import JobLog, final_state, job_id, run_batch
+from sluice.operators.joblog import JobLog, VolatileJobLog, final_state, job_id, run_batch
 
 
 def test_identity():
@@ -47,6 +47,14 @@ def test_batch_with_retries(spark, tmp_path):
         again.submit("j", ["a", "bad"])
 
 
+def test_volatile_log(spark):
+    log = VolatileJobLog(spark)
+    assert log.submit("j", ["a", "b"]) == "new"
+    counts = run_batch(log, "j", lambda path: ("completed" if path == "a" else "skipped", "", False))
+    assert counts["completed"] == counts["skipped"] == 1 and log.submit("j", ["a", "b"]) == "complete"
+    assert log.reports().first().state == "completed_with_warnings"
+
+
 def test_queue():
     from sluice.operators.queue import CancellationToken, JobQueue, Registry, Submission, Tool, err, ok
 

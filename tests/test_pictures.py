@@ -4,7 +4,7 @@ from sluice.operators import filters, passes, pictures, sinks
 
 RNG = np.random.default_rng(3)
 RGB = RNG.integers(0, 256, (12, 15, 3), dtype=np.uint8)
-NEEDS = {"resize": {"height": 5, "width": 7}, "convolve": {"kernel": [[0, 0, 0], [0, 1, 0], [0, 0, 0]]}, "chroma_alpha": {"key": [0, 255, 0]}, "pack": {"order": [2, 1, 0]}, "crop": {"box": [1, 2, 5, 6]}, "mosaic": {"boxes": [[0, 0, 8, 8]]}, "stack": {"steps": [{"op": "hue", "params": {"degrees": 30}}]}, "luma_high_pass": {"radius": 1.0, "gain": 0.5}, "edge_boost": {"amount": 0.5}, "vibrance": {"amount": 0.2}, "hue": {"degrees": 40}, "fit": {"height": 6, "width": 6}, "trim_square": {"size": 16}, "temperature": {"amount": 0.5}, "tint": {"amount": 0.5}}
+NEEDS = {"resize": {"height": 5, "width": 7}, "convolve": {"kernel": [[0, 0, 0], [0, 1, 0], [0, 0, 0]]}, "chroma_alpha": {"key": [0, 255, 0]}, "pack": {"order": [2, 1, 0]}, "crop": {"box": [1, 2, 5, 6]}, "mosaic": {"boxes": [[0, 0, 8, 8]]}, "stack": {"steps": [{"op": "hue", "params": {"degrees": 30}}]}, "luma_high_pass": {"radius": 1.0, "gain": 0.5}, "edge_boost": {"amount": 0.5}, "vibrance": {"amount": 0.2}, "hue": {"degrees": 40}, "fit": {"height": 6, "width": 6}, "trim_square": {"size": 16}, "temperature": {"amount": 0.5}, "tint": {"amount": 0.5}, "shrink": {"longest": 9}}
 
 
 @pytest.mark.parametrize("name", sorted(pictures.KERNELS))
@@ -120,3 +120,25 @@ def test_files_to_pictures_and_back(spark, tmp_path):
     for wrong in (lambda: pictures.transform(df, "nothing"), lambda: pictures.transform(df, "vignette", colour=1)):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_audit_sets_and_presets(spark, tmp_path):
+    (tmp_path / "dark.png").write_bytes(sinks.png(np.full((20, 20, 3), 5, np.uint8)))
+    (tmp_path / "small.jpg").write_bytes(sinks.png(RGB[:4, :4]))
+    (tmp_path / "bad.png").write_bytes(b"GIF89a")
+    got = {r.path.rpartition("/")[2]: r for r in pictures.audit(spark, f"file://{tmp_path}/*").collect()}
+    assert got["dark.png"].flags == ["very_dark", "low_contrast"] and not got["dark.png"].corrupt and not got["dark.png"].tiny
+    assert got["small.jpg"].mismatch and got["small.jpg"].tiny and got["bad.png"].corrupt and got["bad.png"].format == "gif"
+    assert len({r.sha256 for r in got.values()}) == 3 and len(got["dark.png"].difference_hash) == 64
+
+    rows = [("s", "normal", pictures.struct_of(RGB)), ("s", "gloss", pictures.struct_of(RGB[..., :1])), ("t", "ao", pictures.struct_of(RGB[..., :1]))]
+    sets = spark.createDataFrame(rows, f"base string, role string, picture {pictures.PICTURE}")
+    out = {(r.base, r.role): pictures.pixels(r.picture.asDict()) for r in pictures.convert_sets(sets, flip=True, gloss_to_rough=True, orm=True).collect()}
+    assert set(out) == {("s", "normal"), ("s", "roughness"), ("s", "orm"), ("t", "ao"), ("t", "orm")}
+    assert (out["s", "roughness"][..., 0] == 255 - RGB[..., 0]).all() and (out["t", "orm"][..., 1] == 128).all()
+    files = spark.createDataFrame([("in/a.jpg",), ("in/b.c.webp",)], "path string")
+    stages, planned, safe = pictures.preview(files, "web_delivery", "in", "out")
+    assert stages == ["rescale", "cut out", "scrub"] and safe and [r.output for r in planned.collect()] == ["out/a.png", "out/b.c.png"]
+    stages, planned, safe = pictures.preview(files, "privacy_only", "in", "in/")
+    assert stages == ["scrub"] and not safe and planned.first().output == "in/a.jpg"
+    assert [n for n, _ in pictures.PRESETS["web_delivery"].steps()] == ["shrink", "cut_out"]
