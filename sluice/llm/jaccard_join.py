@@ -4,12 +4,14 @@ Two sets x, y of Jaccard similarity s or more differ in at most H = (1 - s) / (1
 shingles into m = H + 1 segments: at least one segment has equal subsets in both. Sizes are put into bands, each with its
 own H and segments; neighbouring bands meet in a space of their own. Documents with an equal subset are candidates.
 
-Cost. The empty subset is the one that unrelated documents share most, so it gets no key (allocation 0). Its share of
-the bound goes to one-deletion neighbourhoods (allocation 2). With e segments empty in both and none equal beside them,
-the other H + 1 - e hold at most H differences and at least one each, so all but e - 1 hold exactly one. A document with
-E empty segments indexes the neighbourhoods of the first 2E: with e <= E common ones, at least e of the first 2e are not
-empty in both, so one of these holds exactly one difference and its neighbourhoods meet. Where 2E exceeds the number of
-segments (sets of a few shingles, of odd hashes), documents share one key for all of them.
+Cost. A subset costs by how many documents have it; the empty one, which unrelated documents share most, gets no key
+(allocation 0). What that takes from the bound is given to one-deletion neighbourhoods of subsets of two elements or more
+(allocation 2), whose keys then hold at least one. With e segments empty in both and none equal beside them, the other
+H + 1 - e hold at most H differences and at least one each, so all but e - 1 hold exactly one. A document with E empty
+segments indexes the neighbourhoods of its segments up to the E-th that has two elements or more. Of two similar documents
+take the one that stops first: up to there both index, and as e <= E, one of its segments of two elements or more holds
+exactly one difference, so that neighbourhoods meet. Documents with fewer such segments than empty ones (sets of a few
+shingles, of odd hashes) index all segments and share one key among themselves.
 
 Groups. Each document is compared with the first of all it shares a key with; links found make components; then only
 pairs of different components are left. The documents of a key are held against each other where they are, by sketches
@@ -142,10 +144,12 @@ def keys(x: np.ndarray, similarity: Similarity) -> np.ndarray:
         out.append(key(full, sums[full], size[full], TAG_EXACT))
         empty = m - len(full)
         if empty:
-            near = np.arange(min(2 * empty, m))
-            mine = seg < len(near)
+            large = np.flatnonzero(size > 1)
+            stop = large[empty - 1] + 1 if len(large) >= empty else m
+            near = full[full < stop]
+            mine = (seg < stop) & (size[seg] > 1)
             out += [key(near, sums[near], size[near], TAG_NEAR), key(seg[mine], sums[seg[mine]] - token[mine], size[seg[mine]] - 1, TAG_NEAR)]
-            if 2 * empty > m:
+            if len(large) < empty:
                 out.append(mix(np.array([space * 8 + TAG_FEW], dtype=np.uint64)))
     return np.unique(np.concatenate(out))
 
