@@ -33,9 +33,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sluice-{label}-{uuid.uuid4().hex}"
 
 
+#: Tables that this driver's operators have saved and not yet cleared.
+SAVED: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that operators have saved so far; only for results that are written or no longer wanted."""
+    n = 0
+    while SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
     path = new_path(df.sparkSession, label)
+    SAVED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

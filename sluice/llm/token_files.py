@@ -138,7 +138,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
     """Writes the blocks to path/blocks and the code to path/code.
 
     Null and empty texts are the end id alone. Null doc_ids come first; repeated doc_ids lie side by side. An empty
-    table gives an empty file that read() takes. Further columns are ignored.
+    table gives an empty file that read() takes. Further columns are ignored. A document whose codes take 512 MB or more
+    does not fit a block and raises.
     """
     spark = docs.sparkSession
     tokens = save(tokenize(docs, tokenizer, end_id), "ids")
@@ -167,6 +168,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
             for _, _, c, x in held:
                 checks.append(np.frombuffer(c, dtype="<u4") + np.uint32(8 * base))
                 base += len(x)
+            if base >= 1 << 29:
+                raise ValueError(f"bit offsets of a block from document {held[0][0]} on do not fit 32 bits")
             bits = b"".join(x for *_, x in held)
             columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([[d for d, *_ in held]], pa.list_(pa.int64())), pa.array([[n for _, n, *_ in held]], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([*columns, pa.array([np.concatenate(checks).astype("<u4").tobytes()], pa.binary()), pa.array([bits], pa.binary()), pa.array([zlib.crc32(bits)], pa.int64())], names=["shard", "block", "first", "docs", "counts", "checks", "bits", "crc"])

@@ -21,18 +21,27 @@ LEAST = -(2**63)
 
 
 class Powers:
-    """BASE**i and BASE**-i modulo 2**64, as far as the longest text so far."""
+    """BASE**i and BASE**-i modulo 2**64, kept as far as the longest text of up to KEPT characters so far."""
+
+    KEPT = 1 << 20
 
     def __init__(self):
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    @staticmethod
+    def made(n: int) -> list[np.ndarray]:
+        out = []
+        for factor in (BASE, pow(BASE, -1, 2**64)):
+            steps = np.full(n, factor, dtype=np.uint64)
+            steps[:1] = 1
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        return out
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            return tuple(self.made(n))
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
-            for name, factor in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-                steps = np.full(m, factor, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = self.made(min(self.KEPT, max(n, 2 * len(self.up))))
         return self.up[:n], self.down[:n]
 
 

@@ -51,3 +51,10 @@ def test_long_line_and_hot_keys(spark, monkeypatch):
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1] and got[1] == "" and got[2] == "same line"
     assert got[10] == rows[3][1] and all(got[10 + i] == f"only {i}" for i in range(1, 300))
+
+
+def test_saved_tables_can_be_cleared(spark):
+    common.clear(spark)
+    line_dedup.dedup(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
+    kept = list(common.SAVED)
+    assert kept and common.clear(spark) == len(kept) and not common.SAVED and common.clear(spark) == 0
