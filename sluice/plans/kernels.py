@@ -52,3 +52,15 @@ def picture_seams(spark, sf_dir):
     """How well opposite edges of each picture fit, and its mean."""
     base = pictures.from_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
     return pictures.measure(base, ["seam_score", "mean"]).select("vec_id", F.round("seam_score", 9).alias("seam"), F.round("mean", 9).alias("mean"))
+
+
+@query(
+    f"""WITH {PIXELS}, g AS (SELECT vec_id, y, x, sum(v * CASE c WHEN 0 THEN 0.299::DOUBLE WHEN 1 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END) AS v FROM p GROUP BY ALL),
+w AS (SELECT unnest([-1, -1, -1, 0, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 0, 1, -1, 0, 1]) AS dx, unnest([1, -2, 1, -2, 4, -2, 1, -2, 1]) AS f),
+k AS (SELECT a.vec_id, a.y, a.x, sum(f * n.v) AS k FROM g a, w, g n WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 AND n.vec_id = a.vec_id AND n.y = a.y + dy AND n.x = a.x + dx GROUP BY ALL)
+SELECT vec_id, round(avg(abs(k)) * sqrt(pi() / 2) / 6, 6) AS sigma FROM k GROUP BY 1"""
+)
+def picture_noise(spark, sf_dir):
+    """How noisy each picture is, by its second differences."""
+    base = pictures.from_numbers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    return pictures.measure(base, ["noise_sigma"]).select("vec_id", F.round("noise_sigma", 6).alias("sigma"))
