@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -71,14 +71,25 @@ def batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def meet(many: DataFrame, few: DataFrame, on: list[str], small: int = SMALL, hot: int = HOT) -> DataFrame:
+def is_small(df: DataFrame, small: int = SMALL, wide: Column | None = None) -> bool:
+    """Whether a saved table may be broadcast: at most `small` rows, with at most eight times as many values in all in a
+    column of lists, whose lengths `wide` gives."""
+    if df.count() > small:
+        return False
+    return wide is None or (df.agg(F.sum(wide)).first()[0] or 0) <= 8 * small
+
+
+def meet(many: DataFrame, few: DataFrame, on: list[str], small: int = SMALL, hot: int = HOT, wide: Column | None = None) -> DataFrame:
     """many joined with few, saved tables; few has one row for each key and in c how many rows of many have it.
 
-    A table of at most `small` rows is broadcast. Of a larger one only its hot keys are, those that hold more than one in
-    `hot` of the rows of many, so that there are fewer than `hot` of them; the other rows of many are shuffled.
+    A small table is broadcast, see is_small(). Of a larger one only its hot keys are, those that hold more than one in
+    `hot` of the rows of many, so that there are fewer than `hot` of them, and of these none with a list of over a thousand
+    values; the other rows of many are shuffled.
     """
-    if few.count() <= small:
+    if is_small(few, small, wide):
         return many.join(F.broadcast(few.drop("c")), on)
     is_hot = F.col("c") * hot > many.count()
+    if wide is not None:
+        is_hot = is_hot & (wide <= 1000)
     top, rest = F.broadcast(few.where(is_hot).drop("c")), few.where(~is_hot).drop("c")
     return many.join(top, on).unionByName(many.join(top.select(*on), on, "left_anti").join(rest, on))

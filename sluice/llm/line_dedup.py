@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SMALL, meet, save
+from .common import SMALL, is_small, meet, save
 
 LEAST_WORDS = 8
 FIRST_ID = -(2**63)
@@ -85,7 +85,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     alive = meet(halves, shared, ["half"]).groupBy("first.k", "first.h").agg(F.collect_set("first.ln").alias("alive"))  # at most the lines of a document
     alive = save(alive, "alive")
     texts = docs.where("text IS NOT NULL")
-    own = texts.join(F.broadcast(alive), ["k", "h"]) if alive.count() <= SMALL else texts.join(alive, ["k", "h"])
+    own = texts.join(F.broadcast(alive) if is_small(alive, SMALL, F.size("alive")) else alive, ["k", "h"])
     own = own.select("k", "h", F.split("text", "\n").alias("all"), F.array_sort("alive").alias("alive"))
     marked = F.zip_with("all", flags(F.col("alive"), F.size("all")), lambda x, it: F.when(it, x))
     own = own.select("k", "h", F.explode(F.arrays_zip(F.col("alive").alias("ln"), F.array_compact(marked).alias("s"))).alias("a"))
@@ -118,7 +118,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     text = own.select(at.alias("place"), "w")
     both = save(swapped.unionByName(shrunk).unionByName(grown).distinct(), "pairs")
     tops = save(both.groupBy("top").agg(F.count("*").alias("c")).join(text.withColumnsRenamed({"place": "top", "w": "v"}), "top"), "tops")
-    both = meet(both, tops, ["top"]).join(text, "place")
+    both = meet(both, tops, ["top"], wide=F.size("v")).join(text, "place")
     differ = F.size(F.filter(F.zip_with("w", "v", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
     long_, short_ = F.when(F.col("is_longer"), F.col("w")).otherwise(F.col("v")), F.when(F.col("is_longer"), F.col("v")).otherwise(F.col("w"))
     fits = F.concat(F.slice(long_, 1, F.col("i")), F.slice(long_, F.col("i") + 2, F.size(long_))) == short_
