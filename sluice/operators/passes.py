@@ -229,11 +229,11 @@ def shift(image: np.ndarray, red: float = 0.0, green: float = 0.0, blue: float =
 
 
 def temperature(image: np.ndarray, amount: float) -> np.ndarray:
-    return shift(image, red=40 * amount, blue=-40 * amount)
+    return shift(image, red=64 * amount, blue=-64 * amount)
 
 
 def tint(image: np.ndarray, amount: float) -> np.ndarray:
-    return shift(image, green=40 * amount)
+    return shift(image, red=-24 * amount, green=48 * amount, blue=-24 * amount)
 
 
 def fill_hidden(rgba: np.ndarray) -> np.ndarray:
@@ -291,7 +291,8 @@ def resample(values: np.ndarray, n: int) -> np.ndarray:
     return values if len(values) == n else np.interp(np.linspace(0, len(values) - 1, n), np.arange(len(values)), values)
 
 
-HEAT_RANGE, STRIP, BAND = 64.0, 256, 24
+#: The difference that is yellow, the strip's length, a bar's height.
+HEAT_RANGE, STRIP, BAND = 255.0, 256, 18
 
 
 def heat(values: np.ndarray, band: int = BAND, top: float = HEAT_RANGE) -> np.ndarray:
@@ -504,3 +505,35 @@ def warm_guard(before: np.ndarray, after: np.ndarray) -> tuple[bool, str]:
     far = float(np.sqrt(((x["ratio"] - y["ratio"]) ** 2).sum()))
     lost = (far > 0.22 and kept < 0.70) or (y["luma"] - x["luma"] > 0.22 and kept < 0.72)
     return lost, "colour shift" if lost else "within bounds"
+
+
+#: The passes of each look, in order.
+LOOKS: dict[str, list[tuple[str, dict]]] = {
+    "auto": [],
+    "natural_skin": [("de_gloss", {"strength": 0.75, "pore_boost": 1.20}), ("micro_texture", {"amount": 0.035, "scale": 2.2}), ("denoise", {"strength": 0.20}), ("adjust", {"contrast": 1.04})],
+    "de_gloss": [("de_gloss", {"strength": 0.85, "pore_boost": 1.15}), ("adjust", {"contrast": 1.03}), ("adjust", {"saturation": 1.02})],
+    "vivid_pop": [("adjust", {"contrast": 1.10}), ("adjust", {"saturation": 1.18}), ("vibrance", {"amount": 0.15}), ("clarity", {"amount": 0.25}), ("unsharp", {"radius": 1.2, "amount": 0.8, "threshold": 3.0})],
+    "warm_sunset": [("temperature", {"amount": 0.22}), ("tint", {"amount": -0.05}), ("adjust", {"contrast": 1.06}), ("adjust", {"saturation": 1.08}), ("soft_glow", {"opacity": 0.18, "radius": 14.0}), ("vignette", {"amount": 0.25, "radius": 0.9})],
+    "cinematic_teal": [("adjust", {"contrast": 1.08}), ("split_tone", {"amount": 0.35}), ("clarity", {"amount": 0.20}), ("vignette", {"amount": 0.30, "radius": 0.85}), ("film_grain", {"amount": 0.025, "scale": 1.5})],
+    "soft_glamour": [("de_gloss", {"strength": 0.65, "pore_boost": 1.10}), ("soft_glow", {"opacity": 0.28, "radius": 18.0}), ("selective_blur", {"radius": 2.0, "most": 14.0}), ("adjust", {"contrast": 1.04}), ("vignette", {"amount": 0.20, "radius": 0.95})],
+    "moody_film": [("adjust", {"contrast": 1.05}), ("adjust", {"gamma": 0.95}), ("adjust", {"saturation": 0.92}), ("film_grain", {"amount": 0.045, "scale": 1.8}), ("vignette", {"amount": 0.40, "radius": 0.80})],
+    "clahe_texture": [("local_contrast", {"clip": 2.2}), ("clarity", {"amount": 0.25}), ("adjust", {"contrast": 1.04}), ("unsharp", {"radius": 1.2, "amount": 0.8, "threshold": 3.0})],
+    "auto_white_balance": [("white_balance", {"p": 6.0}), ("adjust", {"contrast": 1.05}), ("adjust", {"saturation": 1.04})],
+    "despeckle_clean": [("despeckle", {"radius": 1, "threshold": 22.0})],
+    "radial_focus": [("radial_focus", {"focus": 0.35, "radius": 24.0}), ("adjust", {"contrast": 1.05}), ("vignette", {"amount": 0.25, "radius": 0.90})],
+    "privacy_censor": [("privacy_blur", {"radius": 32.0})],
+    "pixelate_censor": [("privacy_blur", {"block": 20})],
+    "dcp_dehaze": [("dehaze", {"strength": 0.80}), ("adjust", {"contrast": 1.05}), ("adjust", {"saturation": 1.05})],
+    "vector_cel": [("cel_shade", {"levels": 10}), ("adjust", {"saturation": 1.08}), ("adjust", {"contrast": 1.04})],
+    "anime_style": [("anime", {"line": 0.35}), ("adjust", {"contrast": 1.04}), ("adjust", {"saturation": 1.05})],
+    "red_eye_fix": [("red_eye", {"strength": 1.0, "threshold": 1.6})],
+    "retinex_dehaze": [("retinex", {"dynamic": 2.2}), ("adjust", {"contrast": 1.05}), ("adjust", {"saturation": 1.05})],
+    "shadows_highlights": [("shadows_highlights", {"lift": 0.35, "compress": 0.25}), ("adjust", {"contrast": 1.04}), ("adjust", {"saturation": 1.03})],
+    "gentle_restore": [("denoise", {"strength": 0.5}), ("unsharp", {"radius": 1.2, "amount": 0.6, "threshold": 3.0}), ("adjust", {"contrast": 1.03})],
+    "detail": [("denoise", {"strength": 0.3}), ("unsharp", {"radius": 1.5, "amount": 1.2, "threshold": 2.0}), ("clarity", {"amount": 0.10})],
+    "colour_restore": [("denoise", {"strength": 0.3}), ("adjust", {"contrast": 1.08}), ("adjust", {"saturation": 1.12}), ("vibrance", {"amount": 0.10})],
+    "portrait_polish": [("de_gloss", {"strength": 0.60, "pore_boost": 1.15}), ("selective_blur", {"radius": 2.0, "most": 15.0}), ("unsharp", {"radius": 1.2, "amount": 0.6, "threshold": 4.0}), ("adjust", {"contrast": 1.05}), ("adjust", {"saturation": 1.04})],
+    "texture_cleanup": [("denoise", {"strength": 0.6}), ("high_pass", {"radius": 1.5, "opacity": 0.28}), ("adjust", {"contrast": 1.04})],
+    "bw_contrast": [("adjust", {"saturation": 0.0}), ("adjust", {"contrast": 1.25}), ("clarity", {"amount": 0.35}), ("film_grain", {"amount": 0.035, "scale": 1.6}), ("vignette", {"amount": 0.35, "radius": 0.85})],
+    "custom": [],
+}

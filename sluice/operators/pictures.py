@@ -80,6 +80,19 @@ def struct_of(a: np.ndarray | None) -> dict | None:
     return {"height": a.shape[0], "width": a.shape[1], "channels": a.shape[2], "data": a.astype(np.uint8).tobytes()}
 
 
+def look(a: np.ndarray, name: str) -> np.ndarray:
+    """A picture through the passes of a look; its alpha is kept aside, colours under no alpha are filled before."""
+    if name not in passes.LOOKS:
+        raise ValueError(f"unknown look {name!r}")
+    rgb = passes.fill_hidden(a)[..., :3] if a.shape[2] == 4 else a[..., :3]
+    for op, params in passes.LOOKS[name]:
+        rgb = KERNELS[op](rgb, **params)
+    return np.dstack([rgb, a[..., 3]]) if a.shape[2] == 4 else rgb
+
+
+KERNELS["look"] = look
+
+
 def local_path(origin) -> Column:
     """The path as other file sources write it."""
     return F.regexp_replace(origin, "^file:/+", "file:/")

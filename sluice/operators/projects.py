@@ -49,7 +49,7 @@ def find_projects(files: DataFrame, root: str, suffix: str, recursive: bool = Tr
 
 
 def visible_folders(folders: DataFrame, root: str, redo: str | None = None) -> DataFrame:
-    """Folders (path) that a set scan visits: no part below root begins with '.' or '_' or ends in .ksmat, and none lies in
+    """Folders (path) that a set scan visits (fixed values): no part below root begins with '.' or '_' or ends in .ksmat, and none lies in
     the redo folder."""
     rest = F.substring(F.col("path"), len(root.rstrip("/")) + 1, 1 << 20)
     hidden = rest.rlike(r"/[._]") | F.lower(rest).rlike(r"\.ksmat(/|$)")

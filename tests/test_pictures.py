@@ -4,7 +4,7 @@ from sluice.operators import filters, passes, pictures, sinks
 
 RNG = np.random.default_rng(3)
 RGB = RNG.integers(0, 256, (12, 15, 3), dtype=np.uint8)
-NEEDS = {"resize": {"height": 5, "width": 7}, "convolve": {"kernel": [[0, 0, 0], [0, 1, 0], [0, 0, 0]]}, "chroma_alpha": {"key": [0, 255, 0]}, "pack": {"order": [2, 1, 0]}, "crop": {"box": [1, 2, 5, 6]}, "mosaic": {"boxes": [[0, 0, 8, 8]]}, "stack": {"steps": [{"op": "hue", "params": {"degrees": 30}}]}, "luma_high_pass": {"radius": 1.0, "gain": 0.5}, "edge_boost": {"amount": 0.5}, "vibrance": {"amount": 0.2}, "hue": {"degrees": 40}, "fit": {"height": 6, "width": 6}, "trim_square": {"size": 16}, "temperature": {"amount": 0.5}, "tint": {"amount": 0.5}, "shrink": {"longest": 9}}
+NEEDS = {"resize": {"height": 5, "width": 7}, "convolve": {"kernel": [[0, 0, 0], [0, 1, 0], [0, 0, 0]]}, "chroma_alpha": {"key": [0, 255, 0]}, "pack": {"order": [2, 1, 0]}, "crop": {"box": [1, 2, 5, 6]}, "mosaic": {"boxes": [[0, 0, 8, 8]]}, "stack": {"steps": [{"op": "hue", "params": {"degrees": 30}}]}, "luma_high_pass": {"radius": 1.0, "gain": 0.5}, "edge_boost": {"amount": 0.5}, "vibrance": {"amount": 0.2}, "hue": {"degrees": 40}, "fit": {"height": 6, "width": 6}, "trim_square": {"size": 16}, "temperature": {"amount": 0.5}, "tint": {"amount": 0.5}, "shrink": {"longest": 9}, "look": {"name": "natural_skin"}}
 
 
 @pytest.mark.parametrize("name", sorted(pictures.KERNELS))
@@ -77,8 +77,8 @@ def test_alpha():
 
 
 def test_layouts():
-    assert (passes.heat(np.array([0, 32, 64, 99.0]), 1)[0] == [[0, 0, 0], [255, 0, 0], [255, 255, 0], [255, 255, 0]]).all()
-    assert passes.seam_strip(np.tile(RGB[:, :1], (1, 9, 1))).shape == (51, 256, 3) and passes.seam_strip(np.tile(RGB[:, :1], (1, 9, 1)))[0].max() == 0
+    assert (passes.heat(np.array([0, 32, 64, 99.0]), 1, 64.0)[0] == [[0, 0, 0], [255, 0, 0], [255, 255, 0], [255, 255, 0]]).all()
+    assert passes.seam_strip(np.tile(RGB[:, :1], (1, 9, 1))).shape == (39, 256, 3) and passes.seam_strip(np.tile(RGB[:, :1], (1, 9, 1)))[0].max() == 0
     assert passes.resample(np.array([0.0, 10.0]), 3).tolist() == [0, 5, 10]
     big = np.arange(200 * 100 * 3).reshape(200, 100, 3).astype(np.uint8)
     assert passes.wrap_preview(big, most=64, repeats=2, guide=True).shape == (100, 50, 3)
@@ -142,3 +142,10 @@ def test_audit_sets_and_presets(spark, tmp_path):
     stages, planned, safe = pictures.preview(files, "privacy_only", "in", "in/")
     assert stages == ["scrub"] and not safe and planned.first().output == "in/a.jpg"
     assert [n for n, _ in pictures.PRESETS["web_delivery"].steps()] == ["shrink", "cut_out"]
+
+
+@pytest.mark.parametrize("name", sorted(passes.LOOKS))
+def test_looks(name):
+    rgba = np.dstack([RGB, np.tile(np.array([0, 255, 255], np.uint8), (12, 5))])
+    out = pictures.look(rgba, name)
+    assert out.shape == rgba.shape and (out[..., 3] == rgba[..., 3]).all() and (pictures.look(RGB, name).shape == RGB.shape)
