@@ -149,3 +149,16 @@ def test_looks(name):
     rgba = np.dstack([RGB, np.tile(np.array([0, 255, 255], np.uint8), (12, 5))])
     out = pictures.look(rgba, name)
     assert out.shape == rgba.shape and (out[..., 3] == rgba[..., 3]).all() and (pictures.look(RGB, name).shape == RGB.shape)
+
+
+def test_enhance_plans_and_guards(spark):
+    dark = np.full((64, 64, 3), (40, 36, 30), np.uint8) + RNG.integers(0, 12, (64, 64, 3), dtype=np.uint8)
+    skin = np.full((64, 64, 3), (200, 140, 110), np.uint8)
+    rows = [("dark", pictures.struct_of(dark)), ("skin", pictures.struct_of(skin)), ("none", None), ("rgba", pictures.struct_of(np.dstack([skin, np.full((64, 64), 9, np.uint8)])))]
+    df = spark.createDataFrame(rows, f"path string, picture {pictures.PICTURE}")
+    got = {r.path: r for r in pictures.enhance(df).collect()}
+    assert pictures.pixels(got["dark"].picture.asDict()).mean() > dark.mean() + 10 and got["dark"].mode == "deterministic"
+    assert not got["skin"].needs_review and got["none"].picture is None and got["none"].why == "read"
+    assert (pictures.pixels(got["rgba"].picture.asDict())[..., 3] == 9).all()
+    steps = pictures.planned_steps({"denoise": 0.0, "de_gloss": 0.0, "micro_texture": 0.0, "clarity": 0.0, "brightness": 1.0, "contrast": 1.0, "gamma": 1.0, "saturation_factor": 1.0, "temperature": 0.0, "vibrance": 0.0, "sharpen": 1.0})
+    assert [op for op, _ in steps] == ["adjust"]
