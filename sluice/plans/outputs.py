@@ -292,7 +292,7 @@ def frame_summary(spark, sf_dir):
 def queue_order(spark, sf_dir):
     """Whose turn it is in each queue: higher priorities first, earlier jobs before later ones."""
     turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy((F.col("o_orderkey") % 3).desc(), "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", turn.alias("turn"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", turn.cast("long").alias("turn"))
 
 
 ENTRIES = [("a", "image"), ("b", "nowhere"), ("c", None), ("a", "video")]
