@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,12 @@ HOT = 1_000
 SHARD_BYTES = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def scatter() -> np.ndarray:
+    """The bytes in another order, for a second hash of the same strings."""
+    return np.argsort(mix(np.arange(1, 257, dtype=np.uint64))).astype(np.uint8)
+
+
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all k-byte strings of data."""
     up, down = POWERS.get(len(data))
@@ -279,7 +286,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     def send_strings(it):
         for b in it:
             shards: dict[int, tuple[dict, list, list, list]] = {}
-            far, key, late, start = [], [], [], []
+            key, check, late, start = [], [], [], []
             for d, zero, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = t.encode()
                 places = own_places(joined(cold, np.int64), zero, data)
@@ -295,15 +302,16 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                     s = np.unique(np.concatenate([np.arange(max(0, x - length + gram), min(x, len(data) - length) + 1) for x in p]))
                     x = rolling(np.frombuffer(data, np.uint8), length)[s]
                     key.append(x)
+                    check.append((rolling(scatter()[np.frombuffer(data, np.uint8)], length)[s] >> np.uint64(32)).astype("<u4"))
                     late.append(np.full(len(x), d, dtype=np.int64))
                     start.append(s + zero)
-            rows = [(i, [c for _, c in number], np.array([k for k, _ in number], dtype=np.uint64).tobytes(), np.array(which, dtype=np.int32).tobytes(), *(np.array(x, dtype=np.int64).tobytes() for x in rest)) for i, (number, which, *rest) in shards.items()]
+            rows = [(i, [c for _, c in number], np.array([k for k, _ in number], dtype=np.uint64).tobytes(), np.array(which, dtype=np.int32).tobytes(), *(np.array(x, dtype=np.int64).tobytes() for x in rest), None) for i, (number, which, *rest) in shards.items()]
             if key:
-                key, late, start = map(np.concatenate, (key, late, start))
-                order = np.lexsort((late, key))
-                key, late, start = key[order], late[order], start[order]
-                rows += [(i, None, k, None, d, s) for i, k, d, s in blobs((key % np.uint64(n)).astype(np.int64), n, (key, 0), (late, 0), (start, 0))]
-            yield record_batch(rows, ["to", "contexts", "keys", "which", "docs", "starts"], [pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 4])
+                key, check, late, start = map(np.concatenate, (key, check, late, start))
+                order = np.argsort(key)
+                key, check, late, start = key[order], check[order], late[order], start[order]
+                rows += [(i, None, k, None, d, s, c) for i, k, d, s, c in blobs((key % np.uint64(n)).astype(np.int64), n, (key, 0), (late, 0), (start, 0), (check, 0))]
+            yield record_batch(rows, ["to", "contexts", "keys", "which", "docs", "starts", "checks"], [pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 5])
 
     def in_shards(it):
         number, which, doc, base, lists = {}, [], [], [], []
@@ -315,7 +323,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                     doc.append(np.frombuffer(r["docs"], np.int64))
                     base.append(np.frombuffer(r["starts"], np.int64))
                 else:
-                    lists.append([np.frombuffer(r[c], kind) for c, kind in (("keys", np.uint64), ("docs", np.int64), ("starts", np.int64))])
+                    lists.append([np.frombuffer(r[c], kind) for c, kind in (("keys", np.uint64), ("docs", np.int64), ("starts", np.int64), ("checks", np.uint32))])
         found = [classes(list(number), *map(np.concatenate, (which, doc, base)))] if which else []
         found += [merged(lists)] if lists else []
         if found:
@@ -344,16 +352,18 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def merged(lists):
-        """The same for strings that came as sorted lists: each list is looked up in the merged list of all."""
-        key = np.unique(np.concatenate([k for k, _, _ in lists]))
-        least = np.full(len(key), np.iinfo(np.int64).max)
-        for k, d, _ in lists:
-            np.minimum.at(least, np.searchsorted(key, k), d)
-        late = [d > least[np.searchsorted(key, k)] for k, d, _ in lists]
+        """The same for strings that came as sorted lists: each list is looked up in the merged list of all, by both hashes."""
+        key = np.unique(np.concatenate([k for k, *_ in lists]))
+        own = [np.searchsorted(key, k).astype(np.uint64) << np.uint64(32) | c for k, _, _, c in lists]
+        both = np.unique(np.concatenate(own))
+        least = np.full(len(both), np.iinfo(np.int64).max)
+        for o, (_, d, _, _) in zip(own, lists, strict=True):
+            np.minimum.at(least, np.searchsorted(both, o), d)
+        late = [d > least[np.searchsorted(both, o)] for o, (_, d, _, _) in zip(own, lists, strict=True)]
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
     with_text = batches(texts.join(open_, "doc_id").select("doc_id", "base", "text", "cold", "hot"))
-    strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary")
+    strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary, checks binary")
     found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
     found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
     return found.join(shared.where(F.size("full") > 0).select("doc_id", "full"), "doc_id", "full_outer")
