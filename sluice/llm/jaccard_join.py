@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, save
+from .common import batches, give_back, partitions, save
 from .components import joined, roots
 from .winnowing import POWERS
 
@@ -217,6 +217,8 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             run = np.repeat(key[start[first]].astype(np.int64), size[first])
             for at in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(run[at : at + 50_000]), pa.array(doc[rows[at : at + 50_000]])], names=["run", "doc_id"])
+            del key, doc, rows, run, several, order, new, start, size, sign, first, ends
+            give_back()
 
     return batches(df).mapInArrow(send, "to int, keys binary, docs binary").repartitionById(n, F.col("to")).mapInArrow(meet, "run long, doc_id long")
 
