@@ -2,14 +2,13 @@
 
 1. Anchors. In each string of LENGTH bytes the least hash of its GRAM-byte grams (the rightmost of equal ones) is its
    anchor: equal strings have equal anchors. A string can only lie in its anchor's context, the bytes about the anchor
-   as far as a string with it can reach. Each document sends the hashes of its anchors and of their contexts to the
-   receiver of the anchor. Where an earlier document has the same context, the whole context goes.
-2. Shards. What is left to decide are anchors with several contexts; the first document of each context sends it, with
-   all its places there, to the shard of the anchor, so that equal strings meet in one shard. There a suffix array is made by refinement of ranks
-   (Larsson and Sadakane), common prefixes follow by Kasai's rule, and neighbours with LENGTH common bytes form classes;
-   each has its least doc_id.
+   as far as a string with it can reach. Each document sends the hashes of its anchors, and a few bits of their contexts
+   to count these by, to the receiver of the anchor; anchors of one document only need nothing more.
+2. Shards. The contexts of the others go to the shard of the anchor, so that equal strings meet in one shard; equal
+   contexts of a shard are one. There a suffix array is made by refinement of ranks (Larsson and Sadakane), common
+   prefixes follow by Kasai's rule, and neighbours with LENGTH common bytes form classes; each has its least doc_id.
 3. Across shards. Anchors of more than HOT contexts would make one shard too large. Their strings are spread over all
-   receivers instead, each string by its own hash, as sorted lists from every sender; a receiver merges the lists by
+   receivers instead, each string by its own hashes, as sorted lists from every sender; a receiver merges the lists by
    binary search.
 4. Spans of removed bytes go back to their documents by a join on the doc_id.
 """
@@ -190,6 +189,18 @@ def squeezed(column: str) -> Column:
     return squeeze(column)
 
 
+def pack_strings(strings: list[bytes]) -> bytes:
+    """Strings as one compressed blob."""
+    return zstandard.compress(np.array([len(strings), *map(len, strings)], dtype="<u4").tobytes() + b"".join(strings), 3)
+
+
+def unpack_strings(blob: bytes) -> list[bytes]:
+    data = zstandard.decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    ends = 4 * n + 4 + np.cumsum(np.frombuffer(data, "<u4", n, 4))
+    return [data[a:z] for a, z in zip([4 * n + 4, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with `base`: places of unlike texts of one doc_id count on from each other, so that a
     place belongs to one text. It is 0 wherever a doc_id has one text only."""
@@ -208,8 +219,7 @@ def own_places(places: np.ndarray, base: int, data: bytes) -> np.ndarray:
 
 
 def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, spans, full): for each document that loses any, lists of pairs of 64-bit (start, end), and of 64-bit places
-    of anchors whose contexts go."""
+    """(doc_id, spans): for each document that loses any, lists of pairs of 64-bit (start, end)."""
     spark = texts.sparkSession
     n = partitions(spark)
     joined = lambda xs, kind: np.concatenate([np.frombuffer(x, kind) for x in xs] or [np.zeros(0, kind)])
@@ -224,13 +234,13 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                     parts.append((h, context_hashes(data, at, length, gram), np.full(len(h), d, np.int64), at + base))
             if parts:
                 key, context, doc, at = map(np.concatenate, zip(*parts, strict=True))
-                rows = blobs((key % np.uint64(n)).astype(np.int64), n, (key // np.uint64(n), 5), (context, 6), (doc.astype(np.uint64), 8), (at.astype(np.uint64), 8))
+                rows = blobs((key % np.uint64(n)).astype(np.int64), n, (key // np.uint64(n), 5), (context, 2), (doc.astype(np.uint64), 8), (at.astype(np.uint64), 8))
                 yield record_batch(rows, ["to", "keys", "contexts", "docs", "places"], [pa.int32(), *[pa.binary()] * 4])
 
     def shared_anchors(it):
         got = [[], [], [], []]
         for b in it:
-            for column, width, into in zip(b.columns[1:], (5, 6, 8, 8), got, strict=True):
+            for column, width, into in zip(b.columns[1:], (5, 2, 8, 8), got, strict=True):
                 into += [from_planes(x, width) for x in column.to_pylist()]
         if not got[0]:
             return
@@ -241,22 +251,16 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         key, context, doc, at = key[several], context[several], doc[several], at[several]
         if not len(key):
             return
-        order = np.lexsort((at, doc, context, key))
+        order = np.lexsort((context, key))
         key, context, doc, at = key[order], context[order], doc[order], at[order]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_context = new_key | np.concatenate([[True], context[1:] != context[:-1]])
-        first = np.flatnonzero(new_context)  # the first document of each context
-        own = np.cumsum(new_context) - 1
-        full = doc > doc[first][own]
-        group = (np.cumsum(new_key) - 1)[first]
-        contexts = np.bincount(group)[group]
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        many = np.minimum.reduceat(doc[first], start)[group] != np.maximum.reduceat(doc[first], start)[group]
-        kind = np.where(full, 1, np.where(many, np.where(contexts > hot, 3, 2), 0)[own]).astype(np.int8)
+        start, own = np.flatnonzero(new_key), np.cumsum(new_key) - 1
+        contexts = np.add.reduceat((new_key | np.concatenate([[True], context[1:] != context[:-1]])).astype(np.int64), start)
+        many = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        kind = np.where(many, np.where(contexts > hot, 2, 1), 0)[own]
         keep = kind > 0
-        key, doc, at, kind = key[keep], doc[keep], at[keep], kind[keep]
-        yield answer(doc, at, kind.astype(np.int64))
-        del key, context, doc, at, kind, keep, order, own, group, contexts, many, full
+        yield answer(doc[keep], at[keep], kind[keep].astype(np.int64))
+        del key, context, doc, at, kind, keep, order, own, contexts, many
         give_back()
 
     def answer(doc, first, second):
@@ -281,8 +285,8 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     def anchors_of(it):
         doc, at, kind, parts = answers(it)
         for i in range(0, len(parts), 2000):
-            rows = [(int(doc[a]), *(at[a:z][kind[a:z] == k].tobytes() for k in (1, 2, 3))) for a, z in parts[i : i + 2000]]
-            yield record_batch(rows, ["doc_id", "full", "cold", "hot"], [pa.int64(), *[pa.binary()] * 3])
+            rows = [(int(doc[a]), *(at[a:z][kind[a:z] == k].tobytes() for k in (1, 2))) for a, z in parts[i : i + 2000]]
+            yield record_batch(rows, ["doc_id", "cold", "hot"], [pa.int64(), *[pa.binary()] * 2])
 
     def spans_of(it):
         doc, start, end, parts = answers(it)
@@ -292,10 +296,9 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
     blob = "to int, docs binary, first binary, second binary"
     dealt = batches(texts).mapInArrow(send_anchors, "to int, keys binary, contexts binary, docs binary, places binary").repartitionById(n, F.col("to"))
-    told = dealt.mapInArrow(shared_anchors, blob).repartitionById(n, F.col("to")).mapInArrow(anchors_of, "doc_id long, full binary, cold binary, hot binary")
-    lists = [F.filter(F.array(c), lambda x: F.length(x) > 0).alias(c) for c in ("full", "cold", "hot")]
+    told = dealt.mapInArrow(shared_anchors, blob).repartitionById(n, F.col("to")).mapInArrow(anchors_of, "doc_id long, cold binary, hot binary")
+    lists = [F.filter(F.array(c), lambda x: F.length(x) > 0).alias(c) for c in ("cold", "hot")]
     shared = save(told.select("doc_id", *lists), "anchors")
-    open_ = shared.where((F.size("cold") > 0) | (F.size("hot") > 0)).select("doc_id", "cold", "hot")
 
     def send_strings(it):
         for b in it:
@@ -319,20 +322,20 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
                     check.append((rolling(scatter()[np.frombuffer(data, np.uint8)], length)[s] >> np.uint64(32)).astype("<u4"))
                     late.append(np.full(len(x), d, dtype=np.int64))
                     start.append(s + zero)
-            rows = [(i, [c for _, c in number], np.array([k for k, _ in number], dtype=np.uint64).tobytes(), np.array(which, dtype=np.int32).tobytes(), *(np.array(x, dtype=np.int64).tobytes() for x in rest), None) for i, (number, which, *rest) in shards.items()]
+            rows = [(i, pack_strings([c for _, c in number]), np.array([k for k, _ in number], dtype=np.uint64).tobytes(), np.array(which, dtype=np.int32).tobytes(), *(np.array(x, dtype=np.int64).tobytes() for x in rest), None) for i, (number, which, *rest) in shards.items()]
             if key:
                 key, check, late, start = map(np.concatenate, (key, check, late, start))
                 order = np.argsort(key)
                 key, check, late, start = key[order], check[order], late[order], start[order]
                 rows += [(i, None, k, None, d, s, c) for i, k, d, s, c in blobs((key % np.uint64(n)).astype(np.int64), n, (key, 0), (late, 0), (start, 0), (check, 0))]
-            yield record_batch(rows, ["to", "contexts", "keys", "which", "docs", "starts", "checks"], [pa.int32(), pa.list_(pa.binary()), *[pa.binary()] * 5])
+            yield record_batch(rows, ["to", "contexts", "keys", "which", "docs", "starts", "checks"], [pa.int32(), *[pa.binary()] * 6])
 
     def in_shards(it):
         number, which, doc, base, lists = {}, [], [], [], []
         for b in it:
             for r in b.to_pylist():
                 if r["contexts"] is not None:
-                    own = np.array([number.setdefault(c, len(number)) for c in zip(np.frombuffer(r["keys"], np.uint64).tolist(), r["contexts"], strict=True)], dtype=np.int64)
+                    own = np.array([number.setdefault(c, len(number)) for c in zip(np.frombuffer(r["keys"], np.uint64).tolist(), unpack_strings(r["contexts"]), strict=True)], dtype=np.int64)
                     which.append(own[np.frombuffer(r["which"], np.int32)])
                     doc.append(np.frombuffer(r["docs"], np.int64))
                     base.append(np.frombuffer(r["starts"], np.int64))
@@ -379,11 +382,11 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         late = [d > least[np.searchsorted(both, o)] for o, (_, d, _, _) in zip(own, lists, strict=True)]
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
-    with_text = batches(texts.select("doc_id", "base", squeezed("text").alias("packed")).join(open_, "doc_id").select("doc_id", "base", "packed", "cold", "hot"))
-    strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary, checks binary")
+    with_text = batches(texts.select("doc_id", "base", squeezed("text").alias("packed")).join(shared, "doc_id").select("doc_id", "base", "packed", "cold", "hot"))
+    strings = with_text.mapInArrow(send_strings, "to int, contexts binary, keys binary, which binary, docs binary, starts binary, checks binary")
     found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
     found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
-    return found.join(shared.where(F.size("full") > 0).select("doc_id", "full"), "doc_id", "full_outer")
+    return found
 
 
 def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -398,19 +401,16 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
     rows = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*others).alias("row"), F.col("text").cast("string").alias("text")))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "base", "text")
     gone = removed(texts, length, gram, hot)
-    both = rows.select("doc_id", "row", "base", squeezed("text").alias("packed")).join(gone, "doc_id", "left").select("row", "packed", "base", "spans", "full")
+    both = rows.select("doc_id", "row", "base", squeezed("text").alias("packed")).join(gone, "doc_id", "left").select("row", "packed", "base", "spans")
 
     def run(it):
         for b in it:
             out = []
             texts = [None if t is None else zstandard.decompress(t) for t in b.column(1).to_pylist()]
-            for t, base, lists, full in zip(texts, *(c.to_pylist() for c in b.columns[2:]), strict=True):
+            for t, base, lists in zip(texts, *(c.to_pylist() for c in b.columns[2:]), strict=True):
                 data = t or b""
-                at = own_places(np.concatenate([np.frombuffer(x, np.int64) for x in full or []] or [np.zeros(0, np.int64)]), base, data)
-                near = np.stack([np.maximum(0, at - length + gram), np.minimum(at + length, len(data))], axis=1)
-                found = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or [])])
-                found = found[(found[:, 0] >= base) & (found[:, 0] < base + len(data))] - base
-                pairs = np.concatenate([near[near[:, 1] - near[:, 0] >= length], found])
+                pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in lists or [])])
+                pairs = pairs[(pairs[:, 0] >= base) & (pairs[:, 0] < base + len(data))] - base
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 merged: list[list[int]] = []
                 for a, z in pairs.tolist():
