@@ -59,11 +59,12 @@ def test_queue():
     from sluice.operators.queue import CancellationToken, JobQueue, Registry, Submission, Tool, err, ok
 
     ran, seen = [], []
-    gate = threading.Event()
+    gate, begun = threading.Event(), threading.Event()
 
     def job(name, fails=False):
         def run(token, progress):
             if name == "first":
+                begun.set()
                 gate.wait(10)
             progress(1, 1, name)
             ran.append(name)
@@ -77,6 +78,7 @@ def test_queue():
     stop = queue.subscribe(lambda s: seen.append((s["job_id"], s["state"])))
     queue.subscribe(lambda s: 1 / 0)
     queue.submit(Submission("first", "t", job("first"), 1))
+    assert begun.wait(10)
     queue.submit(Submission("low", "t", job("low"), 1))
     queue.submit(Submission("high", "t", job("high", fails=True), 1, priority=5))
     queue.submit(Submission("gone", "t", job("gone"), 1))
