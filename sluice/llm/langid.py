@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, give_back
 
 BUCKETS = 1 << 16
 #: The classifier is fitted on about so many documents of each language; document frequencies come from all of them.
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, epochs: int = 3) ->
                     df[found[0]] += 1
                     n += 1
         nz = np.flatnonzero(df)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(nz, -1), pa.int32()), pa.array(np.append(df[nz], n))], names=["bucket", "n"])
 
     df = batches(known.select("text")).mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
@@ -147,6 +148,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, epochs: int = 3) ->
             keep = [i for i, f in enumerate(found) if f]
             columns = [c.take(pa.array(keep, pa.int64())) for c in b.columns[:3]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([found[i][0].astype("<u2").tobytes() for i in keep], pa.binary()), pa.array([found[i][1].astype("<u4").tobytes() for i in keep], pa.binary())], names=["lang", "fold", "doc_id", "nz", "n"])
+        give_back()
 
     found = batches(chosen).mapInArrow(features, "lang string, fold long, doc_id long, nz binary, n binary")
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "nz").limit(2 * sample * len(languages)).collect()  # a bound for repeated ids too
@@ -190,6 +192,8 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
                 names.append(model.languages[int(p.argmax())])
                 scores.append(float(min(1.0, p.max())))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
+        b = found = w = None
+        give_back()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
