@@ -69,6 +69,16 @@ def give_back() -> None:
         pass
 
 
+def tidy(f):
+    """f, a function over batches, that gives its memory back when it is through."""
+
+    def run(it):
+        yield from f(it)
+        give_back()
+
+    return run
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that are read, so further columns of any name cannot clash; null text is empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

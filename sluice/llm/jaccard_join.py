@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, give_back, partitions, save
+from .common import batches, give_back, partitions, save, tidy
 from .components import joined, roots
 from .winnowing import POWERS
 
@@ -220,7 +220,7 @@ def deal(df: DataFrame, found, n: int) -> DataFrame:
             del key, doc, rows, run, several, order, new, start, size, sign, first, ends
             give_back()
 
-    return batches(df).mapInArrow(send, "to int, keys binary, docs binary").repartitionById(n, F.col("to")).mapInArrow(meet, "run long, doc_id long")
+    return batches(df).mapInArrow(tidy(send), "to int, keys binary, docs binary").repartitionById(n, F.col("to")).mapInArrow(meet, "run long, doc_id long")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd: int = CROWD) -> DataFrame:
@@ -241,7 +241,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, crowd:
             marks = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc_id", "n_shingles", "mark", "sketch"])
 
-    every = save(batches(docs).mapInArrow(describe, "doc_id long, n_shingles long, mark binary, sketch binary"), "sets")
+    every = save(batches(docs).mapInArrow(tidy(describe), "doc_id long, n_shingles long, mark binary, sketch binary"), "sets")
     real = every.where("doc_id IS NOT NULL AND mark IS NOT NULL")
     marks = real.groupBy("mark").agg(F.min("doc_id").alias("node"))
     nodes = save(real.select("doc_id", "mark").distinct().join(marks, "mark").select("doc_id", "node"), "nodes")
@@ -295,7 +295,7 @@ def first_links(members: DataFrame, proof: Proof) -> DataFrame:
                     found.append((first, node))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    pairs = with_sketches(members, proof).mapInArrow(run, "a long, b long")
+    pairs = with_sketches(members, proof).mapInArrow(tidy(run), "a long, b long")
     return proof.links(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
 
 
@@ -350,7 +350,7 @@ def across(members: DataFrame, proof: Proof) -> DataFrame:
                 found, n = [], 0
         yield out(found + (flush() if held else []))
 
-    return with_sketches(members, proof, "label").mapInArrow(run, "a long, b long").distinct()
+    return with_sketches(members, proof, "label").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 class Proof:
@@ -375,7 +375,7 @@ class Proof:
             ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
         ids = save(ids, "wanted")
         if self.sets is None or not ids.isEmpty():
-            made = save(batches(self.texts.join(ids, "doc_id").select("doc_id", "text")).mapInArrow(run, "doc_id long, bytes long, elements binary"), "elements")
+            made = save(batches(self.texts.join(ids, "doc_id").select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, bytes long, elements binary"), "elements")
             self.sets = made if self.sets is None else self.sets.unionAll(made)
         return self.sets
 
@@ -423,7 +423,7 @@ class Proof:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         sorted_ = rows.repartition(n, "group").sortWithinPartitions("group", "kind", "a")
-        return save(batches(sorted_).mapInArrow(run, "a long, b long").distinct(), "links")
+        return save(batches(sorted_).mapInArrow(tidy(run), "a long, b long").distinct(), "links")
 
 
 def by_rarest(crowded: DataFrame, labels: DataFrame, proof: Proof) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, id_text, save
+from .common import batches, id_text, save, tidy
 from .tokens import word_encoder
 
 
@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return batches(id_text(docs)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return batches(id_text(docs)).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, capacity: int = 4096) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, give_back, partitions, save
+from .common import batches, give_back, partitions, save, tidy
 from .jaccard_join import from_planes, mix, planes, repeated
 from .winnowing import POWERS
 
@@ -291,7 +291,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             yield record_batch(rows, ["doc_id", "spans"], [pa.int64(), pa.binary()])
 
     blob = "to int, docs binary, first binary, second binary"
-    dealt = batches(texts).mapInArrow(send_anchors, "to int, keys binary, contexts binary, docs binary, places binary").repartitionById(n, F.col("to"))
+    dealt = batches(texts).mapInArrow(tidy(send_anchors), "to int, keys binary, contexts binary, docs binary, places binary").repartitionById(n, F.col("to"))
     told = dealt.mapInArrow(shared_anchors, blob).repartitionById(n, F.col("to")).mapInArrow(anchors_of, "doc_id long, full binary, cold binary, hot binary")
     lists = [F.filter(F.array(c), lambda x: F.length(x) > 0).alias(c) for c in ("full", "cold", "hot")]
     shared = save(told.select("doc_id", *lists), "anchors")
@@ -380,7 +380,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
     with_text = batches(texts.select("doc_id", "base", squeezed("text").alias("packed")).join(open_, "doc_id").select("doc_id", "base", "packed", "cold", "hot"))
-    strings = with_text.mapInArrow(send_strings, "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary, checks binary")
+    strings = with_text.mapInArrow(tidy(send_strings), "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary, checks binary")
     found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
     found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
     return found.join(shared.where(F.size("full") > 0).select("doc_id", "full"), "doc_id", "full_outer")
@@ -427,7 +427,7 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
 
     schema = to_arrow_schema(StructType.fromDDL(kind))
     names, kinds = schema.names, schema.types
-    return batches(both).mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, text string, {kind}")
+    return batches(both).mapInArrow(tidy(run), f"row {both.schema['row'].dataType.simpleString()}, text string, {kind}")
 
 
 def left_over(data: bytes, gone: list[list[int]]) -> bytes:
