@@ -21,8 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -179,17 +178,6 @@ def record_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def squeezed(column: str) -> Column:
-    """Texts compressed one by one, for exchanges: the blocks of a shuffle hardly shrink by themselves."""
-
-    @F.arrow_udf("binary")
-    def squeeze(text: pa.Array) -> pa.Array:
-        z = zstandard.ZstdCompressor(level=3)
-        return pa.array([None if t is None else z.compress(t.encode()) for t in text.to_pylist()], pa.binary())
-
-    return squeeze(column)
-
-
 def with_base(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with `base`: places of unlike texts of one doc_id count on from each other, so that a
     place belongs to one text. It is 0 wherever a doc_id has one text only."""
@@ -302,7 +290,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
             shards: dict[int, tuple[dict, list, list, list]] = {}
             key, check, late, start = [], [], [], []
             for d, zero, t, cold, warm in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = zstandard.decompress(t)
+                data = t.encode()
                 places = own_places(joined(cold, np.int64), zero, data)
                 hashes = rolling(np.frombuffer(data, np.uint8), gram)[places] if len(places) else places
                 for p, k in zip(places.tolist(), hashes.tolist(), strict=True):
@@ -379,7 +367,7 @@ def removed(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         late = [d > least[np.searchsorted(both, o)] for o, (_, d, _, _) in zip(own, lists, strict=True)]
         return tuple(np.concatenate([x[i][ok] for x, ok in zip(lists, late, strict=True)]) for i in (1, 2))
 
-    with_text = batches(texts.select("doc_id", "base", squeezed("text").alias("packed")).join(open_, "doc_id").select("doc_id", "base", "packed", "cold", "hot"))
+    with_text = batches(texts.join(open_, "doc_id").select("doc_id", "base", "text", "cold", "hot"))
     strings = with_text.mapInArrow(tidy(send_strings), "to int, contexts array<binary>, keys binary, which binary, docs binary, starts binary, checks binary")
     found = strings.repartitionById(n, F.col("to")).mapInArrow(in_shards, blob).repartitionById(n, F.col("to"))
     found = found.mapInArrow(spans_of, "doc_id long, spans binary").select("doc_id", F.array("spans").alias("spans"))
@@ -398,12 +386,12 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
     rows = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*others).alias("row"), F.col("text").cast("string").alias("text")))
     texts = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "base", "text")
     gone = removed(texts, length, gram, hot)
-    both = rows.select("doc_id", "row", "base", squeezed("text").alias("packed")).join(gone, "doc_id", "left").select("row", "packed", "base", "spans", "full")
+    both = rows.join(gone, "doc_id", "left").select("row", "text", "base", "spans", "full")
 
     def run(it):
         for b in it:
             out = []
-            texts = [None if t is None else zstandard.decompress(t) for t in b.column(1).to_pylist()]
+            texts = [None if t is None else t.encode() for t in b.column(1).to_pylist()]
             for t, base, lists, full in zip(texts, *(c.to_pylist() for c in b.columns[2:]), strict=True):
                 data = t or b""
                 at = own_places(np.concatenate([np.frombuffer(x, np.int64) for x in full or []] or [np.zeros(0, np.int64)]), base, data)
@@ -420,7 +408,7 @@ def cut(docs: DataFrame, finish, kind: str, length: int = LENGTH, gram: int = GR
                         merged.append([a, z])
                 out.append(finish(data, merged))
             added = record_batch(out, names, kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), *added.columns], names=["row", "text", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *added.columns], names=["row", "text", *names])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
