@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, line_dedup, media, packing, suffix_dedup, token_files, toxicity, tree_bpe, winnowing
+from . import jaccard_join, langid, line_dedup, media, packing, periodic, suffix_dedup, token_files, toxicity, tree_bpe, warc, whitening, winnowing
 from .common import read_documents
 
 
@@ -48,8 +49,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_documents(spark, sf_dir), words=4, num=85, den=100)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.looped(read_documents(spark, sf_dir))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that 64 bits do not hold is null."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_line_dedup, op3_suffix_dedup, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join)
+    for f in (op1_language_id, op2_line_dedup, op3_suffix_dedup, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join, op11_periodic_runs, op12_whitening, op13_warc)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
