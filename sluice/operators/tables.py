@@ -99,14 +99,6 @@ def islands(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     return df.withColumn("_change", change).withColumn("island", F.sum("_change").over(w)).drop("_change")
 
 
-def content_between(gaps: DataFrame, by: str, start: str, end: str, least: float) -> DataFrame:
-    """(by, start_s, end_s): the stretches of at least `least` seconds between intervals, from the first interval on."""
-    w = Window.partitionBy(by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = gaps.withColumn("_reach", reach)
-    return rows.where(F.col("_reach").isNotNull() & (F.col(start) - F.col("_reach") >= least)).select(by, F.col("_reach").alias("start_s"), F.col(start).alias("end_s"))
-
-
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either that the other lacks, with their side; empty if both hold the same rows equally often."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionAll(b.exceptAll(a).withColumn("side", F.lit("right")))

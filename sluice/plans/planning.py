@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numbers
-from ..operators import tables
+from ..operators import scans, tables
 from .registry import inline, query, sql_values, table
 
 
@@ -60,15 +60,48 @@ def resize_plan(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(value * 600 AS BIGINT) * 1000000 AS e FROM events WHERE event_type = 'error' AND value IS NOT NULL),
-r AS (SELECT user_id, s, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g)
-SELECT user_id, reach AS start_s, s AS end_s FROM r WHERE reach IS NOT NULL AND s - reach >= 500000"""
+    """WITH t AS (SELECT user_id, epoch_us(min(ts)) AS t0, epoch_us(max(ts)) - epoch_us(min(ts)) AS length FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+g AS (SELECT user_id, epoch_us(ts) - t0 AS s, epoch_us(ts) - t0 + CAST(value * 600 AS BIGINT) * 1000000 AS e FROM events JOIN t USING (user_id) WHERE event_type = 'error' AND value IS NOT NULL UNION ALL SELECT user_id, length, length FROM t),
+r AS (SELECT user_id, s, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM g)
+SELECT user_id, reach AS start_s, s AS end_s FROM r WHERE s - reach >= 500000"""
 )
 def clip_plan(spark, sf_dir):
-    """What lies between the error intervals of each user, in microseconds."""
+    """What lies outside the error intervals of each user, from the first event to the last, in microseconds."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = table(spark, sf_dir, "events").where("event_type = 'error' AND value IS NOT NULL").select("user_id", ts.alias("s"), (ts + F.round(F.col("value") * 600).cast("long") * 1000000).alias("e"))
-    return tables.content_between(gaps, "user_id", "s", "e", 500000)
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_type", "value", ts.alias("at"))
+    spans = tables.save(events.groupBy("user_id").agg(F.min("at").alias("t0"), (F.max("at") - F.min("at")).alias("length")), "lengths")
+    errors = events.where("event_type = 'error' AND value IS NOT NULL").join(spans, "user_id").withColumn("s", F.col("at") - F.col("t0"))
+    gaps = errors.select("user_id", "s", (F.col("s") + F.round(F.col("value") * 600).cast("long") * 1000000).alias("e"))
+    return scans.content_between(gaps, spans.select("user_id", "length"), "user_id", "s", "e", "length", 500000)
+
+
+@query(
+    """SELECT event_id, user_id, last_value(CASE WHEN value >= 50 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM events"""
+)
+def latest_high_value(spark, sf_dir):
+    """The last value of 50 or more that a user had before each event."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    high = F.when(F.col("value") >= 50, F.col("value"))
+    return scans.prefix_scan(events, ["user_id"], ["ts", "event_id"], high, "last", "latest").select("event_id", "user_id", "latest")
+
+
+@query(
+    """WITH d AS (SELECT event_id, event_type, ts, CAST(round(coalesce(value, 0) * 100) AS BIGINT) - 4000 AS d FROM events),
+s AS (SELECT event_id, event_type, ts, sum(d) OVER w AS s FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, event_type, CAST(s - least(0, min(s) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS balance FROM s"""
+)
+def balance_above_zero(spark, sf_dir):
+    """A balance of each type of event in hundredths, 40 less at each one, that never falls below 0. Steps are functions
+    x -> greatest(low, x + add), whose compositions are of this kind again."""
+    add = (F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long") - 4000).alias("add")
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", add)
+
+    def then(f, g):
+        return F.struct((f["add"] + g["add"]).alias("add"), F.greatest(g["low"], f["low"] + g["add"]).alias("low"))
+
+    step = F.struct("add", F.lit(0).cast("long").alias("low"))
+    done = scans.prefix_scan(events, ["event_type"], ["ts", "event_id"], step, then, "f", inclusive=True)
+    return done.select("event_id", "event_type", F.greatest("f.low", "f.add").alias("balance"))
 
 
 @query(
