@@ -10,18 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder that spark.checkpoint.dir names; a local one where it is unset."""
-    spark: SparkSession = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder that spark.checkpoint.dir names; in a local one where it is unset, for a local master."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/sluice-{label}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/sluice-{label}-{uuid.uuid4().hex}"
+
+
+#: Tables that this driver's operators have saved and not yet cleared.
+SAVED: list[str] = []
+
+
+def save(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder; see new_path()."""
+    path = new_path(df.sparkSession, label)
+    SAVED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables that operators have saved so far; only for results that are written or no longer wanted."""
+    n = 0
+    while SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def duplicate_groups(df: DataFrame, key: Column, member: Column) -> DataFrame:

@@ -57,6 +57,42 @@ def job_stream(spark, sf_dir):
     return fold_events(spark, sf_dir)
 
 
+# Users as items: what an event says of one. R retries, B ms before the first of them, T ms to run.
+R, B, T = 2, 3_600_000, 36_000_000
+KIND_SQL = "CASE event_type WHEN 'view' THEN 'add' WHEN 'signup' THEN 'begin' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN CASE WHEN value > 20 THEN 'reset' ELSE 'complete' END ELSE 'skip' END"
+
+
+@query(
+    f"""WITH RECURSIVE ev AS (SELECT user_id, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, {KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT max(at_ms) AS w FROM ev),
+m AS (SELECT DISTINCT user_id, 1::BIGINT AS n, NULL::VARCHAR AS state, 0 AS attempts, NULL::BIGINT AS deadline, []::BIGINT[] AS held, NULL::BIGINT AS seq, NULL::BIGINT AS at_ms, NULL::VARCHAR AS kind, NULL::BOOLEAN AS accepted, []::BIGINT[] AS released, true AS silent FROM ev
+UNION ALL
+SELECT user_id, CASE WHEN due THEN n ELSE n + 1 END,
+  CASE WHEN keep OR NOT ok THEN state WHEN what IN ('fail', 'timeout') THEN CASE WHEN attempts > {R} THEN 'quarantined' ELSE 'waiting' END
+    WHEN what = 'ready' THEN CASE WHEN len(held) > 0 THEN 'running' ELSE 'pending' END WHEN what IN ('add', 'reset') THEN 'pending' WHEN what = 'begin' THEN 'running' WHEN what = 'complete' THEN 'completed' ELSE 'skipped' END,
+  CASE WHEN keep OR NOT ok THEN attempts WHEN what = 'begin' THEN attempts + 1 WHEN what = 'ready' THEN attempts + len(held) WHEN what = 'reset' THEN 0 ELSE attempts END::INTEGER,
+  CASE WHEN keep OR NOT ok THEN deadline WHEN what IN ('fail', 'timeout') AND attempts <= {R} THEN now + {B} * (1 << (attempts - 1)) WHEN what = 'begin' OR what = 'ready' AND len(held) > 0 THEN now + {T} END::BIGINT,
+  CASE WHEN keep THEN list_append(held, next) WHEN what = 'ready' THEN [] ELSE held END, CASE WHEN due THEN NULL ELSE next END, now, what, ok, CASE WHEN what = 'ready' THEN held ELSE [] END, keep
+FROM (SELECT *, state = 'waiting' AND what = 'begin' AND NOT due AS keep, coalesce(CASE WHEN what = 'add' THEN state IS NULL WHEN what = 'begin' THEN state IN ('pending', 'running') WHEN what = 'ready' THEN state = 'waiting'
+    WHEN what = 'reset' THEN state IN ('completed', 'skipped', 'quarantined', 'pending') ELSE state = 'running' END, false) AS ok
+  FROM (SELECT *, CASE WHEN NOT due THEN said WHEN state = 'running' THEN 'timeout' ELSE 'ready' END AS what, CASE WHEN due THEN deadline ELSE upcoming END AS now
+    FROM (SELECT m.user_id, m.n, m.state, m.attempts, m.deadline, m.held, e.seq AS next, e.at_ms AS upcoming, e.kind AS said, coalesce(m.deadline <= coalesce(e.at_ms, w.w), false) AS due FROM m LEFT JOIN ev e ON e.user_id = m.user_id AND e.n = m.n CROSS JOIN w)
+    WHERE due OR next IS NOT NULL)))
+SELECT user_id, seq, at_ms, kind, CASE WHEN kind = 'ready' THEN 'pending' ELSE state END AS state, CASE WHEN kind = 'ready' THEN attempts - len(released) ELSE attempts END::INTEGER AS attempts, accepted FROM m WHERE NOT coalesce(silent, false)
+UNION ALL SELECT user_id, released[i], at_ms, 'begin', 'running', (attempts - len(released) + i)::INTEGER, true FROM (SELECT *, unnest(range(1, len(released) + 1)) AS i FROM m WHERE kind = 'ready' AND accepted)"""
+)
+def item_timeline(spark, sf_dir):
+    """What happened to each item and when: events in their order, held ones, timeouts, tries after a pause, and rejections."""
+    from ..streaming import jobs, machine
+
+    events = spark.readStream.schema(jobs.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    said = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "signup", "begin").when(F.col("event_type") == "error", "fail")
+    said = said.when((F.col("event_type") == "purchase") & (F.col("value") > 20), "reset").when(F.col("event_type") == "purchase", "complete").otherwise("skip")
+    told = events.select(F.lit("users").alias("job_id"), F.col("user_id").alias("position"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), said.alias("kind"))
+    done = machine.timeline(told, machine.Policy(R, B, T))
+    return done.select(F.col("position").alias("user_id"), "seq", F.col("at").alias("at_ms"), "kind", "state", "attempts", "accepted")
+
+
 @query()
 def image_kernels(spark, sf_dir):
     """Kernels over images made from the vectors of `embeddings`: mean, edge score, difference hash and dithered colours."""

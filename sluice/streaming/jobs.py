@@ -1,25 +1,13 @@
-"""Item states folded from event streams: plain aggregates, and a state machine with guards and retries."""
+"""Item states folded from event streams by plain aggregates; machine.py has those with guards, retries and timers."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import save
+from ..operators.tables import new_path, save
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-#: What an item's stream says: where it may be said, and the state that it leads to. Fixed values.
-MOVES = {
-    "add": ((None,), "pending"), "begin": (("pending", "running"), "running"), "complete": (("running",), "completed"), "warn": (("running",), "completed_with_warning"), "skip": (("running",), "skipped"),
-    "fail": (("running",), "quarantined"), "retry": (("running",), "pending"), "recover": (("running",), "pending"), "reset": (("completed", "completed_with_warning", "skipped", "quarantined", "pending"), "pending"),
-}
-ITEM = "job_id string, position int, seq long, kind string, state string, attempts int, accepted boolean"
-
-
 def fold(events: DataFrame) -> DataFrame:
     """user_id, last_type (of the greatest event_id), errors, events."""
     return events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("events"))
@@ -37,48 +25,6 @@ def fold_events(spark: SparkSession, sf_dir: str, checkpoint: str | None = None)
         done[:] = [save(batch, f"states-{number}")]
 
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    top = save(spark.range(1).toDF("id"), "stream")  # names the shared folder where none is set
-    base = top.inputFiles()[0].rsplit("/", 2)[0]
-    running = fold(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint or f"{base}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(keep).start()
+    running = fold(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint or new_path(spark, "stream")).trigger(availableNow=True).foreachBatch(keep).start()
     running.awaitTermination()
     return done[0] if done else fold(spark.createDataFrame([], EVENTS))
-
-
-def move(state: str | None, attempts: int, kind: str, max_retries: int) -> tuple[str | None, int, bool]:
-    """(state, attempts, accepted) of an item after one event. A retry beyond max_retries is a failure; a reset forgets the
-    attempts; what may not be said in this state changes nothing."""
-    allowed, target = MOVES.get(kind, ((), None))
-    if state not in allowed:
-        return state, attempts, False
-    if kind == "begin":
-        attempts += 1
-    elif kind == "retry" and attempts > max_retries:
-        target = "quarantined"
-    elif kind == "reset":
-        attempts = 0
-    return target, attempts, True
-
-
-def track(events: DataFrame, max_retries: int = 0) -> DataFrame:
-    """events (job_id, position, seq, kind) as a stream of what each did to its item: state and attempts after it, and whether
-    it was accepted. Within a batch events count in order of seq; one whose seq is not beyond the item's last is a replay
-    and passed over. State is three values an item, kept in the state store.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state, attempts, last = store.get if store.exists else (None, 0, -1)
-        rows = sorted((int(s), k) for f in frames for s, k in zip(f["seq"], f["kind"], strict=True))  # one item's part of a batch
-        out = []
-        for seq, kind in rows:
-            if seq <= last:
-                continue
-            last = seq
-            state, attempts, accepted = move(state, attempts, kind, max_retries)
-            out.append((*key, seq, kind, state, attempts, accepted))
-        store.update((state, attempts, last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEM.split(", ")])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    keyed = events.select("job_id", F.col("position").cast("int").alias("position"), F.col("seq").cast("long").alias("seq"), "kind")
-    return keyed.groupBy("job_id", "position").applyInPandasWithState(step, ITEM, "state string, attempts int, last long", "append", GroupStateTimeout.NoTimeout)

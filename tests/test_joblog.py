@@ -55,56 +55,5 @@ def test_volatile_log(spark):
     assert log.reports().first().state == "completed_with_warnings"
 
 
-def test_queue():
-    from sluice.operators.queue import CancellationToken, JobQueue, Registry, Submission, Tool, err, ok
-
-    ran, seen = [], []
-    gate, begun = threading.Event(), threading.Event()
-
-    def job(name, fails=False):
-        def run(token, progress):
-            if name == "first":
-                begun.set()
-                gate.wait(10)
-            progress(1, 1, name)
-            ran.append(name)
-            if fails:
-                raise RuntimeError("no")
-            return "completed"
-
-        return run
-
-    queue = JobQueue()
-    stop = queue.subscribe(lambda s: seen.append((s["job_id"], s["state"])))
-    queue.subscribe(lambda s: 1 / 0)
-    queue.submit(Submission("first", "t", job("first"), 1))
-    assert begun.wait(10)
-    queue.submit(Submission("low", "t", job("low"), 1))
-    queue.submit(Submission("high", "t", job("high", fails=True), 1, priority=5))
-    queue.submit(Submission("gone", "t", job("gone"), 1))
-    with pytest.raises(ValueError):
-        queue.submit(Submission("low", "t", job("low"), 1))
-    assert queue.cancel("gone") and queue.pause("low") and not queue.pause("low") and queue.resume("low") and not queue.resume("low")
-    gate.set()
-    assert queue.wait(10)
-    states = {s["job_id"]: s["state"] for s in queue.history()}
-    assert ran == ["first", "high", "low"] and states == {"first": "completed", "high": "failed", "low": "completed", "gone": "cancelled"}
-    assert ("first", "running") in seen and queue.errors and not queue.cancel("first")
-    stop()
-    assert queue.clear_finished() == 4 and queue.history() == []
-
-    token = CancellationToken()
-    token.pause()
-    threading.Timer(0.1, token.cancel).start()
-    assert token.wait_if_paused() is False and token.is_cancelled
-
-    tools = Registry(["image"])
-    tools.register(Tool("a", "A", "image", lambda df: df))
-    with pytest.raises(ValueError):
-        tools.register(Tool("a", "A", "image", lambda df: df))
-    assert tools.unplaced() == [] and tools.get("a").title == "A" and tools.get("b") is None
-    assert ok(1)["data"] == 1 and err("x", "y")["error_type"] == "x"
-
-
 def test_final_state():
     assert final_state({"completed": 2}) == "completed" and final_state({"completed": 1, "skipped": 1}) == "completed_with_warnings" and final_state({"pending": 1}) == "running"
