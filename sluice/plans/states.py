@@ -93,6 +93,29 @@ def item_timeline(spark, sf_dir):
     return done.select(F.col("position").alias("user_id"), "seq", F.col("at").alias("at_ms"), "kind", "state", "attempts", "accepted")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def published_orders(spark, sf_dir):
+    """Orders, written as parts that one marker makes visible, and read back with each part's digest checked."""
+    from ..sources import reports
+
+    path = tables.new_path(spark, "published")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    reports.publish_rows(orders, path)
+    return reports.published(spark, path)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'view'")
+def published_stream(spark, sf_dir):
+    """A stream's rows, published batch by batch, each of which counts once."""
+    from ..sources import reports
+    from ..streaming.jobs import EVENTS
+
+    path = tables.new_path(spark, "published")
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reports.publish_stream(events.where("event_type != 'view'").select("event_id", "user_id", "event_type", "value"), path, tables.new_path(spark, "check"))
+    return reports.published(spark, path)
+
+
 @query()
 def image_kernels(spark, sf_dir):
     """Kernels over images made from the vectors of `embeddings`: mean, edge score, difference hash and dithered colours."""
