@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names, numbers
-from ..operators import tables
+from ..operators import jsonwalk, tables
 from .registry import inline, query, sql_values, table
 
 TITLE = r"<title>(.*?)</title>"
@@ -156,3 +156,34 @@ def embedded_json_walk(spark, sf_dir):
     first = items.groupBy("list_id", F.col("item.id").alias("item_id")).agg(F.min_by("item.t", "i").alias("title"))
     events = table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("item_id")).agg(F.min("event_id").cast("string").alias("title"))
     return first.unionByName(events.select(F.lit("events").alias("list_id"), "item_id", "title"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations),
+v AS (SELECT conv_id, i, 0 AS k, '.meta.id' AS path, 'id' AS name, 'c' || (conv_id % 7) || '-' || turn % 3 AS value FROM t UNION ALL SELECT conv_id, i, 1, '.meta.by.role', 'role', role FROM t
+  UNION ALL SELECT conv_id, i, 2, '.meta.by["size of"][0]', 'size of', CAST(n AS VARCHAR) FROM t UNION ALL SELECT conv_id, i, 3, '.meta.by["size of"][1][0].half', 'half', CAST(n // 2 AS VARCHAR) FROM t)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i, k) - 1 AS ord, '$.turns[' || i || ']' || path AS path, name, value FROM v"""
+)
+def json_leaves(spark, sf_dir):
+    """Every value of JSON that stands in the script of a page for each conversation, whatever its depth."""
+    return conversation_leaves(spark, sf_dir).select("conv_id", "ord", "path", "name", "value")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations)
+SELECT conv_id, 'c' || (conv_id % 7) || '-' || turn % 3 AS id, min(i) * 4 AS ord FROM t GROUP BY 1, 2"""
+)
+def json_first_ids(spark, sf_dir):
+    """Where each id stands first in the JSON of a conversation's page."""
+    return jsonwalk.first_of_each(conversation_leaves(spark, sf_dir), "conv_id", "id").select("conv_id", "id", "ord")
+
+
+def conversation_leaves(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    one = lambda t: F.concat(
+        F.lit('{"meta": {"id": "c'), (F.col("conv_id") % 7).cast("string"), F.lit("-"), (t["turn"] % 3).cast("string"), F.lit('", "by": {"role": "'), t["role"],
+        F.lit('", "size of": ['), F.length(t["text"]).cast("string"), F.lit(', [{"half": '), F.floor(F.length(t["text"]) / 2).cast("string"), F.lit("}]]}}}"),
+    )
+    pages = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))  # the turns of one conversation
+    html = F.concat(F.lit("<html><style>p{margin:0}</style><script>var data = {\"turns\": ["), F.array_join(F.transform("t", one), ", "), F.lit("]};</script><p>{not json}</p></html>"))
+    return jsonwalk.walk(pages.select("conv_id", html.alias("html")), "conv_id", "html", "data\\s*=")

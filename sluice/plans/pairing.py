@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tables
+from ..operators import search, tables
 from .registry import query, table
 
 
@@ -95,6 +95,26 @@ def ranked_search(spark, sf_dir):
     return part.where(hay.contains(terms[0]) & hay.contains(terms[1])).select("p_partkey", score.cast("int").alias("score"))
 
 
+SEARCHES = "SELECT p_partkey AS search, upper(split_part(p_name, ' ', 2)) || '  ' || substring(p_type, 1, 1 + p_partkey // 100 % 3) AS text FROM part WHERE p_partkey % 100 = 0 AND p_partkey % 300 <> 0 UNION ALL SELECT p_partkey, substring(p_name, 1, 4) FROM part WHERE p_partkey % 300 = 0"
+
+
+@query(
+    f"""WITH s AS ({SEARCHES}), q AS (SELECT search, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS phrase FROM s),
+e AS (SELECT p_partkey AS id, lower(p_name) AS title, lower(p_brand) AS identifier, lower(p_type) AS category, 'size ' || p_size AS subtitle FROM part),
+m AS (SELECT search, id, title, CASE WHEN title = phrase THEN 0 WHEN starts_with(title, phrase) THEN 1 WHEN len(list_filter(terms, lambda t: NOT contains(title, t))) = 0 THEN 2 WHEN len(list_filter(terms, lambda t: NOT contains(identifier, t))) = 0 THEN 3
+  WHEN len(list_filter(terms, lambda t: NOT contains(category, t))) = 0 THEN 4 WHEN len(list_filter(terms, lambda t: NOT contains(title || ' ' || identifier || ' ' || category || ' ' || subtitle, t))) = 0 THEN 5 END AS score FROM (SELECT *, string_split(phrase, ' ') AS terms FROM q) CROSS JOIN e)
+SELECT search, row_number() OVER (PARTITION BY search ORDER BY score, title, id) AS rank, id, score FROM m WHERE score IS NOT NULL QUALIFY rank <= 25"""
+)
+def search_best(spark, sf_dir):
+    """For searches made from every hundredth part, the 25 best matches among all parts."""
+    part = table(spark, sf_dir, "part")
+    chosen = part.where("p_partkey % 100 = 0")
+    pair = F.concat(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit("  "), F.substring("p_type", F.lit(1), F.expr("CAST(1 + p_partkey DIV 100 % 3 AS INT)")))
+    text = F.when(F.col("p_partkey") % 300 != 0, pair).otherwise(F.substring("p_name", 1, 4))
+    catalog = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("identifier"), F.col("p_type").alias("category"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("subtitle"))
+    return search.best(search.build(catalog), chosen.select(F.col("p_partkey").alias("search"), text.alias("text")), 25)
+
+
 @query("SELECT p_brand AS category, count(*) AS n, min(lower(p_name)) AS first_title FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#99') GROUP BY 1 UNION ALL SELECT c, 0, NULL FROM (VALUES ('Brand#1'), ('Brand#2'), ('Brand#99')) AS t(c) WHERE c NOT IN (SELECT p_brand FROM part)")
 def category_listing(spark, sf_dir):
     """Titles of the asked categories; a category that nothing has is listed with none."""
