@@ -1,6 +1,6 @@
 """Checks of tool settings: for each tool the rules that its settings must meet, and the message of the first one broken.
 
-A rule is (condition, message), both SQL over the columns of the settings that Spark and DuckDB understand alike;
+A rule is (condition, message), both SQL over the columns of the settings;
 MATCH(x, 'p') stands for a match of the whole of x. A null setting breaks the rules that read it.
 """
 
@@ -45,7 +45,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("max_bytes > 0 AND max_file > 0", "'archive and member byte limits must be positive'"),
         ("max_file <= max_bytes", "'per-member byte limit cannot exceed the archive byte limit'"),
         ("max_entries BETWEEN 1 AND 1000000", "'member-count limit must be between 1 and 1000000'"),
-        ("collision IN ('rename', 'skip')", "concat('collision policy must be ''rename'' or ''skip', '''')"),
+        ("collision IN ('rename', 'skip')", "'collision policy must be ''rename'' or ''skip'''"),
     ],
     "convert": [
         ("quality = floor(quality) AND fps = floor(fps) AND gif_width = floor(gif_width) AND dpi = floor(dpi)", "'quality, FPS, GIF width, and DPI must be whole numbers'"),
@@ -96,18 +96,16 @@ RULES: dict[str, list[tuple[str, str]]] = {
 }
 
 
-def sql(tool: str, engine: str) -> str:
-    """A CASE that gives the first broken rule's message, or null, for 'spark' or 'duckdb'."""
-    matched = r"(\1 RLIKE '^(?:\2)$')" if engine == "spark" else r"regexp_full_match(\1, '\2')"
+def sql(tool: str) -> str:
+    """A CASE that gives the first broken rule's message, or null."""
     whens = []
     for condition, message in RULES[tool]:
-        condition = re.sub(r"MATCH\((\w+), '((?:[^']|'')*)'\)", matched, condition)
-        if engine == "spark":
-            condition, message = condition.replace("encode(", "CAST(").replace("CAST(replacement)", "CAST(replacement AS BINARY)").replace("CAST(css)", "CAST(css AS BINARY)").replace("\\.", "\\\\."), message
-        whens.append(f"WHEN NOT coalesce({condition}, FALSE) THEN {message.replace('AS STRING', 'AS VARCHAR') if engine == 'duckdb' else message}")
+        condition = re.sub(r"MATCH\((\w+), '((?:[^']|'')*)'\)", r"(\1 RLIKE '^(?:\2)$')", condition)
+        condition = re.sub(r"encode\((\w+)\)", r"CAST(\1 AS BINARY)", condition).replace("\\.", "\\\\.")
+        whens.append(f"WHEN NOT coalesce({condition}, FALSE) THEN {message}")
     return f"CASE {' '.join(whens)} END"
 
 
 def problem(tool: str) -> Column:
     """The message of the first rule that a row of settings breaks; null for settings that meet all."""
-    return F.expr(sql(tool, "spark"))
+    return F.expr(sql(tool))

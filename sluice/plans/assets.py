@@ -221,7 +221,36 @@ SETTINGS = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{tool}' AS tool, k, {options.sql(tool, 'duckdb')} AS problem FROM ({rows})" for tool, rows in SETTINGS.items()))
+# What each tool says of its settings, written out by itself: what is wrong, in the order in which it is looked for.
+OBJECTIONS = {
+    "dataset": """CASE WHEN NOT list_contains(['pair_report', 'replace', 'bucket', 'split'], operation) THEN 'unknown operation: ' || operation WHEN bucket_mode <> 'dimensions' AND bucket_mode <> 'aspect' THEN 'unknown bucket mode: ' || bucket_mode
+      WHEN n_exts < 1 OR n_exts > 16 THEN 'provide between 1 and 16 caption extensions' WHEN len(list_filter(string_split(ltrim(exts, ','), ','), lambda x: NOT regexp_matches(x, '^\\.[a-z0-9][a-z0-9_-]{0,15}$'))) > 0 THEN 'caption extensions must be unique safe suffixes such as .txt'
+      WHEN least(train, val, test) < 0 OR train + val + test <= 0 THEN 'split ratios must be three finite non-negative values with a positive sum' WHEN operation = 'replace' AND length(find) = 0 THEN 'replace requires non-empty text or a regex to find'
+      WHEN length(find) > 4096 THEN 'find/regex text is limited to 4,096 characters' WHEN strlen(replacement) > 1024 * 1024 THEN 'replacement text is limited to 1 MiB' WHEN NOT dry_run AND out_root IS NULL THEN 'a real run requires an output folder' END""",
+    "audit": """CASE WHEN hamming % 1 <> 0 THEN 'near-duplicate Hamming threshold must be a whole number' WHEN min_side % 1 <> 0 THEN 'minimum dimension must be a whole number' WHEN hash_side % 1 <> 0 THEN 'dHash size must be a whole number'
+      WHEN hash_side < 4 OR hash_side > 32 THEN 'dHash size must be between 4 and 32' WHEN hamming < 0 OR hamming > hash_side ** 2 THEN 'near-duplicate Hamming threshold must be 0–' || CAST(hash_side ** 2 AS INTEGER)
+      WHEN oversized_mb <= 0 OR oversized_mb > 1e6 THEN 'oversized threshold must be greater than 0 and at most 1,000,000 MB' WHEN min_side < 1 OR min_side > 1e6 THEN 'minimum dimension must be between 1 and 1,000,000 pixels' END""",
+    "extract": """CASE WHEN depth % 1 + max_bytes % 1 + max_file % 1 + max_entries % 1 <> 0 THEN 'depth and resource limits must be whole numbers' WHEN depth NOT IN (0, 1, 2) THEN 'nested depth must be between 0 and 2'
+      WHEN least(max_bytes, max_file) <= 0 THEN 'archive and member byte limits must be positive' WHEN max_bytes < max_file THEN 'per-member byte limit cannot exceed the archive byte limit' WHEN max_entries < 1 OR max_entries > 1000000 THEN 'member-count limit must be between 1 and 1000000'
+      WHEN collision <> 'rename' AND collision <> 'skip' THEN 'collision policy must be ' || chr(39) || 'rename' || chr(39) || ' or ' || chr(39) || 'skip' || chr(39) END""",
+    "convert": """CASE WHEN quality % 1 + fps % 1 + gif_width % 1 + dpi % 1 <> 0 THEN 'quality, FPS, GIF width, and DPI must be whole numbers'
+      WHEN NOT list_contains(string_split('png jpg webp bmp tiff ico mp4 mov mkv webm gif mp3 wav flac aac m4a ogg opus html pdf txt md', ' '), target) THEN 'unsupported target: ' || coalesce(nullif(target, ''), '?') WHEN quality < 1 OR quality > 100 THEN 'JPEG/WebP quality must be between 1 and 100'
+      WHEN fps < 0 OR fps > 240 THEN 'frame rate must be between 0 and 240' WHEN gif_width < 16 OR gif_width > 8192 THEN 'GIF width must be between 16 and 8192 pixels' WHEN dpi < 36 OR dpi > 1200 THEN 'PDF render DPI must be between 36 and 1200'
+      WHEN coalesce(TRY_CAST(rtrim(bitrate, 'k') AS INTEGER), 0) NOT BETWEEN 1 AND 1024 OR bitrate LIKE '0%' THEN 'audio bitrate must be between 1k and 1024k' WHEN replace(background, ' ', '') = '' THEN 'flatten background colour is required' WHEN strlen(css) > 1024 * 1024 THEN 'extra CSS must be text no larger than 1 MiB' END""",
+    "alpha": """CASE WHEN NOT list_contains(['solid', 'chroma', 'edge_flood', 'ai'], method) THEN 'unknown alpha method: ' || method WHEN method = 'chroma' AND NOT (length(key_colour) = 7 AND starts_with(key_colour, '#') AND TRY_CAST('0x' || substring(key_colour, 2) AS INTEGER) IS NOT NULL) THEN 'key colour must use #RRGGBB'
+      WHEN tolerance < 0 OR tolerance > sqrt(3 * 255.0 * 255.0) THEN 'tolerance must be between 0 and 441.7' WHEN band < 0 OR band > sqrt(3 * 255.0 * 255.0) THEN 'feather band must be between 0 and 441.7' WHEN feather < 0 OR feather > 100 THEN 'defringe feather must be between 0 and 100'
+      WHEN coverage < 0 OR coverage > 1 THEN 'minimum coverage must be between 0 and 1' WHEN erode % 1 <> 0 OR erode < 0 OR erode > 32 THEN 'defringe erosion must be a whole number between 0 and 32' END""",
+    "render": """CASE WHEN kind <> 'sbs' AND kind <> 'mm' THEN 'unknown renderer kind: ' || kind WHEN replace(engine, ' ', '') = '' THEN 'engine path is required' WHEN replace(input_dir, ' ', '') = '' THEN 'input directory is required' WHEN replace(output_dir, ' ', '') = '' THEN 'output directory is required'
+      WHEN kind = 'sbs' AND resolution NOT IN (SELECT n || 'x' || n FROM (VALUES (512), (1024), (2048), (4096)) t(n)) THEN 'unsupported Substance resolution: ' || resolution WHEN kind = 'mm' AND NOT list_contains(['Unreal', 'Godot', 'Unity', 'Blender'], target) THEN 'unsupported Material Maker target: ' || target
+      WHEN resize % 1 <> 0 OR resize < 16 OR resize > 16384 THEN 'resize must be from 16 to 16384 pixels' WHEN timeout % 1 <> 0 OR timeout < 1 OR timeout > 24 * 3600 THEN 'timeout must be from 1 to 86400 seconds' END""",
+    "vector": """CASE WHEN mode <> 'color' AND mode <> 'binary' THEN 'unsupported color mode: ' || mode WHEN hierarchy <> 'stacked' AND hierarchy <> 'cutout' THEN 'unsupported hierarchy: ' || hierarchy WHEN speckle % 1 <> 0 OR speckle < 0 OR speckle > 1e6 THEN 'filter speckle must be from 0 to 1000000'
+      WHEN colours NOT IN (1, 2, 3, 4, 5, 6, 7, 8) THEN 'color precision must be from 1 to 8' WHEN digits % 1 <> 0 OR digits < 0 OR digits > 16 THEN 'path precision must be from 0 to 16' END""",
+    "package": """CASE WHEN NOT has_assets THEN 'not a Unity project (no Assets folder)' WHEN n_includes < 1 THEN 'Pick at least one folder to include.' WHEN NOT list_contains(['error', 'overwrite', 'copy'], collision) THEN 'Unknown collision policy ' || collision WHEN level < 0 OR level > 9 THEN 'Compression level must be 0-9.'
+      WHEN NOT regexp_matches(output, '(?i)\\.unitypackage$') THEN 'Output file must end with .unitypackage.' WHEN NOT starts_with(include, 'Assets/') OR contains(include, '..') THEN include || ' must be a folder or file inside Assets (not Assets itself).' WHEN starts_with(output, include || '/') THEN 'The output file cannot be inside an included folder (' || include || ').' END""",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{tool}' AS tool, k, {OBJECTIONS[tool]} AS problem FROM ({rows})" for tool, rows in SETTINGS.items()))
 def option_problems(spark, sf_dir):
     """The first broken rule of each tool's settings."""
     table(spark, sf_dir, "part").createOrReplaceTempView("part")
