@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import media, options, textures
-from .registry import inline, query, sql_values, table
+from .registry import dealt, numbered, query, sql_values, table
 
 # File names made from the parts table: words in camel case, a map's word, at times a resolution.
 WORDS = [w for all_ in textures.ROLE_WORDS.values() for w in all_] + ["mask", "detail"]
@@ -59,15 +59,15 @@ ENGINES = ["none", "unity", "unreal", "godot", "blender", "gltf"]
 NAME_ROWS = [(e, r, (textures.ROLE_NAMES | textures.ENGINE_NAMES.get(e, {})).get(r, r.capitalize())) for e in ENGINES for r in [*textures.ROLE_NAMES, "mask"]]
 
 
-@query(f"SELECT engine, role, suffix FROM {sql_values(NAME_ROWS, 'engine, role, suffix')}")
+ROLES = [*textures.ROLE_NAMES, "mask"]
+
+
+@query(f"SELECT p_partkey, engine, role, replace(p_name, ' ', '') || '_' || suffix AS file FROM part JOIN {numbered(NAME_ROWS, 'engine, role, suffix')} ON i = p_partkey % {len(NAME_ROWS)}")
 def engine_names(spark, sf_dir):
-    """What each engine calls each role."""
-    roles = inline(spark, [(r,) for r in [*textures.ROLE_NAMES, "mask"]], "role string")
-    each = [roles.select(F.lit(e).alias("engine"), "role", textures.engine_suffix(F.col("role"), e).alias("suffix")) for e in ENGINES]
-    out = each[0]
-    for df in each[1:]:
-        out = out.unionByName(df)
-    return out
+    """What a part's map of each role is called for each engine."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", dealt([e for e, _, _ in NAME_ROWS], "p_partkey").alias("engine"), dealt([r for _, r, _ in NAME_ROWS], "p_partkey").alias("role"))
+    suffix = F.coalesce(*[F.when(F.col("engine") == e, textures.engine_suffix(F.col("role"), e)) for e in ENGINES])
+    return rows.select("p_partkey", "engine", "role", F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("_"), suffix).alias("file"))
 
 
 RES = "(" + "|".join(textures.RESOLUTIONS) + ")"
@@ -95,42 +95,54 @@ def set_names(spark, sf_dir):
 PAIRS = [(k, t) for k, all_ in textures.TARGETS.items() for t in sorted(set(all_))]
 
 
-@query(f"SELECT kind, string_agg(target, ',' ORDER BY target) AS targets, count(*) AS n FROM {sql_values(PAIRS, 'kind, target')} GROUP BY kind UNION ALL SELECT 'none', '', 0")
+KINDS = [*textures.TARGETS, "none"]
+
+
+@query(f"WITH t AS (SELECT kind, string_agg(target, ',' ORDER BY target) AS targets, count(*) AS n FROM {sql_values(PAIRS, 'kind, target')} GROUP BY kind) SELECT p_partkey, k.kind, coalesce(targets, '') AS targets, coalesce(n, 0) AS n FROM part JOIN {numbered([(k,) for k in KINDS], 'kind').replace('AS t(', 'AS k(')} ON k.i = p_partkey % {len(KINDS)} LEFT JOIN t ON t.kind = k.kind")
 def conversion_targets(spark, sf_dir):
-    kinds = inline(spark, [(k,) for k in [*textures.TARGETS, "none"]], "kind string")
+    """What a file of each kind can become."""
     found = textures.kind_targets(F.col("kind"))
-    return kinds.select("kind", F.array_join(found, ",").alias("targets"), F.size(found).cast("long").alias("n"))
+    kinds = table(spark, sf_dir, "part").select("p_partkey", dealt(KINDS, "p_partkey").alias("kind"))
+    return kinds.select("p_partkey", "kind", F.array_join(found, ",").alias("targets"), F.size(found).cast("long").alias("n"))
 
 
 HOW = "CASE kind WHEN 'image' THEN 'picture' WHEN 'gif' THEN CASE WHEN target IN ('mp4', 'mov', 'mkv', 'webm') THEN 'film' ELSE 'picture' END WHEN 'video' THEN CASE WHEN target = 'gif' THEN 'film to gif' WHEN target IN ('mp4', 'mov', 'mkv', 'webm') THEN 'film' ELSE 'sound of film' END WHEN 'audio' THEN 'sound' WHEN 'pdf' THEN CASE WHEN target IN ('png', 'jpg') THEN 'pages' ELSE 'document' END ELSE 'document' END"
 
 
-@query(f"SELECT kind, target, {HOW} AS how FROM {sql_values(PAIRS, 'kind, target')} UNION ALL SELECT 'pdf', 'mp3', NULL")
+ASKED = [*PAIRS, ("pdf", "mp3")]
+
+
+@query(f"SELECT p_partkey, kind, target, CASE WHEN kind = 'pdf' AND target = 'mp3' THEN NULL ELSE {HOW} END AS how FROM part JOIN {numbered(ASKED, 'kind, target')} ON i = p_partkey % {len(ASKED)}")
 def conversion_dispatch(spark, sf_dir):
-    pairs = inline(spark, [*PAIRS, ("pdf", "mp3")], "kind string, target string")
-    return pairs.select("kind", "target", textures.converter(F.col("kind"), F.col("target")).alias("how"))
+    """By which way a file of one kind becomes one of another."""
+    pairs = table(spark, sf_dir, "part").select("p_partkey", dealt([k for k, _ in ASKED], "p_partkey").alias("kind"), dealt([t for _, t in ASKED], "p_partkey").alias("target"))
+    return pairs.select("p_partkey", "kind", "target", textures.converter(F.col("kind"), F.col("target")).alias("how"))
 
 
 HEADS = [("89504E470D0A1A0A0000", ".png"), ("FFD8FFE000104A464946", ".JPG"), ("474946383961", ".gif"), ("52494646AAAAAAAA57454250", ".png"), ("424D36", ".bmp"), ("49492A0008", ".tif"), ("4D4D002A", ".tiff"), ("3C68746D6C3E", ".png"), ("", ".gif"), ("52494646AAAAAAAA57415645", ".webp")]
 
 
 @query(
-    f"""SELECT head, CASE WHEN starts_with(head, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(head, 'FFD8FF') THEN 'jpeg' WHEN starts_with(head, '474946383761') OR starts_with(head, '474946383961') THEN 'gif'
+    f"""SELECT p_partkey, head, CASE WHEN starts_with(head, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(head, 'FFD8FF') THEN 'jpeg' WHEN starts_with(head, '474946383761') OR starts_with(head, '474946383961') THEN 'gif'
 WHEN starts_with(head, '52494646') AND substring(head, 17, 8) = '57454250' THEN 'webp' WHEN starts_with(head, '424D') THEN 'bmp' WHEN starts_with(head, '49492A00') OR starts_with(head, '4D4D002A') THEN 'tiff' END AS format,
-CASE lower(suffix) WHEN '.png' THEN 'png' WHEN '.jpg' THEN 'jpeg' WHEN '.gif' THEN 'gif' WHEN '.bmp' THEN 'bmp' WHEN '.webp' THEN 'webp' ELSE 'tiff' END AS expected FROM {sql_values(HEADS, 'head, suffix')}"""
+CASE lower(suffix) WHEN '.png' THEN 'png' WHEN '.jpg' THEN 'jpeg' WHEN '.gif' THEN 'gif' WHEN '.bmp' THEN 'bmp' WHEN '.webp' THEN 'webp' ELSE 'tiff' END AS expected FROM (SELECT p_partkey, h.head || CASE WHEN h.head = '' THEN '' ELSE printf('%02X', p_partkey % 200) END AS head, s.suffix FROM part JOIN {numbered(HEADS, 'head, suffix').replace('AS t(', 'AS h(')} ON h.i = p_partkey % {len(HEADS)} JOIN {numbered(HEADS, 'head, suffix').replace('AS t(', 'AS s(')} ON s.i = p_size % {len(HEADS)})"""
 )
 def picture_signatures(spark, sf_dir):
     """The format that a file's first bytes show against the one its suffix promises."""
-    rows = inline(spark, HEADS, "head string, suffix string")
-    return rows.select("head", textures.picture_format(F.unhex("head")).alias("format"), textures.expected_format(F.col("suffix")).alias("expected"))
+    last = F.format_string("%02X", F.col("p_partkey") % 200)
+    rows = table(spark, sf_dir, "part").select("p_partkey", dealt([h for h, _ in HEADS], "p_partkey").alias("h"), dealt([x for _, x in HEADS], "p_size").alias("suffix"))
+    rows = rows.withColumn("head", F.concat("h", F.when(F.col("h") == "", "").otherwise(last)))
+    return rows.select("p_partkey", "head", textures.picture_format(F.unhex("head")).alias("format"), textures.expected_format(F.col("suffix")).alias("expected"))
 
 
 NAMES = [("a.unitypackage",), ("b.ZIP",), ("c.tar.gz",), ("d.gz",), ("e.bz2",), ("f.tar.xz",), ("g.txz",), ("h.png",), ("zip",)]
 
 
-@query(f"SELECT name, CASE WHEN lower(name) LIKE '%.unitypackage' THEN 'unity' WHEN lower(name) LIKE '%.zip' THEN 'zip' WHEN regexp_matches(lower(name), '\\.(tar|tar\\.gz|tgz|tar\\.bz2|tbz2|tar\\.xz|txz|gz)$') THEN 'tar' END AS kind FROM {sql_values(NAMES, 'name')}")
+@query(f"SELECT p_partkey, name, CASE WHEN lower(name) LIKE '%.unitypackage' THEN 'unity' WHEN lower(name) LIKE '%.zip' THEN 'zip' WHEN regexp_matches(lower(name), '\\.(tar|tar\\.gz|tgz|tar\\.bz2|tbz2|tar\\.xz|txz|gz)$') THEN 'tar' END AS kind FROM (SELECT p_partkey, replace(p_name, ' ', '.') || name AS name FROM part JOIN {numbered(NAMES, 'name')} ON i = p_partkey % {len(NAMES)})")
 def archive_kinds(spark, sf_dir):
-    return inline(spark, NAMES, "name string").select("name", textures.archive_kind(F.col("name")).alias("kind"))
+    """Which archives files are by their names."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), dealt([n for (n,) in NAMES], "p_partkey")).alias("name"))
+    return rows.select("p_partkey", "name", textures.archive_kind(F.col("name")).alias("kind"))
 
 
 FORMATS = ["mp3", "wav", "flac", "aac", "m4a", "ogg", "opus", "xyz"]
@@ -170,10 +182,12 @@ def renderer_commands(spark, sf_dir):
 PATHS = [("/opt/sbsrender", True), ("/opt/SBSRender.exe", True), ("/opt/render", True), ("/opt/sbsrender.sh", False), ("  ", False), (None, False)]
 
 
-@query(f"SELECT path, CASE WHEN coalesce(trim(path), '') = '' OR NOT there THEN 'engine.missing' WHEN NOT regexp_matches(lower(path), '/sbsrender(\\.[^./]*)?$') THEN 'engine.wrong' END AS problem FROM {sql_values(PATHS, 'path, there')}")
+@query(f"SELECT p_partkey, path, CASE WHEN coalesce(trim(path), '') = '' OR NOT there THEN 'engine.missing' WHEN NOT regexp_matches(lower(path), '/sbsrender(\\.[^./]*)?$') THEN 'engine.wrong' END AS problem FROM (SELECT p_partkey, '/parts/' || p_size || path AS path, there FROM part JOIN {numbered(PATHS, 'path, there')} ON i = p_partkey % {len(PATHS)})")
 def engine_checks(spark, sf_dir):
-    rows = inline(spark, PATHS, "path string, there boolean")
-    return rows.select("path", textures.engine_problem(F.col("path"), F.col("there"), "sbsrender").alias("problem"))
+    """Whether a renderer is there and is one."""
+    path = F.concat(F.lit("/parts/"), F.col("p_size").cast("string"), dealt([x for x, _ in PATHS], "p_partkey"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), dealt([t for _, t in PATHS], "p_partkey").alias("there"))
+    return rows.select("p_partkey", "path", textures.engine_problem(F.col("path"), F.col("there"), "sbsrender").alias("problem"))
 
 
 @query("SELECT p_partkey, concat_ws(',', least(255, CAST(floor(p_size * 1.5::DOUBLE) AS INTEGER)), least(255, CAST(floor((p_partkey % 256) * 1.5::DOUBLE) AS INTEGER)), 255) AS colour FROM part")
@@ -182,21 +196,24 @@ def shades(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(textures.shade(parts, 1.5).cast("array<string>"), ",").alias("colour"))
 
 
-GLYPH_NAMES = [(n,) for n in [*media.GLYPHS, "A", "cap_b", "small_C", "uni00E9", "0x0041", "nothing"]]
 GLYPH_ROWS = [*[(n, c) for n, c in media.GLYPHS.items()], ("A", "A"), ("cap_b", "B"), ("small_C", "c"), ("uni00E9", "é"), ("0x0041", "A"), ("nothing", None)]
 
 
-@query(f"SELECT name, glyph FROM {sql_values(GLYPH_ROWS, 'name, glyph')}")
+@query(f"SELECT p_partkey, name, glyph FROM part JOIN {numbered(GLYPH_ROWS, 'name, glyph')} ON i = p_partkey % {len(GLYPH_ROWS)}")
 def glyph_names(spark, sf_dir):
-    return inline(spark, GLYPH_NAMES, "name string").select("name", media.glyph(F.col("name")).alias("glyph"))
+    """The character that a picture's name stands for."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", dealt([n for n, _ in GLYPH_ROWS], "p_partkey").alias("name"))
+    return rows.select("p_partkey", "name", media.glyph(F.col("name")).alias("glyph"))
 
 
 SUFFIXES = [(s, kind) for kind, all_ in media.KINDS.items() for s in all_] + [(".XYZ", "")]
 
 
-@query(f"SELECT suffix, kind FROM {sql_values(SUFFIXES, 'suffix, kind')}")
+@query(f"SELECT p_partkey, suffix, kind FROM part JOIN {numbered(SUFFIXES, 'suffix, kind')} ON i = p_partkey % {len(SUFFIXES)}")
 def source_kinds(spark, sf_dir):
-    return inline(spark, [(s,) for s, _ in SUFFIXES], "suffix string").select("suffix", media.source_kind(F.upper("suffix")).alias("kind")).select(F.when(F.col("kind") == "", ".XYZ").otherwise(F.col("suffix")).alias("suffix"), "kind")
+    """What kind of source a suffix names, in either case."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", dealt([x for x, _ in SUFFIXES], "p_partkey").alias("suffix"))
+    return rows.select("p_partkey", "suffix", media.source_kind(F.when(F.col("p_size") % 2 == 0, F.upper("suffix")).otherwise(F.col("suffix"))).alias("kind"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, numbers
 from ..operators import jsonwalk, tables
-from .registry import inline, query, sql_values, table
+from .registry import dealt, inline, numbered, query, sql_values, table
 
 TITLE = r"<title>(.*?)</title>"
 NAMES = [("CON",), ("CON.png",), ("a<b.png",), ("trailing.png ",), ("dotend.",), ("normal_asset.png",), ("CONSTANTS.png",), ("",), ("com1.txt",), ("a\\b",), ("x..",), (" lead",)]
@@ -114,9 +114,12 @@ def format_duration(spark, sf_dir):
 RATES = [("30000/1001",), ("25",), ("0/0",), ("x/2",), ("",), ("29.97",), ("24/1",), ("5/",)]
 
 
-@query(f"SELECT rate, coalesce(CASE WHEN contains(rate, '/') THEN CASE WHEN TRY_CAST(split_part(rate, '/', 2) AS DOUBLE) <> 0 THEN TRY_CAST(split_part(rate, '/', 1) AS DOUBLE) / TRY_CAST(split_part(rate, '/', 2) AS DOUBLE) END ELSE TRY_CAST(rate AS DOUBLE) END, 0) AS fps FROM {sql_values(RATES, 'rate')}")
+@query(f"SELECT event_id, rate, coalesce(CASE WHEN contains(rate, '/') THEN CASE WHEN TRY_CAST(split_part(rate, '/', 2) AS DOUBLE) <> 0 THEN TRY_CAST(split_part(rate, '/', 1) AS DOUBLE) / TRY_CAST(split_part(rate, '/', 2) AS DOUBLE) END ELSE TRY_CAST(rate AS DOUBLE) END, 0) AS fps FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN rate ELSE (event_id % 5000) || '/' || (user_id % 7) END AS rate FROM events JOIN {numbered(RATES, 'rate')} ON i = event_id % {len(RATES)})")
 def parse_fps(spark, sf_dir):
-    return inline(spark, RATES, "rate string").select("rate", numbers.parse_rate(F.col("rate")).alias("fps"))
+    """Frames a second from a fraction or a number; 0 for what is neither."""
+    made = F.concat((F.col("event_id") % 5000).cast("string"), F.lit("/"), (F.col("user_id") % 7).cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, dealt([r for (r,) in RATES], "event_id")).otherwise(made).alias("rate"))
+    return rows.select("event_id", "rate", numbers.parse_rate(F.col("rate")).alias("fps"))
 
 
 HEADING = r"^([0-9]+(\.[0-9]+)*\.? +)?(the|der|die|la|le|in|and)([ ,.]|$)"

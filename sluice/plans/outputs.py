@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import textures
 from ..operators import projects, results, tables
 from .assets import STEM, stems
-from .registry import inline, query, sql_values, table
+from .registry import dealt, query, table
 
 # A library of files: a folder for each brand, some of them hidden or put aside, file names as in assets.
 DIRS = ["lib", "lib/_old", "lib/.cache", "lib/set.ksmat/x", "lib/redo"]
@@ -109,15 +109,15 @@ def free_names(spark, sf_dir):
     return projects.free_names(wanted, taken.select(name.alias("name")))
 
 
-COLLIDE = [("a.zip", True, "error"), ("a.zip", True, "overwrite"), ("a.zip", True, "copy"), ("b.zip", False, "error"), ("b.zip", False, "copy")]
-
-
-@query(f"SELECT name, policy, CASE WHEN NOT there OR policy = 'overwrite' THEN name WHEN policy = 'copy' THEN replace(name, '.zip', ' (2).zip') END AS out FROM {sql_values(COLLIDE, 'name, there, policy')}")
+@query("SELECT c_custkey, policy, CASE WHEN NOT there OR policy = 'overwrite' THEN 'c' || c_custkey || '.zip' WHEN policy = 'copy' THEN 'c' || c_custkey || ' (2).zip' END AS out FROM (SELECT c_custkey, (['error', 'overwrite', 'copy'])[c_custkey % 3 + 1] AS policy, c_custkey IN (SELECT s_suppkey * 2 FROM supplier) AS there FROM customer)")
 def collision_policy(spark, sf_dir):
-    rows = inline(spark, COLLIDE, "name string, there boolean, policy string").withColumn("id", F.monotonically_increasing_id())
-    copies = projects.free_names(rows.select("id", F.lit("a").alias("stem"), F.lit(".zip").alias("suffix")), inline(spark, [("a.zip",)], "name string"), " (", ")").withColumnRenamed("name", "copy")
-    out = F.when(~F.col("there") | (F.col("policy") == "overwrite"), F.col("name")).when(F.col("policy") == "copy", F.col("copy"))
-    return rows.join(copies, "id").select("name", "policy", out.alias("out"))
+    """What is written where a name may be taken: nothing, over it, or a copy beside it."""
+    taken = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), (F.col("s_suppkey") * 2).cast("string"), F.lit(".zip")).alias("name")).distinct()
+    rows = table(spark, sf_dir, "customer").select("c_custkey", dealt(["error", "overwrite", "copy"], "c_custkey").alias("policy"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"))
+    copies = projects.free_names(rows.select(F.col("c_custkey").alias("id"), "stem", F.lit(".zip").alias("suffix")), taken, " (", ")").withColumnsRenamed({"id": "c_custkey", "name": "copy"})
+    rows = rows.withColumn("name", F.concat("stem", F.lit(".zip"))).join(taken.withColumn("there", F.lit(True)), "name", "left").join(copies, "c_custkey")
+    out = F.when(F.col("there").isNull() | (F.col("policy") == "overwrite"), F.col("name")).when(F.col("policy") == "copy", F.col("copy"))
+    return rows.select("c_custkey", "policy", out.alias("out"))
 
 
 @query("SELECT user_id, CAST(k AS INTEGER) AS clip, 'out/u' || user_id || '/u' || user_id || '_clip_' || printf('%03d', k) || '.mp4' AS path FROM (SELECT user_id, unnest(range(1, CAST(count(*) + 1 AS BIGINT))) AS k FROM events WHERE event_type = 'error' GROUP BY user_id)")
@@ -136,15 +136,16 @@ def tile_outputs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_compact(F.array(*wanted)), ",").alias("outputs"))
 
 
-FONT = [("My Font", "out", "a/b", True), ("  ", None, "a/b", True), ("X", None, "a/b.svg", False)]
+FONTS = "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '  ' ELSE ' ' || p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'out' END AS root, 'in/' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '/' || p_partkey || '.svg' END AS source, p_partkey % 2 = 0 AS is_folder FROM part"
 
 
-@query(f"SELECT name, coalesce(root, CASE WHEN is_folder THEN source ELSE regexp_replace(source, '/[^/]*$', '') END) || '/' || CASE WHEN trim(name) = '' THEN 'CustomFont' ELSE trim(name) END || '.ttf' AS path FROM {sql_values(FONT, 'name, root, source, is_folder')}")
+@query(f"SELECT p_partkey, coalesce(root, CASE WHEN is_folder THEN source ELSE regexp_replace(source, '/[^/]*$', '') END) || '/' || CASE WHEN trim(name) = '' THEN 'CustomFont' ELSE trim(name) END || '.ttf' AS path FROM ({FONTS})")
 def font_outputs(spark, sf_dir):
-    rows = inline(spark, FONT, "name string, root string, source string, is_folder boolean")
+    """Where a font is written: the output folder or that of its pictures, under its name."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
     folder = F.coalesce("root", F.when(F.col("is_folder"), F.col("source")).otherwise(projects.folder_of(F.col("source"))))
     name = F.when(F.trim("name") == "", "CustomFont").otherwise(F.trim("name"))
-    return rows.select("name", F.concat(folder, F.lit("/"), name, F.lit(".ttf")).alias("path"))
+    return spark.sql(FONTS).select("p_partkey", F.concat(folder, F.lit("/"), name, F.lit(".ttf")).alias("path"))
 
 
 @query(f"WITH {SETS} SELECT folder, name, 'out' || substring(folder, 4) AS out_folder FROM sets")
@@ -240,17 +241,19 @@ def issue_count(spark, sf_dir):
     return total.select((F.col("members") + F.col("empty") + F.col("oversized") + F.col("tiny")).alias("issues"), "exact_duplicate_groups", F.col("empty").alias("empty_files"), "oversized", F.col("tiny").alias("tiny_images"))
 
 
-PAYLOADS = [('{"exact_dups":[["a","b"],["c","d","e"]],"near_dups":[],"empty_files":["x"]}',), ('{"exact_dups":[],"near_dups":[["a","b"]],"empty_files":[]}',), ('{"near_dups":[]}',), ("no json",)]
+# A stored report for each part: so many members of groups and empty files; some lack a list or are no JSON.
+REPORTS = """SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'no json' ELSE '{"exact_dups":[["a","b"' || repeat(',"c"', CAST(p_size % 4 AS INTEGER)) || '],["d","e"]],' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '"near_dups":[' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '["x","y"]' END || '],' END || '"empty_files":[' || CASE WHEN p_partkey % 2 = 0 THEN '"z"' ELSE '' END || ']}' END AS payload FROM part"""
 
 
-@query(f"SELECT payload, CAST(CASE payload WHEN {chr(39)}{PAYLOADS[0][0]}{chr(39)} THEN 6 WHEN {chr(39)}{PAYLOADS[1][0]}{chr(39)} THEN 2 END AS INTEGER) AS issues FROM {sql_values(PAYLOADS, 'payload')}")
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 13 > 0 AND p_partkey % 11 > 0 THEN 4 + p_size % 4 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END END AS INTEGER) AS issues FROM part")
 def payload_issues(spark, sf_dir):
     """Findings recounted from a stored report; null for one that lacks a list."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
     p = F.from_json("payload", "exact_dups array<array<string>>, near_dups array<array<string>>, empty_files array<string>")
     members = lambda c: F.aggregate(c, F.lit(0), lambda a, g: a + F.size(g))
-    rows = inline(spark, PAYLOADS, "payload string").select("payload", p.alias("p")).select("payload", "p.*")
+    rows = spark.sql(REPORTS).select("p_partkey", p.alias("p")).select("p_partkey", "p.*")
     known = F.col("exact_dups").isNotNull() & F.col("near_dups").isNotNull() & F.col("empty_files").isNotNull()
-    return rows.select("payload", F.when(known, members("exact_dups") + members("near_dups") + F.size("empty_files")).alias("issues"))
+    return rows.select("p_partkey", F.when(known, members("exact_dups") + members("near_dups") + F.size("empty_files")).alias("issues"))
 
 
 @query(
@@ -287,13 +290,10 @@ def queue_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", turn.cast("long").alias("turn"))
 
 
-ENTRIES = [("a", "image"), ("b", "nowhere"), ("c", None), ("a", "video")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'repeated'), ('b', 'unknown category'), ('c', 'unknown category')) AS t(id, problem)")
+@query("SELECT id, CASE WHEN n > 1 THEN 'repeated' ELSE 'unknown category' END AS problem FROM (SELECT lower(p_name) || p_size AS id, count(*) AS n, bool_and(p_type IN ('ECONOMY', 'STANDARD', 'SMALL')) AS placed FROM part GROUP BY 1) WHERE n > 1 OR NOT placed")
 def catalog_problems(spark, sf_dir):
-    """Tools whose id is taken or whose category is unknown."""
-    entries = inline(spark, ENTRIES, "id string, category string").groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("category").isin("image", "video"), F.lit(False))).alias("placed"))
+    """Entries of a catalog whose id is taken or whose category is unknown."""
+    entries = table(spark, sf_dir, "part").groupBy(F.concat(F.lower("p_name"), F.col("p_size").cast("string")).alias("id")).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("p_type").isin("ECONOMY", "STANDARD", "SMALL"), F.lit(False))).alias("placed"))
     return entries.select("id", F.when(F.col("n") > 1, "repeated").when(~F.col("placed"), "unknown category").alias("problem")).where("problem IS NOT NULL")
 
 
