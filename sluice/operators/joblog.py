@@ -125,6 +125,20 @@ class JobLog:
     def reset(self, job: str, positions: list[int]) -> None:
         self.append([*[(job, p, "reset", "pending", None, "") for p in positions], (job, JOB, "state", "recovered", None, "")])
 
+    def advance(self, rows: DataFrame) -> DataFrame:
+        """rows (job_id, position, kind, details) of any number, at most one for each item: begin, finish (with `state`, the
+        outcome), defer and reset are logged for the items whose state allows it, in one append; returns the others with
+        the state that they were refused in (null: no such item). Nothing goes through the driver."""
+        now = self.items().select("job_id", "position", F.col("state").alias("was"))
+        rows = rows if "state" in rows.columns else rows.withColumn("state", F.lit(None).cast("string"))
+        both = rows.select("job_id", F.col("position").cast("int"), "kind", "state", F.coalesce("details", F.lit("")).alias("details")).join(now, ["job_id", "position"], "left")
+        fits = F.when(F.col("kind") == "begin", F.col("was").isin("pending", "running")).when(F.col("kind") == "finish", (F.col("was") == "running") & F.col("state").isin(ITEM_STATES))
+        fits = fits.when(F.col("kind") == "defer", F.col("was") == "running").when(F.col("kind") == "reset", F.col("was").isNotNull())
+        both = save(both.withColumn("fits", F.coalesce(fits, F.lit(False))), "advance")
+        to = F.when(F.col("kind") == "begin", "running").when(F.col("kind") == "finish", F.col("state")).otherwise("pending")
+        self.append_all(both.where("fits").select("job_id", "position", "kind", to.alias("state"), F.lit(None).cast("string").alias("path"), "details"))
+        return both.where("NOT fits").select("job_id", "position", "kind", "was")
+
     def set_state(self, job: str, state: str) -> None:
         self.append([(job, JOB, "state", state, None, "")])
 

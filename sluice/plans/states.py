@@ -116,6 +116,73 @@ def published_stream(spark, sf_dir):
     return reports.published(spark, path)
 
 
+# Orders as items of one job for each status. What a run says of each item, step by step; another run recovers what it left.
+STEPS = [("begin", "c % 5 > 0", None), ("finish", "c % 5 = 1", "completed"), ("finish", "c % 5 = 2", "completed_with_warning"), ("finish", "c % 7 = 3", "skipped"), ("defer", "c % 11 = 4", None)]
+AGAIN = [("begin", "c % 4 = 0", None), ("finish", "c % 8 = 0", "quarantined"), ("reset", "c % 9 = 1", None)]
+
+
+def logged_orders(spark, sf_dir):
+    """The log after both runs, and all that was refused."""
+    from ..operators.joblog import JobLog
+
+    path = tables.new_path(spark, "log")
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("job-"), "o_orderstatus").alias("job_id"), F.col("o_orderkey").cast("int").alias("position"), F.concat(F.lit("in/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("c"))
+    jobs = sorted(r[0] for r in orders.select("job_id").distinct().collect())  # three
+    refused = []
+    for run, steps in enumerate((STEPS, AGAIN)):
+        log = JobLog(spark, path)
+        for job in jobs:
+            assert log.prepare(job, orders.where(F.col("job_id") == job).select("position", "path")) == ("recovered" if run else "new")
+        for step, (kind, chosen, state) in enumerate(steps):
+            rows = orders.where(chosen).select("job_id", "position", F.lit(kind).alias("kind"), F.lit(state).cast("string").alias("state"), F.lit(f"step {step}").alias("details"))
+            refused.append(log.advance(rows).withColumn("step", F.lit(10 * run + step)))
+    for job in jobs:
+        log.set_state(job, "cancelled" if job.endswith("P") else "running")
+    return log, refused
+
+
+S0 = "SELECT 'job-' || o_orderstatus AS job_id, CAST(o_orderkey AS INTEGER) AS position, o_custkey AS c, 'in/' || o_orderkey AS path FROM orders"
+S1 = f"SELECT *, c % 5 > 0 AS b, CASE WHEN c % 5 = 0 THEN 'pending' WHEN c % 5 = 1 THEN 'completed' WHEN c % 5 = 2 THEN 'completed_with_warning' WHEN c % 7 = 3 THEN 'skipped' WHEN c % 11 = 4 THEN 'pending' ELSE 'running' END AS was1 FROM ({S0})"
+S2 = f"SELECT *, CASE WHEN was1 = 'running' THEN 'pending' ELSE was1 END AS start2 FROM ({S1})"
+S3 = f"SELECT *, c % 4 = 0 AND start2 = 'pending' AS b2, CASE WHEN c % 4 = 0 AND start2 = 'pending' THEN CASE WHEN c % 8 = 0 THEN 'quarantined' ELSE 'running' END ELSE start2 END AS was2 FROM ({S2})"
+LOGGED = f"SELECT *, CASE WHEN c % 9 = 1 THEN 'pending' ELSE was2 END AS state, CAST(CASE WHEN c % 9 = 1 THEN 0 ELSE CAST(b AS INTEGER) + CAST(b2 AS INTEGER) END AS INTEGER) AS attempts FROM ({S3})"
+
+
+@query(f"SELECT job_id, position, path, state, attempts FROM ({LOGGED})")
+def job_log_items(spark, sf_dir):
+    """Every item after two runs of a job, the second of which recovers what the first left running."""
+    return logged_orders(spark, sf_dir)[0].items().select("job_id", "position", "path", "state", "attempts")
+
+
+@query(
+    f"""WITH s AS ({LOGGED})
+SELECT 1 AS step, job_id, position, CASE WHEN c % 5 = 0 THEN 'pending' END AS was FROM s WHERE FALSE
+UNION ALL SELECT 3, job_id, position, CASE WHEN c % 5 = 0 THEN 'pending' WHEN c % 5 = 1 THEN 'completed' ELSE 'completed_with_warning' END FROM s WHERE c % 7 = 3 AND c % 5 < 3
+UNION ALL SELECT 4, job_id, position, CASE WHEN c % 5 = 0 THEN 'pending' WHEN c % 5 = 1 THEN 'completed' WHEN c % 5 = 2 THEN 'completed_with_warning' ELSE 'skipped' END FROM s WHERE c % 11 = 4 AND (c % 5 < 3 OR c % 7 = 3)
+UNION ALL SELECT 10, job_id, position, start2 FROM s WHERE c % 4 = 0 AND start2 <> 'pending' UNION ALL SELECT 11, job_id, position, start2 FROM s WHERE c % 8 = 0 AND start2 <> 'pending'"""
+)
+def job_log_refusals(spark, sf_dir):
+    """What was said of items in a state that does not allow it, and that state."""
+    refused = logged_orders(spark, sf_dir)[1]
+    out = refused[0]
+    for more in refused[1:]:
+        out = out.unionByName(more)
+    return out.select("step", "job_id", "position", "was")
+
+
+@query(
+    f"""WITH s AS ({LOGGED}), n AS (SELECT job_id, state, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT j.job_id, t.state, coalesce(n.n, 0) AS n, CASE WHEN j.job_id = 'job-P' THEN 'cancelled' ELSE 'running' END AS job_state, first FROM (SELECT job_id, min(position) FILTER (state = 'pending') AS first FROM s GROUP BY 1) j
+CROSS JOIN (VALUES ('pending'), ('running'), ('completed'), ('completed_with_warning'), ('skipped'), ('failed'), ('quarantined')) t(state) LEFT JOIN n ON n.job_id = j.job_id AND n.state = t.state"""
+)
+def job_log_report(spark, sf_dir):
+    """The latest jobs with how many items are in each state, and the first item that waits."""
+    log = logged_orders(spark, sf_dir)[0]
+    jobs = log.reports(10).select("job_id", F.col("state").alias("job_state"))
+    first = log.items().where("state = 'pending'").groupBy("job_id").agg(F.min("position").alias("first"))
+    return log.counts().join(jobs, "job_id").join(first, "job_id", "left").select("job_id", "state", "n", "job_state", "first")
+
+
 @query()
 def image_kernels(spark, sf_dir):
     """Kernels over images made from the vectors of `embeddings`: mean, edge score, difference hash and dithered colours."""
