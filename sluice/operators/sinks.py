@@ -226,41 +226,85 @@ def gif(frames: list[np.ndarray], fps: float) -> bytes:
 
 
 COPIED = "source string, target string, bytes long, sha256 string, error string"
+PIECE = 1 << 20
 
 
-def copy_files(moves: DataFrame, move: bool = False) -> DataFrame:
-    """(source, target, bytes, sha256, error) for moves (source, target, bytes) within a file system that every executor
-    mounts: hashed while copied to a part file, held against the expected size (null: any), then renamed. A failed copy
-    leaves no target; a move removes its source only after that."""
+def place(path: str):
+    """(file system, path) of Arrow's for a URI or a local path, which all executors must mount."""
+    import pyarrow.fs
+
+    if "://" in path:
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+
+
+def put(pieces, target: str, size: int | None) -> tuple[int, str]:
+    """Bytes and SHA-256 of what is written to the target: all of it, of the size that is expected (null: any), under a
+    part's name that changes at the end; else nothing."""
+    import hashlib
+
+    fs, path = place(target)
+    part, sha, n = f"{path}.{uuid.uuid4().hex}.part", hashlib.sha256(), 0
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    try:
+        with fs.open_output_stream(part) as out:
+            for data in pieces:
+                sha.update(data)
+                n += len(data)
+                out.write(data)
+        if size is not None and n != size:
+            raise OSError(f"{n} bytes of {size}")
+        fs.move(part, path)
+    except Exception:
+        if fs.get_file_info(part).is_file:
+            fs.delete_file(part)
+        raise
+    return n, sha.hexdigest()
+
+
+def each_put(rows, work) -> pa.RecordBatch:
+    """work(source, target, size or content) -> (bytes, digest) for each row; a failure is its row's error."""
+    out = []
+    for source, target, what in rows:
+        try:
+            out.append((source, target, *work(source, target, what), None))
+        except OSError as e:
+            out.append((source, target, None, None, f"{type(e).__name__}: {e}"))
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], names=["source", "target", "bytes", "sha256", "error"])
+
+
+def write_files(contents: DataFrame) -> DataFrame:
+    """COPIED for contents (source, target, content): each content in a file of its own, whole or not at all, written by the
+    tasks that hold the rows. Null contents are empty files."""
+
+    def work(source, target, content):
+        content = content or b""
+        return put((content[i : i + PIECE] for i in range(0, len(content), PIECE)), target, len(content))
 
     def run(it):
-        import hashlib
-        import os
+        for b in it:
+            yield each_put(zip(*(c.to_pylist() for c in b.columns), strict=True), work)
 
+    return contents.select("source", "target", F.col("content").cast("binary").alias("content")).mapInArrow(run, COPIED)
+
+
+def copy_files(moves: DataFrame, move: bool = False) -> DataFrame:
+    """COPIED for moves (source, target, bytes), both on file systems that Arrow knows: hashed while copied to a part file,
+    held against the expected size (null: any), then renamed. A failed copy leaves no target; a move removes its source
+    only after that."""
+
+    def work(source, target, size):
+        fs, path = place(source)
+        with fs.open_input_stream(path) as f:
+            done = put(iter(lambda: f.read(PIECE), b""), target, size)
+        if move:
+            fs.delete_file(path)
+        return done
+
+    def run(it):
         for b in it:
-            rows = []
-            for source, target, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                part, sha, n = f"{target}.part", hashlib.sha256(), 0
-                try:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    with open(source, "rb") as f, open(part, "wb") as out:
-                        while data := f.read(1 << 20):
-                            sha.update(data)
-                            n += out.write(data)
-                        out.flush()
-                        os.fsync(out.fileno())
-                    if size is not None and n != size:
-                        raise OSError(f"{n} bytes of {size}")
-                    os.replace(part, target)
-                    if move:
-                        os.unlink(source)
-                    rows.append((source, target, n, sha.hexdigest(), None))
-                except OSError as e:
-                    if os.path.exists(part):
-                        os.unlink(part)
-                    rows.append((source, target, None, None, f"{type(e).__name__}: {e}"))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 5, kinds, strict=True)], names=["source", "target", "bytes", "sha256", "error"])
+            yield each_put(zip(*(c.to_pylist() for c in b.columns), strict=True), work)
 
     return moves.select("source", "target", F.col("bytes").cast("long").alias("bytes")).mapInArrow(run, COPIED)
 
