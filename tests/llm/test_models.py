@@ -110,6 +110,40 @@ def test_likelihood_against_differences():
                 assert abs((loss(s, first, gaps + step, y) - loss(s, first, gaps - step, y)) / (2 * h) - by_edges[1 + j]) < 1e-4
 
 
+def test_slopes_of_many_scores():
+    rng = np.random.default_rng(2)
+    s, y = rng.normal(0, 2, 50), rng.integers(0, toxicity.GRADES, 50)
+    first, gaps = 0.3, rng.normal(0, 1, toxicity.GRADES - 2)
+    one = [toxicity.likelihood(a, int(b), first, gaps) for a, b in zip(s, y, strict=True)]
+    by_score, by_edges = toxicity.slopes(s, y, first, gaps)
+    assert np.allclose(by_score, [o[1] for o in one]) and np.allclose(by_edges, np.mean([o[2] for o in one], axis=0))
+
+
+def test_telling_words_and_cuts():
+    rows = [np.array(r) for r in ([1, 5], [1, 6], [1, 2, 7], [1, 2, 8], [2, 9], [2], [2, 3], [2, 3], [2], [2])]
+    toxic = np.array([True] * 4 + [False] * 6)
+    assert np.flatnonzero(toxicity.telling(rows, toxic)).tolist() == [1]  # 5 to 8 are of one document each, 2 and 3 of clean ones
+    scores = np.array([3.0, 2.0, 2.0, 1.0, 0.5, 0.0])
+    f1, cut = toxicity.best_cut(scores, np.array([True, True, False, True, False, False]))
+    plain = {c: 2 * sum(t for x, t in zip(scores, [1, 1, 0, 1, 0, 0], strict=True) if x > c) / ((scores > c).sum() + 3) for c in (2.5, 1.5, 0.75, 0.25, -1)}
+    assert cut == max(plain, key=plain.get) and f1 == max(plain.values())
+    w, thresholds = toxicity.fit_sample([(int(t) * (1 + i % 2), r) for i, (r, t) in enumerate(zip(rows * 6, list(toxic) * 6, strict=True))])
+    assert thresholds[0] < thresholds[1] and all((w[r].sum() > thresholds[0]) == t for r, t in zip(rows, toxic, strict=True))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Halves of the driver's labels that the model has not seen, with few toxic documents to learn from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    for seed in (1, 2):
+        half = labels.selectExpr("*", f"pmod(xxhash64({seed}, doc_id), 2) AS half")
+        model = toxicity.fit(docs, half.where("half = 0"))
+        asked = docs.join(half.where("half = 1").select("doc_id", "toxic"), "doc_id")
+        got = toxicity.grade(asked.select("doc_id", "text"), labels, model).withColumnRenamed("toxic", "found").join(asked.select("doc_id", "toxic"), "doc_id").collect()
+        toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
+        assert sum(r.found for r in toxic) / len(toxic) >= 0.75 and sum(r.found for r in clean) / len(clean) < 0.01
+
+
 def test_leader_against_one_weight_at_a_time():
     rng = np.random.default_rng(3)
     leader = langid.FollowTheLeader(6, 1, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
