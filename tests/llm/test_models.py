@@ -119,7 +119,8 @@ def test_slopes_of_many_scores():
     assert np.allclose(by_score, [o[1] for o in one]) and np.allclose(by_edges, np.mean([o[2] for o in one], axis=0))
 
 
-def test_telling_words_and_cuts():
+def test_telling_words_and_cuts(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_FALSE", 1.0)
     rows = [np.array(r) for r in ([1, 5], [1, 6], [1, 2, 7], [1, 2, 8], [2, 9], [2], [2, 3], [2, 3], [2], [2])]
     toxic = np.array([True] * 4 + [False] * 6)
     assert np.flatnonzero(toxicity.telling(rows, toxic)).tolist() == [1]  # 5 to 8 are of one document each, 2 and 3 of clean ones
@@ -127,6 +128,8 @@ def test_telling_words_and_cuts():
     f1, cut = toxicity.best_cut(scores, np.array([True, True, False, True, False, False]))
     plain = {c: 2 * sum(t for x, t in zip(scores, [1, 1, 0, 1, 0, 0], strict=True) if x > c) / ((scores > c).sum() + 3) for c in (2.5, 1.5, 0.75, 0.25, -1)}
     assert cut == max(plain, key=plain.get) and f1 == max(plain.values())
+    monkeypatch.setattr(toxicity, "MOST_FALSE", 0.005)
+    assert toxicity.best_cut(scores, np.array([True, True, False, True, False, False]))[1] == 2.5
     w, thresholds = toxicity.fit_sample([(int(t) * (1 + i % 2), r) for i, (r, t) in enumerate(zip(rows * 6, list(toxic) * 6, strict=True))])
     assert thresholds[0] < thresholds[1] and all((w[r].sum() > thresholds[0]) == t for r, t in zip(rows, toxic, strict=True))
 
@@ -141,7 +144,7 @@ def test_toxicity_on_held_out_labels(spark):
         asked = docs.join(half.where("half = 1").select("doc_id", "toxic"), "doc_id")
         got = toxicity.grade(asked.select("doc_id", "text"), labels, model).withColumnRenamed("toxic", "found").join(asked.select("doc_id", "toxic"), "doc_id").collect()
         toxic, clean = [r for r in got if r.toxic], [r for r in got if not r.toxic]
-        assert sum(r.found for r in toxic) / len(toxic) >= 0.75 and sum(r.found for r in clean) / len(clean) < 0.01
+        assert sum(r.found for r in toxic) / len(toxic) >= 0.7 and sum(r.found for r in clean) / len(clean) < 0.01
 
 
 def test_leader_against_one_weight_at_a_time():
