@@ -70,3 +70,24 @@ def discovered_folders(spark, sf_dir):
     full = found.groupBy(F.regexp_extract("path", "/(g[0-9])/", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min(number).alias("first"))
     empty = pictures.empty_folders(rows).select(projects.stem_of(F.col("path")).alias("folder"))
     return full.withColumn("is_empty", F.lit(False)).unionByName(empty.select("folder", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("is_empty")))
+
+
+PACKED = "SELECT 'a' || (page_id % 23) || CASE WHEN page_id % 2 = 0 THEN '.zip' ELSE '.tar.gz' END AS archive, CASE WHEN page_id % 17 = 0 THEN '../up/' || page_id ELSE 'docs/p' || page_id || '.html' END AS name, html FROM pages"
+
+
+@query(
+    f"""WITH m AS (SELECT archive, name, html, row_number() OVER (PARTITION BY archive ORDER BY name) - 1 AS ord, sum(strlen(html)) OVER (PARTITION BY archive ORDER BY name ROWS UNBOUNDED PRECEDING) AS declared FROM ({PACKED})),
+s AS (SELECT *, CASE WHEN ord >= 50 OR declared > 150000 THEN 'aborted' WHEN starts_with(name, '..') THEN 'rejected' ELSE 'written' END AS status FROM m)
+SELECT archive, ord, name AS path, status, CASE WHEN status = 'written' THEN CAST(strlen(html) AS BIGINT) END AS bytes, CASE WHEN status = 'written' THEN sha256(html) END AS sha256 FROM s"""
+)
+def ranged_archives(spark, sf_dir):
+    """Pages packed into archive files, then read member by member by ranges, each archive up to its budgets."""
+    from ..sources import archives, ranged
+
+    top = tables.new_path(spark, "archives")
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    built = archives.build(spark.sql(PACKED).withColumnRenamed("html", "data")).withColumnsRenamed({"path": "source"})
+    made = tables.save(sinks.write_files(built.withColumn("target", F.concat(F.lit(f"{top}/"), "source"))), "made")
+    plan = ranged.planned(ranged.catalog(made.select(F.col("target").alias("path"))), archives.Limits(total=150_000, members=50))
+    found = ranged.extracted(plan)
+    return found.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "ord", "path", "status", "bytes", "sha256")
