@@ -1,8 +1,9 @@
 """Media columns: payloads cut by content into chunks, equal chunks stored once, ordered chunk lists to rebuild them.
 
-A payload is stored as 8-bit samples. Its store is a table with one row for each distinct payload: the digests of its
-chunks in order, the samples of all chunks that occur nowhere else (`inline`), the samples of chunks that occur again
-and of which this row is the first owner (`owned`), and the places of all chunks that are not inline (`shared`).
+A payload is stored as 8-bit samples. Its store is a table with one row for each distinct payload: a head with the length
+and digest of each chunk in order, the samples of all chunks that occur nowhere else (`inline`), the samples of chunks
+that occur again and of which this row is the first owner (`owned`), and the places of all chunks that are not inline
+(`shared`). The stored form of a payload is its row's head, inline and owned samples, one after another.
 """
 
 from __future__ import annotations
@@ -69,9 +70,17 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def media(parts: list[bytes]) -> bytes:
-    """The stored form as one object: a table of (length, digest) for each chunk, then the samples."""
-    return b"GEAR" + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + digest(p) for p in parts) + b"".join(parts)
+def head_of(parts: list[bytes]) -> bytes:
+    """GEAR, the number of chunks, and (length, digest) of each."""
+    return b"GEAR" + struct.pack("<I", len(parts)) + b"".join(struct.pack("<I", len(p)) + digest(p) for p in parts)
+
+
+def table_of(head: bytes) -> tuple[list[int], list[bytes]]:
+    """Lengths and digests of the chunks that a head names."""
+    if head[:4] != b"GEAR" or len(head) != 8 + 20 * struct.unpack("<I", head[4:8])[0]:
+        raise ValueError("damaged head")
+    entries = list(struct.iter_unpack("<I16s", head[8:]))
+    return [n for n, _ in entries], [d for _, d in entries]
 
 
 def features(samples: bytes, n_chunks: int) -> str:
@@ -84,7 +93,7 @@ def features(samples: bytes, n_chunks: int) -> str:
 
 
 LISTING = "doc_id long, key binary, n_bytes long, digests array<binary>"
-STORE = "key binary, n_bytes long, digests array<binary>, lengths array<int>, inline binary, owned array<struct<digest:binary,data:binary>>, shared array<struct<idx:int,digest:binary>>"
+STORE = "key binary, n_bytes long, head binary, inline binary, owned array<struct<digest:binary,data:binary>>, shared array<struct<idx:int,digest:binary>>"
 #: Of chunks' samples (at most MOST bytes each) so many are broadcast at once.
 FEW_CHUNKS = 1_000
 
@@ -148,7 +157,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
                 away = {s["idx"] for s in shared}
                 rows.append(
                     {
-                        "key": key, "n_bytes": len(raw), "digests": [digest(p) for p in parts], "lengths": list(map(len, parts)), "inline": b"".join(p for i, p in enumerate(parts) if i not in away),
+                        "key": key, "n_bytes": len(raw), "head": head_of(parts), "inline": b"".join(p for i, p in enumerate(parts) if i not in away),
                         "owned": [{"digest": s["digest"], "data": parts[s["idx"]]} for s in shared if s["own"]], "shared": [{"idx": s["idx"], "digest": s["digest"]} for s in shared],
                     }
                 )
@@ -163,14 +172,15 @@ def write(docs: DataFrame, path: str) -> DataFrame:
 
 STORE_ARROW = pa.schema(
     [
-        ("key", pa.binary()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("inline", pa.binary()),
+        ("key", pa.binary()), ("n_bytes", pa.int64()), ("head", pa.binary()), ("inline", pa.binary()),
         ("owned", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))), ("shared", pa.list_(pa.struct([("idx", pa.int32()), ("digest", pa.binary())]))),
     ]
 )
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and the payload itself.
+    """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and the payload itself. Size and
+    digest of the media are those of the stored form, from the columns as they are read back.
 
     Every chunk is held against its digest and every payload against its key; damage raises an error. Shared chunks come
     to their payload as rows of their own behind its row, so that one payload is held at a time.
@@ -186,11 +196,12 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_payload
 
     def rebuild(it):
-        """Rows (key, idx, data, digests, lengths): first, with idx -1, the payload's own, then its shared chunks."""
+        """Rows (key, idx, data, head, form_bytes, form_sha256): first, with idx -1, the payload's own, then its shared chunks."""
         held, away = None, {}
 
         def finish():
-            key, inline, digests, lengths = held
+            key, inline, head, form_bytes, form_sha = held
+            lengths, digests = table_of(head)
             parts, at = [], 0
             for i, n in enumerate(lengths):
                 if i in away:
@@ -198,11 +209,11 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 else:
                     parts.append(inline[at : at + n])
                     at += n
-            samples, form = b"".join(parts), media(parts)
+            samples = b"".join(parts)
             sha = hashlib.sha256(samples)
             if sha.digest() != key or [digest(p) for p in parts] != digests:
                 raise ValueError(f"damaged payload {key.hex()}")
-            row = (key, len(samples), sha.hexdigest(), zlib.crc32(samples[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), features(samples, len(parts)))
+            row = (key, len(samples), sha.hexdigest(), zlib.crc32(samples[-UNIT:]), form_bytes, form_sha, features(samples, len(parts)))
             return row + (samples,) * with_payload
 
         def out(rows):
@@ -210,7 +221,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
         for b in it:
             rows = []
-            for key, idx, data, digests, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, idx, data, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if idx >= 0:
                     if held is None or held[0] != key:
                         raise ValueError(f"chunk without payload {key.hex()}")
@@ -218,13 +229,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                     continue
                 if held is not None:
                     rows.append(finish())
-                held, away = (key, data, digests, lengths), {}
+                held, away = (key, data, *rest), {}
             yield out(rows)
         if held is not None:
             yield out([finish()])
 
-    own = stored.select("shared", "key", F.lit(-1).alias("idx"), F.col("inline").alias("data"), "digests", "lengths")
-    more = fetched.select("key", "idx", "data", F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("array<int>").alias("lengths"))
+    form = F.aggregate("owned", F.concat("head", "inline"), lambda a, c: F.concat(a, c["data"]))
+    own = stored.select("shared", "key", F.lit(-1).alias("idx"), F.col("inline").alias("data"), "head", F.octet_length(form).cast("long").alias("form_bytes"), F.sha2(form, 256).alias("form_sha256"))
+    more = fetched.select("key", "idx", "data", F.lit(None).cast("binary").alias("head"), F.lit(None).cast("long").alias("form_bytes"), F.lit(None).cast("string").alias("form_sha256"))
     plain = own.where(F.size("shared") == 0).drop("shared")
     mixed = own.where(F.size("shared") > 0).drop("shared").unionByName(more).repartition(partitions(spark), "key").sortWithinPartitions("key", "idx")
     kind = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", payload binary" * with_payload

@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from sluice.llm import jaccard_join, langid, line_dedup, media, packing, suffix_dedup, token_files, toxicity, tree_bpe, winnowing
+from sluice.llm import jaccard_join, langid, line_dedup, media, packing, periodic, suffix_dedup, token_files, toxicity, tree_bpe, winnowing
 from test_jaccard import plain_components
 from test_suffix import plain as plain_strings
 
@@ -21,11 +21,11 @@ def operators(spark):
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
     return {
         "langid": langid.predict, "lines": line_dedup.dedup, "suffix": suffix_dedup.digests, "bpe": lambda d: tree_bpe.encode(d, digests=True), "toxicity": lambda d: toxicity.grade(d, marks),
-        "packing": packing.pack, "tokens": token_files.round_trip, "media": media.round_trip, "winnowing": winnowing.edited_likeness, "jaccard": jaccard_join.join,
+        "packing": packing.pack, "tokens": token_files.round_trip, "media": media.round_trip, "winnowing": winnowing.edited_likeness, "jaccard": jaccard_join.join, "periodic": periodic.find,
     }
 
 
-NAMES = ["langid", "lines", "suffix", "bpe", "toxicity", "packing", "tokens", "media", "winnowing", "jaccard"]
+NAMES = ["langid", "lines", "suffix", "bpe", "toxicity", "packing", "tokens", "media", "winnowing", "jaccard", "periodic"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -36,6 +36,29 @@ def test_null_and_repeated_ids(spark, name):
     assert ids == sorted((i is None, i or 0) for i, _ in rows)
 
 
+@pytest.mark.parametrize("name", ["bpe", "media", "periodic"])
+def test_values_do_not_depend_on_ids(spark, name):
+    rows = [(None, "a null id with some words in it"), (None, None), (1, "first text of one"), (1, "second text of one"), (2, "same row " * 9), (2, "same row " * 9), (3, ""), (4, None)]
+    run = operators(spark)[name]
+    values = lambda df: sorted(map(repr, df.drop("doc_id").collect()))
+    assert values(run(frame(spark, rows))) == values(run(frame(spark, [(i, t) for i, (_, t) in enumerate(rows)])))
+
+
+def test_values_of_a_very_long_text(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(200_000)) + " again and" * 5000 + "\n" + "日本語" * 9000
+    docs = frame(spark, [(1, long)])
+    from sluice.llm.tokens import tokenizer
+
+    ids = np.array(tokenizer("byte_bpe_50k.json").encode(long, add_special_tokens=False).ids, dtype="<u4")
+    got = tree_bpe.encode(docs, "byte_bpe_50k.json", digests=True).first()
+    assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(long.encode()).hexdigest())
+    stored = media.round_trip(docs).first()
+    assert stored.payload_sha256 == hashlib.sha256(media.padded(long.encode())).hexdigest() and stored.n_bytes == len(long.encode())
+    runs = periodic.find(docs).first()
+    assert runs.n_words == 210_001 and [tuple(r) for r in runs.runs] == [(200_000, 10_000, 2)]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_very_long_text(spark, name):
     rng = random.Random(1)

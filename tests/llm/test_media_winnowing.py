@@ -29,9 +29,15 @@ def test_media_round_trip(docs, spark):
         raw = (d.text or "").encode()
         want = media.padded(raw)
         r = by[d.doc_id]
-        form = media.media(media.chunks(want))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+    path = common.new_path(spark, "media")
+    media.write(full, path)
+    kept = {}
+    for row in spark.read.parquet(path).collect():  # the form is what is stored, byte by byte
+        form = bytes(row.head) + bytes(row.inline) + b"".join(bytes(c["data"]) for c in row.owned)
+        kept[row.key.hex()] = (len(form), hashlib.sha256(form).hexdigest())
+    assert {(r.media_bytes, r.media_sha256) for r in rows} == set(kept.values()) and all((r.media_bytes, r.media_sha256) == kept[r.payload_sha256] for r in rows)
+    assert len({r.payload_sha256 for r in rows}) == len(kept)
     assert len(want) % 64 == 0 and media.padded(b"") == bytes(64) and media.padded(b"a" * 64) == b"a" * 64
     assert media.round_trip(full.limit(0)).count() == 0
 
