@@ -91,3 +91,18 @@ def ranged_archives(spark, sf_dir):
     plan = ranged.planned(ranged.catalog(made.select(F.col("target").alias("path"))), archives.Limits(total=150_000, members=50))
     found = ranged.extracted(plan)
     return found.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "ord", "path", "status", "bytes", "sha256")
+
+
+@query(
+    f"""WITH m AS (SELECT archive, name, html, row_number() OVER (PARTITION BY archive ORDER BY name) - 1 AS ord FROM ({PACKED}))
+SELECT archive, ord, name AS path, CASE WHEN starts_with(name, '..') THEN 'rejected' ELSE 'written' END AS status, CASE WHEN NOT starts_with(name, '..') THEN sha256(html) END AS sha256 FROM m"""
+)
+def parallel_archives(spark, sf_dir):
+    """Pages packed into archives by many tasks, block by block, and read back member by member."""
+    from ..sources import packing, ranged
+
+    top = tables.new_path(spark, "archives")
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    made = tables.save(packing.write(packing.pieces(spark.sql(PACKED).withColumnRenamed("html", "data")), top), "made")
+    found = ranged.extracted(ranged.planned(ranged.catalog(made.select("path"))))
+    return found.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "ord", "path", "status", "sha256")
