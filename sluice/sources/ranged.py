@@ -8,7 +8,10 @@ from its beginning: it is one task's, in one pass, also in pieces.
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import hashlib
+import lzma
 import tarfile
 import zipfile
 import zlib
@@ -29,6 +32,18 @@ EXTRACTED = "archive string, ord long, path string, status string, bytes long, s
 DATA = "archive string, ord long, place long, data binary"
 
 
+def unpacked(f):
+    """A stream of what a compressed tar holds, by its first bytes; unlike tarfile's own, it goes on over all members of a
+    gzip file and all streams of the other kinds."""
+    magic = f.read(6)
+    f.seek(0)
+    if magic[:2] == b"\x1f\x8b":
+        return gzip.GzipFile(fileobj=f)
+    if magic[:3] == b"BZh":
+        return bz2.BZ2File(f)
+    return lzma.LZMAFile(f) if magic == b"\xfd7zXZ\0" else f
+
+
 def rows_of(archive: str) -> Iterator[tuple]:
     """A row of the catalog for each file in an archive; an archive that cannot be read ends with a row that says why."""
     order, kind = 0, kind_of(archive)
@@ -46,7 +61,7 @@ def rows_of(archive: str) -> Iterator[tuple]:
                     order += 1
             return
         plain = archive.lower().endswith(".tar")
-        with fs.open_input_file(path) as f, tarfile.open(fileobj=f, mode="r:" if plain else "r|*") as t:
+        with fs.open_input_file(path) as f, tarfile.open(fileobj=f if plain else unpacked(f), mode="r:" if plain else "r|") as t:
             for m in t:
                 if m.isdir():
                     continue
@@ -54,7 +69,7 @@ def rows_of(archive: str) -> Iterator[tuple]:
                 yield archive, order, m.name, safe_path(m.name), "plain" if plain else "stream", m.offset_data, m.size, m.size, None, why
                 order += 1
                 t.members = []  # a streamed archive keeps no list
-    except (OSError, EOFError, ValueError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, zlib.error) as e:
+    except (OSError, EOFError, ValueError, tarfile.TarError, zipfile.BadZipFile, NotImplementedError, zlib.error, lzma.LZMAError) as e:
         yield archive, order, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
@@ -137,7 +152,7 @@ def checked(pieces: Iterator[bytes], size: int, crc: int | None) -> Iterator[byt
         raise ValueError("a member is not what the directory has")
 
 
-BROKEN = (OSError, EOFError, ValueError, zlib.error, tarfile.TarError)
+BROKEN = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, tarfile.TarError)
 
 
 def failing(e: Exception) -> Iterator[bytes]:
@@ -151,7 +166,7 @@ def streamed(row: dict) -> Iterator[tuple[dict, Iterator[bytes]]]:
     left = {m["ord"]: m for m in row["many"]}
     try:
         fs, path = place(row["archive"])
-        with fs.open_input_file(path) as f, tarfile.open(fileobj=f, mode="r|*") as t:
+        with fs.open_input_file(path) as f, tarfile.open(fileobj=unpacked(f), mode="r|") as t:
             order = 0
             for m in t:
                 if m.isdir():

@@ -1,5 +1,6 @@
 """Archives by ranges: contents in pieces, budgets before extraction, damage."""
 
+import gzip
 import hashlib
 import io
 import random
@@ -19,7 +20,7 @@ def packed(tmp_path, name, files):
             for i, (n, data) in enumerate(files):
                 z.writestr(n, data, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
     else:
-        with tarfile.open(path, "w:gz" if name.endswith("gz") else "w") as t:
+        with tarfile.open(path, {"gz": "w:gz", "z2": "w:bz2", "xz": "w:xz"}.get(name[-2:], "w")) as t:
             folder = tarfile.TarInfo("folder")
             folder.type = tarfile.DIRTYPE
             t.addfile(folder)
@@ -39,7 +40,7 @@ def some_files():
     return [*files, ("../out.txt", b"x"), ("D/F0.BIN", b"again"), ("empty", b""), ("big.bin", rng.randbytes(90_000) + b"z" * 200_000)]
 
 
-@pytest.mark.parametrize("name", ["a.zip", "a.tar", "a.tar.gz"])
+@pytest.mark.parametrize("name", ["a.zip", "a.tar", "a.tar.gz", "a.tar.bz2", "a.txz"])
 def test_contents_come_in_pieces(spark, tmp_path, name, monkeypatch):
     monkeypatch.setattr(ranged, "PIECE", 4096)
     files = some_files()
@@ -61,6 +62,15 @@ def test_contents_come_in_pieces(spark, tmp_path, name, monkeypatch):
             assert b"".join(d for _, d in sorted(whole[i])) == data
 
 
+def test_a_tar_of_many_gzip_members(spark, tmp_path):
+    with tarfile.open(packed(tmp_path, "one.tar", some_files())) as t:
+        names = [m.name for m in t if m.isfile()]
+    plain = (tmp_path / "one.tar").read_bytes()
+    (tmp_path / "many.tar.gz").write_bytes(b"".join(gzip.compress(plain[i : i + 700]) for i in range(0, len(plain), 700)))
+    rows = ranged.catalog(spark.createDataFrame([(f"{tmp_path}/many.tar.gz",)], "path string")).where("reason = ''").orderBy("ord").collect()
+    assert [r.member for r in rows] == names
+
+
 def test_budgets_hold_before_anything_is_read(spark, tmp_path):
     files = [(f"f{i}", bytes(1000)) for i in range(10)]
     paths = spark.createDataFrame([(packed(tmp_path, "a.zip", files),), (packed(tmp_path, "b.tar", files[:3]),)], "path string")
