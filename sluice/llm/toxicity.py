@@ -87,7 +87,7 @@ def telling(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     LEAST_RATIO or more, so that words of a single document are none."""
     k1, k0 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, toxic, strict=True) if t == kind)]), minlength=BUCKETS).astype(float) for kind in (True, False))
     n1, n0 = float(toxic.sum()), float((~toxic).sum())
-    share = (k1 + k0) / (n1 + n0)
+    share = (k1 + k0) / max(n1 + n0, 1.0)
     ratio = np.zeros(BUCKETS)
     for seen, expected in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))):
         ratio += 2 * seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
@@ -142,6 +142,8 @@ def fit_sample(data: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarr
     """Weights and thresholds. The penalty, and the score from which on a document is toxic, are those that do best on folds
     that were held out; thresholds are moved as one so that the first stands there, and so stay ordered."""
     y, rows = np.array([g for g, _ in data], dtype=np.int64), [nz for _, nz in data]
+    if not len(y):
+        return np.zeros(BUCKETS), np.full(GRADES - 1, 40.0)
     fold = np.arange(len(rows)) % FOLDS
     best = (-1.0, 0.0, PENALTIES[-1])
     if all((y[fold != k] > 0).any() and (y[fold == k] > 0).any() for k in range(FOLDS)):
