@@ -106,3 +106,26 @@ def parallel_archives(spark, sf_dir):
     made = tables.save(packing.write(packing.pieces(spark.sql(PACKED).withColumnRenamed("html", "data")), top), "made")
     found = ranged.extracted(ranged.planned(ranged.catalog(made.select("path"))))
     return found.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "ord", "path", "status", "sha256")
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'gone' WHEN page_id % 7 = 0 THEN 'changed' ELSE 'new' END AS state, CASE WHEN page_id % 11 <> 0 AND page_id % 7 = 0 THEN CAST(strlen(html) // 1000 AS INTEGER) END AS block,
+page_id % 11 <> 0 AS fresh FROM pages WHERE page_id % 11 = 0 OR page_id % 7 = 0 OR page_id % 13 = 0"""
+)
+def content_proof(spark, sf_dir):
+    """Pages as files, proved twice: some went, some came, some grew by a letter. What differs, in which block, and whether
+    it was read for the second proof; files that had not changed were not."""
+    from ..operators import proofs
+
+    top = tables.new_path(spark, "proof")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source"), "page_id", F.col("html").cast("binary").alias("content"), F.concat(F.lit(f"{top}/g"), (F.col("page_id") % 9).cast("string"), F.lit("/p"), F.col("page_id").cast("string")).alias("target"))
+    late = "page_id % 13 = 0 AND page_id % 11 > 0 AND page_id % 7 > 0"
+    tables.save(sinks.write_files(pages.where(f"NOT ({late})")), "made")
+    first = proofs.prove(files.listing(spark, top), block=1000)
+    tables.save(sinks.write_files(pages.where(f"{late} OR page_id % 7 = 0 AND page_id % 11 > 0").withColumn("content", F.when(F.col("page_id") % 7 == 0, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))), "made")
+    away = pages.where("page_id % 11 = 0").select(F.col("target").alias("source"), F.concat(F.lit(f"{top}-away/p"), "source").alias("target"), F.lit(None).cast("long").alias("bytes"))
+    tables.save(sinks.copy_files(away, move=True), "away")
+    second = proofs.prove(files.listing(spark, top), first, block=1000)
+    number = F.regexp_extract("path", "p([0-9]+)$", 1).cast("long")
+    found = proofs.differences(first, second).join(second.where("fresh").select("path", "fresh"), "path", "full_outer")
+    return found.select(number.alias("page_id"), "state", "block", F.coalesce("fresh", F.lit(False)).alias("fresh"))
