@@ -67,4 +67,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_line_dedup, op3_suffix_dedup, op4_bpe_tree, op5_toxicity, op6_best_fit_packing, op7_token_files, op8_media_chunks, op9_winnowing, op10_jaccard_join, op11_periodic_runs, op12_whitening, op13_warc)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op13_warc": warc.ORACLE}

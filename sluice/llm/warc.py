@@ -351,3 +351,9 @@ def round_trip(pages: DataFrame, level: int | None = 6) -> DataFrame:
     seen = meet(revisits, answers, ["refers_to"]).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), page("refers_to").alias("refers_to"))
     first = listed.where("type = 'response'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     return first.unionByName(seen)
+
+
+#: What round_trip() gives, in DuckDB's SQL.
+ORACLE = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+r AS (SELECT *, strlen(body) >= {LEAST} AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS later FROM f)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN later THEN first END AS refers_to FROM r"""

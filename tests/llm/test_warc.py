@@ -50,6 +50,17 @@ def test_query_on_driver_table(spark):
     assert sorted(repr(tuple(r)) for r in op13_warc(spark, "/root/testdata/sf0.001").collect()) == plain(rows)
 
 
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    pages(spark, ROWS).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    cursor = con.execute(warc.ORACLE)
+    assert [d[0] for d in cursor.description] == op13_warc(spark, str(tmp_path)).columns
+    assert sorted(map(repr, cursor.fetchall())) == plain(ROWS)
+
+
 def archive(spark, tmp_path, rows, level):
     path = f"{tmp_path}/{level}"
     warc.write(pages(spark, rows).coalesce(1), path, level)
