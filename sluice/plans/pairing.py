@@ -112,7 +112,8 @@ def search_best(spark, sf_dir):
     pair = F.concat(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit("  "), F.substring("p_type", F.lit(1), F.expr("CAST(1 + p_partkey DIV 100 % 3 AS INT)")))
     text = F.when(F.col("p_partkey") % 300 != 0, pair).otherwise(F.substring("p_name", 1, 4))
     catalog = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("identifier"), F.col("p_type").alias("category"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("subtitle"))
-    return search.best(search.build(catalog), chosen.select(F.col("p_partkey").alias("search"), text.alias("text")), 25)
+    found = search.best(search.build(catalog), chosen.select(F.col("p_partkey").alias("search"), text.alias("text")), 25)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT p_brand AS category, count(*) AS n, min(lower(p_name)) AS first_title FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#99') GROUP BY 1 UNION ALL SELECT c, 0, NULL FROM (VALUES ('Brand#1'), ('Brand#2'), ('Brand#99')) AS t(c) WHERE c NOT IN (SELECT p_brand FROM part)")
