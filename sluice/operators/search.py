@@ -29,9 +29,11 @@ def grams(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """Saved tables: entries (id, the four texts in lower case), postings (gram, titled, id) and sizes (gram, n)."""
+    """Saved tables: entries (entry, the four texts in lower case, least id, n), one for all rows of equal texts, members
+    (entry, id), postings (gram, titled, entry) and sizes (gram, n)."""
 
     entries: DataFrame
+    members: DataFrame
     postings: DataFrame
     sizes: DataFrame
 
@@ -41,12 +43,14 @@ def build(catalog: DataFrame) -> Index:
     blank. Ids should be unique: a repeated id is matched by each of its rows."""
     texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in FIELDS]
     texts[1] = F.replace(texts[1], F.lit("_"), F.lit(" "))
-    entries = save(catalog.select("id", *[t.alias(c) for t, c in zip(texts, FIELDS, strict=True)]), "entries")
+    rows = catalog.select("id", *[t.alias(c) for t, c in zip(texts, FIELDS, strict=True)])
+    entries = save(rows.groupBy(*FIELDS).agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("entry", F.monotonically_increasing_id()), "entries")
+    members = save(rows.join(entries.select("entry", *FIELDS), list(FIELDS)).select("entry", "id"), "members")
     rest = F.concat_ws(" ", *FIELDS[1:])
     each = F.concat(F.transform(grams(F.col("title")), lambda g: F.struct(g.alias("gram"), F.lit(True).alias("titled"))), F.transform(grams(rest), lambda g: F.struct(g.alias("gram"), F.lit(False).alias("titled"))))
-    postings = entries.select("id", F.inline(each)).where("gram NOT RLIKE '\\\\s'").distinct()
+    postings = entries.select("entry", F.inline(each)).where("gram NOT RLIKE '\\\\s'").distinct()
     postings = save(postings, "postings")
-    return Index(entries, postings, save(postings.groupBy("gram").agg(F.count("*").alias("n")), "sizes"))
+    return Index(entries, members, postings, save(postings.groupBy("gram").agg(F.count("*").alias("n")), "sizes"))
 
 
 def score(phrase: Column, terms: Column) -> Column:
@@ -63,28 +67,35 @@ def best(index: Index, searches: DataFrame, k: int) -> DataFrame:
     """(search, rank, id, score): for each search (search, text) its k best entries by score, title and id, ranked from 1.
     Every blank-separated term has to be a part of one of an entry's texts. Searches without terms find nothing.
 
-    Of all grams of a search's terms the rarest leads to its candidates. Titles are asked first: what is found in other
-    texts alone scores 3 at best, so only searches with fewer than k matches by title go on to these.
+    Each phrase is looked up once, however many searches have it, and each entry once, however many rows have its texts: of
+    the k best rows none is of an entry behind the k best entries, entries taken by their least id.
+
+    Of all grams of a phrase's terms the rarest leads to its candidates. Titles are asked first: what is found in other
+    texts alone scores 3 at best, so only phrases with fewer than k matches by title go on to these.
     """
-    asked = searches.select("search", F.trim(F.regexp_replace(F.lower("text"), "\\s+", " ")).alias("phrase")).where("phrase <> ''").withColumn("terms", F.array_distinct(F.split("phrase", " ")))
-    each = asked.select("search", F.explode("terms").alias("term"))
+    said = searches.select("search", F.trim(F.regexp_replace(F.lower("text"), "\\s+", " ")).alias("phrase")).where("phrase <> ''")
+    asked = said.select("phrase").distinct().withColumn("terms", F.array_distinct(F.split("phrase", " ")))
+    each = asked.select("phrase", F.explode("terms").alias("term"))
     longest = F.filter(grams(F.col("term")), lambda g: F.length(g) == F.least(F.length("term"), F.lit(GRAM)))
-    sized = each.select("search", F.explode(longest).alias("gram")).distinct().join(index.sizes, "gram", "left")
-    rarest = sized.groupBy("search").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")), "gram")).alias("top")).select("search", F.col("top.gram").alias("gram"))
-    asked = save(asked.join(rarest, "search"), "asked")
+    sized = each.select("phrase", F.explode(longest).alias("gram")).distinct().join(index.sizes, "gram", "left")
+    rarest = sized.groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")), "gram")).alias("top")).select("phrase", F.col("top.gram").alias("gram"))
+    asked = save(asked.join(rarest, "phrase"), "asked")
 
     def found(some: DataFrame, postings: DataFrame) -> DataFrame:
         some = F.broadcast(some) if some.count() <= FEW else some
-        candidates = postings.select("gram", "id").distinct().join(some, "gram")
-        scored = candidates.join(index.entries, "id").withColumn("score", score(F.col("phrase"), F.col("terms")))
-        return scored.where("score IS NOT NULL").select("search", "score", "title", "id")
+        candidates = postings.select("gram", "entry").distinct().join(some, "gram")
+        scored = candidates.join(index.entries, "entry").withColumn("score", score(F.col("phrase"), F.col("terms")))
+        return scored.where("score IS NOT NULL").select("phrase", "score", "title", "least", "entry", "n")
 
-    def first(matches: DataFrame) -> DataFrame:
-        w = Window.partitionBy("search").orderBy("score", "title", "id")
-        return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # Spark keeps k a search before it shuffles
+    def first(matches: DataFrame, key: str, *order: str) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(*order)
+        return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # Spark keeps k a key before it shuffles
 
-    titled = save(first(found(asked, index.postings.where("titled")).where("score <= 2")), "titled")
-    done = titled.groupBy("search").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    others = save(asked.join(done, "search", "left_anti"), "others")
+    titled = save(first(found(asked, index.postings.where("titled")).where("score <= 2"), "phrase", "score", "title", "least"), "titled")
+    done = titled.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    others = save(asked.join(done, "phrase", "left_anti"), "others")
     rest = found(others, index.postings).where("score > 2")
-    return first(titled.drop("rank").unionByName(rest)).select("search", "rank", "id", "score")
+    tops = save(first(titled.drop("rank").unionByName(rest), "phrase", "score", "title", "least").drop("rank"), "tops")
+    members = first(index.members.join(tops.select("entry").distinct(), "entry", "left_semi"), "entry", "id").drop("rank")
+    matches = first(tops.join(members, "entry"), "phrase", "score", "title", "id").select("phrase", "rank", "id", "score")
+    return said.join(save(matches, "matches"), "phrase").select("search", "rank", "id", "score")

@@ -39,6 +39,19 @@ def test_equals_a_plain_loop(spark, k, monkeypatch):
     assert sorted(map(tuple, got)) == plain(catalog, searches, k)
 
 
+@pytest.mark.parametrize("k", [2, 30])
+def test_repeated_texts_and_phrases_count_once(spark, k):
+    """Rows of equal texts are one entry, searches for one phrase one lookup; each row and search is in the result."""
+    rng = random.Random(9)
+    kinds = [(t, i, c, None) for t in ("red ring", "Red Bolt", "bolt") for i in ("x_1", "x_2") for c in ("ring", "big")]
+    catalog = [(i, *rng.choice(kinds)) for i in rng.sample(range(1000), 300)]
+    searches = [(i, rng.choice(["red", "RING", "bolt  big", "1", "x 2", "none"])) for i in range(50)]
+    index = search.build(spark.createDataFrame(catalog, "id long, title string, identifier string, category string, subtitle string"))
+    assert index.entries.count() == len({c[1:] for c in catalog}) and index.members.count() == 300
+    got = search.best(index, spark.createDataFrame(searches, "search long, text string"), k).collect()
+    assert sorted(map(tuple, got)) == plain(catalog, searches, k)
+
+
 def test_empty_catalog_and_no_searches(spark):
     none = spark.createDataFrame([], "id long, title string, identifier string, category string, subtitle string")
     asked = spark.createDataFrame([(1, "a")], "search long, text string")
