@@ -63,12 +63,12 @@ class JobLog:
     def prepare(self, job: str, paths: DataFrame) -> str:
         """paths (position, path): 'new', 'complete' (nothing to do) or 'recovered', where the log has other work of this
         job: items that were running wait again and keep their attempts. Other paths under a known job are an error."""
-        known = self.items(job)
+        known = save(self.items(job).select("job_id", "position", "path", "state"), "known")  # asked four times
         if known.isEmpty():
             self.append_all(paths.select(F.lit(job).alias("job_id"), F.col("position").cast("int"), F.lit("add").alias("kind"), F.lit("pending").alias("state"), "path", F.lit("").alias("details")))
             self.append([(job, JOB, "state", "queued", None, "")])
             return "new"
-        if not self.same_inputs(job, paths):
+        if not self.same_inputs(job, paths, known):
             raise ValueError(f"job {job} is known with other inputs")
         if known.where(~F.col("state").isin(TERMINAL)).isEmpty():
             return "complete"
@@ -77,10 +77,11 @@ class JobLog:
         self.append([(job, JOB, "state", "recovered", None, "")])
         return "recovered"
 
-    def same_inputs(self, job: str, paths: DataFrame) -> bool:
-        """Whether the stored items of a job are just these (position, path)."""
-        stored, given = self.items(job).select("position", "path"), paths.select(F.col("position").cast("int"), "path")
-        return stored.exceptAll(given).isEmpty() and given.exceptAll(stored).isEmpty()
+    def same_inputs(self, job: str, paths: DataFrame, items: DataFrame | None = None) -> bool:
+        """Whether the stored items of a job (`items`, where they are at hand) are just these (position, path)."""
+        stored = (items or self.items(job)).select("position", "path", F.lit(1).alias("n"))
+        both = stored.unionAll(paths.select(F.col("position").cast("int"), "path", F.lit(-1)))
+        return both.groupBy("position", "path").agg(F.sum("n").alias("n")).where("n <> 0").isEmpty()
 
     def submit(self, job: str, paths: list[str]) -> str:
         """prepare() for a list; an empty one stands for the stored paths."""
@@ -92,12 +93,15 @@ class JobLog:
         """job_id, position, path, state, attempts (begins since the last reset), details, updated_at."""
         rows = self.events().where(F.col("position") != JOB)
         rows = rows.where(F.col("job_id") == job) if job else rows
+        # Of numbers, so that Spark hashes rather than sorts; a state goes with the number of its event.
+        number = F.array_position(F.array(*map(F.lit, ITEM_STATES)), F.col("state")) - 1
         last = rows.groupBy("job_id", "position").agg(
-            F.max_by("state", "seq").alias("state"), F.max("path").alias("path"), F.max_by("details", "seq").alias("details"), F.max("at").alias("updated_at"),
+            F.max(F.col("seq") * len(ITEM_STATES) + number).alias("top"), F.max("path").alias("path"), F.max_by("details", "seq").alias("details"), F.max("at").alias("updated_at"),
             F.coalesce(F.max(F.when(F.col("kind") == "reset", F.col("seq"))), F.lit(0)).alias("since"), F.collect_list(F.when(F.col("kind") == "begin", F.col("seq"))).alias("begins"),
         )
+        state = F.element_at(F.array(*map(F.lit, ITEM_STATES)), (F.col("top") % len(ITEM_STATES) + 1).cast("int"))
         attempts = F.size(F.filter("begins", lambda s: s > F.col("since")))
-        return last.select("job_id", "position", "path", "state", attempts.alias("attempts"), "details", "updated_at")
+        return last.select("job_id", "position", "path", state.alias("state"), attempts.alias("attempts"), "details", "updated_at")
 
     def one(self, job: str, position: int) -> dict:
         found = self.items(job).where(F.col("position") == position).first()

@@ -57,3 +57,13 @@ def test_volatile_log(spark):
 
 def test_final_state():
     assert final_state({"completed": 2}) == "completed" and final_state({"completed": 1, "skipped": 1}) == "completed_with_warnings" and final_state({"pending": 1}) == "running"
+
+
+def test_states_are_hashed_not_sorted(spark, tmp_path):
+    log = JobLog(spark, str(tmp_path / "log"))
+    assert log.submit("j", ["a", "b"]) == "new" and log.begin("j", 1) == 1
+    states = log.items().select("position", "state")
+    assert "SortAggregate" not in states._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, states.collect())) == [(0, "pending"), (1, "running")]
+    paths = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b")], "position int, path string")
+    assert log.same_inputs("j", paths.distinct()) and not log.same_inputs("j", paths) and not log.same_inputs("j", paths.limit(1))
